@@ -1,0 +1,64 @@
+"""Finding the few groups that are too large for one task.
+
+Group sizes come from a hash of the grouping key, with map-side partial counts, so the pass
+shuffles one small row per group and map task. At most ``MAX_HOT`` hashes are kept, the largest
+first: a bounded list of BIGINTs (160 kB) that is safe to hold on the driver and to broadcast
+whatever the input, and by counting no group outside it can hold more than ``1 / MAX_HOT`` of all
+rows. A hash shared by two groups only sends both down the path for large groups, which is exact
+as well.
+
+The check runs when the operator is called, like Spark's own adaptive planning on measured sizes:
+without large groups the plan is the plain one-shuffle plan.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+MAX_HOT = 20_000
+HOT_ROWS = 1_000_000
+
+
+def group_hash(*keys: str) -> Column:
+    return F.xxhash64(*keys)
+
+
+def hot_groups(df: DataFrame, keys: list[str], limit: int, size: Column) -> list[int]:
+    """Hashes of the groups with a ``size`` (an aggregate) above ``limit``."""
+    sizes = df.groupBy(group_hash(*keys).alias("hash")).agg(size.alias("rows"))
+    top = sizes.where(F.col("rows") > limit).orderBy(F.desc("rows"), "hash").limit(MAX_HOT)
+    return [row["hash"] for row in top.collect()]
+
+
+def split_hot(
+    df: DataFrame, keys: list[str], limit: int = HOT_ROWS, size: Column | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """``(ordinary, large)``: rows of groups that fit one task, and the others (None if there are none)."""
+    hashes = hot_groups(df, keys, limit, F.count("*") if size is None else size)
+    if not hashes:
+        return df, None
+    hot = F.broadcast(df.sparkSession.createDataFrame([(h,) for h in hashes], "hot_hash bigint"))
+    tagged = df.withColumn("hot_hash", group_hash(*keys))
+    return (
+        tagged.join(hot, "hot_hash", "left_anti").drop("hot_hash"),
+        tagged.join(hot, "hot_hash", "left_semi").drop("hot_hash"),
+    )
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, so that later rounds neither replan nor recompute what led here.
+
+    Uses the shared folder that the cluster names in ``spark.checkpoint.dir``.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
