@@ -65,23 +65,20 @@ def to_bulk(
     arrival = [epoch(F.col("recv_ts"))] if "recv_ts" in rows.columns else []
     rows = rows.withColumn("ts", F.coalesce(F.nullif("ts", F.lit(0.0)), *arrival))
     rows = rows.withColumn("tags", F.coalesce("tags", literal_map({})))
-    extra = []
+    # Values first, then what tags and static tags add; the index rule sees all of them.
+    layers = [_as_strings(F.col("tags"))] + ([_as_strings(literal_map(static))] if static else [])
+    for layer in layers:
+        added = F.map_filter(layer, lambda k, v: ~F.map_contains_key("values", k))
+        rows = rows.withColumn("values", F.map_concat("values", added))
+    rows = with_index(rows, index)
+    extra = {}
     if timestamp_field:
         millis = F.bround(F.col("ts") * 1000).cast("bigint").cast("string")
-        extra.append((timestamp_field, F.struct(F.lit("int").alias("t"), millis.alias("v"))))
+        extra[timestamp_field] = F.struct(F.lit("int").alias("t"), millis.alias("v"))
     if bucket_field:
-        extra.append((bucket_field, F.struct(F.lit("str").alias("t"), F.col("bucket").alias("v"))))
-    names = [name for name, _ in extra]
-    values = F.map_filter("values", lambda k, v: ~k.isin(names)) if names else F.col("values")
-    lower = F.map_filter(_as_strings(F.col("tags")), lambda k, v: ~F.map_contains_key("values", k) & ~k.isin(names))
-    parts = [values, lower]
-    if static:
-        rest = F.map_filter(
-            _as_strings(literal_map(static)),
-            lambda k, v: ~F.map_contains_key("values", k) & ~F.map_contains_key("tags", k) & ~k.isin(names),
-        )
-        parts.append(rest)
-    parts += [F.create_map(F.lit(name), value) for name, value in extra]
+        extra[bucket_field] = F.struct(F.lit("str").alias("t"), F.col("bucket").alias("v"))
+    parts = [F.map_filter("values", lambda k, v: ~k.isin(list(extra)))] if extra else [F.col("values")]
+    parts += [F.create_map(F.lit(name), value) for name, value in extra.items()]
     entries = F.array_join(
         F.transform(
             series(F.map_concat(*parts)), lambda e: F.concat(json_string(e["key"]), F.lit(":"), json_value(e["value"]))
@@ -95,7 +92,7 @@ def to_bulk(
         F.lit('{"index":{"_index":'), json_string(F.col("index")), *typed,
         F.lit(',"_id":"'), F.col("id"), F.lit('"}}'),
     )
-    out = with_index(rows, index).withColumn("doc", doc).withColumn("id", name_uuid(F.col("doc")))
+    out = rows.withColumn("doc", doc).withColumn("id", name_uuid(F.col("doc")))
     return out.withColumn("action", action).select("index", "id", "doc", "action")
 
 
