@@ -7,6 +7,8 @@ expressions. Nothing here leaves the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,37 +49,69 @@ FLOAT_TEXT = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_float(text: Column) -> Column:
     """Strict float parse, NULL when the text is not a float.
 
     A plain cast is laxer: it takes ``1.0d`` and hexadecimal floats.
     """
-    bare = strip(text)
-    plain = F.when(bare.contains("_"), F.replace(bare, F.lit("_"), F.lit(""))).otherwise(bare)
-    unsigned_nan = F.when(F.lower(plain).isin("+nan", "-nan"), F.lit("nan")).otherwise(plain)
-    return F.when(bare.rlike(FLOAT_TEXT), unsigned_nan.try_cast("double"))
+
+    def general(bare: Column) -> Column:
+        plain = F.replace(F.lower(bare), F.lit("_"), F.lit(""))
+        number = F.when(plain.isin("+nan", "-nan"), F.lit("nan")).otherwise(plain).try_cast("double")
+        return F.when(bare.rlike(FLOAT_TEXT), number)
+
+    return F.when(text.rlike(r"^-?[0-9]++(?:\.[0-9]++)?$"), text.try_cast("double")).otherwise(
+        let(strip(text), general)
+    )
+
+
+def _shortest(value: Column) -> Column:
+    """Shortest decimal text that reads back as ``value``, in the notation of a plain cast.
+
+    Before JDK 19 the cast may give a digit too many, which only shows from 16 digits on.
+    """
+    java = value.cast("string")
+    digits = F.length(F.regexp_replace(F.substring_index(java, "E", 1), r"^-?[0.]*|\.", ""))
+    out = F.when(digits < 16, java)
+    for decimals in (14, 15, 16):
+        shorter = F.upper(F.format_string(f"%.{decimals}e", value))
+        out = out.when(shorter.try_cast("double") == value, shorter)
+    return out.otherwise(java)
+
+
+def _scientific(short: Column, exponent: Column) -> Column:
+    mantissa = F.rtrim(F.rtrim(F.substring_index(short, "E", 1), F.lit("0")), F.lit("."))
+    digits = F.abs(exponent).cast("string")
+    sign = F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+"))
+    return F.concat(mantissa, sign, F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits))
+
+
+def _plain(short: Column) -> Column:
+    text = F.rtrim(short.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
+    return let(text, lambda t: F.when(t.endswith("."), F.concat(t, F.lit("0"))).otherwise(t))
 
 
 def float_text(value: Column) -> Column:
     """Shortest float text: plain between 1e-4 and 1e16, ``1e+16`` and ``1e-05`` beyond."""
     value = value.cast("double")
     java = value.cast("string")
-    mantissa = F.substring_index(java, "E", 1)
-    exponent = F.substring_index(java, "E", -1).try_cast("int")
-    plain = F.rtrim(java.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    scientific = F.concat(
-        F.when(mantissa.endswith(".0"), F.substring_index(mantissa, ".", 1)).otherwise(mantissa),
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
-    )
+
+    def render(short: Column) -> Column:
+        exponent = F.substring_index(short, "E", -1).try_cast("int")
+        shown = let(exponent, lambda e: F.when(e.between(-4, 15), _plain(short)).otherwise(_scientific(short, e)))
+        return F.when(short.contains("E"), shown).otherwise(short)
+
     return (
         F.when(F.isnan(value), F.lit("nan"))
         .when(value == F.lit(float("inf")), F.lit("inf"))
         .when(value == F.lit(float("-inf")), F.lit("-inf"))
-        .when(~java.contains("E"), java)
-        .when(exponent.between(-4, 15), plain)
-        .otherwise(scientific)
+        .when(~java.contains("E") & (F.length(java) <= 16), java)
+        .when(value.isNotNull(), let(_shortest(value), render))
     )
 
 

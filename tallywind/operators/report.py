@@ -11,7 +11,7 @@ RESPONSE_SCHEMA = (
 )
 
 
-def pipeline_report(classified: DataFrame) -> DataFrame:
+def line_report(classified: DataFrame) -> DataFrame:
     """Received, rejected and produced lines by outcome, from classified lines."""
     outcome = F.coalesce("reject_reason", F.lit("accepted"))
     return classified.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("lines"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywind.functions.maps import last_wins
-from tallywind.functions.text import float_text, parse_float
+from tallywind.functions.text import float_text, let, parse_float
 from tallywind.functions.time import epoch, norm_epoch
 
 _STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
@@ -66,20 +66,28 @@ def parse_json_events(lines: DataFrame, timestamp_window: float = 600.0) -> Data
     """Metric rows in the bucket ``metrics``: time is the member ``timestamp`` if it is near the
     arrival, and the arrival if there is none. A member that is no time drops the event.
     """
-    events = read_json_events(lines)
-    given = F.try_element_at("values", F.lit("timestamp"))
-    number = (
-        F.when(given["t"] == "bool", (given["v"] == "True").cast("double")).otherwise(parse_float(given["v"]))
-    )
     received = F.round(epoch(F.col("recv_ts")), 3)
-    stamped = events.withColumns(
-        {"has_time": F.map_contains_key("values", "timestamp"), "cust_ts": norm_epoch(number, None)}
+
+    def stamp(given: Column) -> Column:
+        truth = (given["v"] == "True").cast("double")
+        number = F.when(given["t"] == "bool", truth).otherwise(parse_float(given["v"]))
+        return F.when(given.isNotNull(), F.struct(norm_epoch(number, None).alias("at")))
+
+    # Most events carry no time, which a look at the text tells before the object is taken apart.
+    worth_a_look = F.col("line").contains("timestamp") | F.col("line").contains("\\u")
+    events = lines.where(is_flat_object(F.col("line"))).withColumn("values", flat_values(F.col("line")))
+    stamped = events.withColumn(
+        "own", F.when(worth_a_look, let(F.try_element_at("values", F.lit("timestamp")), stamp))
+    )
+    near = let(
+        F.col("own"),
+        lambda own: own.isNull()
+        | F.coalesce(~F.isnan(own["at"]) & (F.abs(received - own["at"]) <= timestamp_window), F.lit(False)),
     )
-    near = F.coalesce(~F.isnan("cust_ts") & (F.abs(received - F.col("cust_ts")) <= timestamp_window), F.lit(False))
-    kept = stamped.where(~F.col("has_time") | near)
+    kept = stamped.where(near)
     return kept.select(
         F.lit("metrics").alias("bucket"),
         F.map_filter("values", lambda k, v: k != "timestamp").alias("values"),
-        F.coalesce(F.nullif("cust_ts", F.lit(0.0)), received).alias("ts"),
+        F.coalesce(F.nullif(F.col("own.at"), F.lit(0.0)), received).alias("ts"),
         F.from_json(F.lit("{}"), "map<string,string>").alias("tags"), "recv_ts", "seq",
     )

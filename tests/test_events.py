@@ -43,8 +43,8 @@ def test_random_objects_against_stdlib(spark):
             obj = None
         if not isinstance(obj, dict) or not obj or any(isinstance(v, (dict, list)) for v in obj.values()):
             assert i not in got, t[:200]
-        elif "timestamp" not in obj:
-            assert repr(got[i]) == repr({**obj}) or {k: repr(v) for k, v in got[i].items()} == {k: repr(v) for k, v in obj.items()}, t[:200]
+        elif "timestamp" not in obj and not any("\ud800" <= c <= "\udfff" for v in obj.values() for c in str(v)):
+            assert {k: repr(v) for k, v in got[i].items()} == {k: repr(v) for k, v in obj.items()}, t[:200]
 
 
 def test_event_times(spark):

@@ -117,7 +117,7 @@ def test_chunks(spark):
 
 def test_reports(spark):
     df = classify_statsd(lines(spark, ["a:1|c", "b:x|c", "sc|x"]))
-    assert {r["outcome"]: r["lines"] for r in report.pipeline_report(df).collect()} == {"accepted": 1, "value": 1, "service": 1}
+    assert {r["outcome"]: r["lines"] for r in report.line_report(df).collect()} == {"accepted": 1, "value": 1, "service": 1}
     watched, counts = report.observed(df, "stage", rejected=F.col("reject_reason").isNotNull())
     watched.collect()
     assert counts.get == {"rows": 3, "rejected": 2}
