@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallywind.functions.time import micros
@@ -60,7 +61,11 @@ def start_windows(
     After a failure a batch may come again with the same id, so sinks should replace by id, as
     :func:`parquet_sink` does.
     """
-    partials = family.partial(samples.withWatermark("recv_ts", micros(delay)))
+    timed = samples.withWatermark("recv_ts", micros(delay))
+    # Reading the time column keeps the filter on ``kind`` above the watermark, so that samples of
+    # every kind move the clock and a quiet family still closes its windows.
+    timed = timed.withColumn("kind", F.when(F.col("recv_ts").isNotNull(), F.col("kind")))
+    partials = family.partial(timed)
 
     def finish(batch: DataFrame, batch_id: int) -> None:
         batch.persist()

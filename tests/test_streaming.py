@@ -1,5 +1,6 @@
 import random
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,8 +103,19 @@ def test_stitch_stream(spark):
     rows = [(i, "p", i * 0.1, m, 6) for i, m in enumerate(["x", *PY, "plain", "plain", *JAVA, "done", "done"])]
     df = spark.createDataFrame(rows, "seq bigint, pid string, ts double, message string, level int")
     stream = as_stream(spark, [df.where("seq < 4"), df.where("seq >= 4 and seq < 15"), df.where("seq >= 15")])
-    out = collect_stream(stateful.stitch_stream(stream), "stitched").collect()
-    assert sorted((r["pid"], r["seq"], r["message"]) for r in out) == sequential(rows)
+    # Timers on processing time keep the query busy for ever, so it is stopped once all is out.
+    query = (
+        stateful.stitch_stream(stream).writeStream.format("memory").queryName("stitched")
+        .option("checkpointLocation", tempfile.mkdtemp(prefix="cp-")).start()
+    )
+    want = sequential(rows)
+    try:
+        deadline = time.time() + 90
+        while spark.table("stitched").count() < len(want) and time.time() < deadline and query.isActive:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert sorted((r["pid"], r["seq"], r["message"]) for r in spark.table("stitched").collect()) == want
 
 
 def test_fanout(spark):
