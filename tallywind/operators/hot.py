@@ -13,11 +13,11 @@ without large groups the plan is the plain one-shuffle plan.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywind.session import shared_folder
+
 MAX_HOT = 20_000
 HOT_ROWS = 1_000_000
 
@@ -49,16 +49,8 @@ def split_hot(
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that later rounds neither replan nor recompute what led here.
-
-    Uses the shared folder that the cluster names in ``spark.checkpoint.dir``.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    """Reliable checkpoint, so that later rounds neither replan nor recompute what led here."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

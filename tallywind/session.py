@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +22,16 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one that the cluster names in ``spark.checkpoint.dir``.
+
+    Local sessions, as in tests, may do without that setting.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is not None:
+        return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+    return tempfile.mkdtemp(prefix="shared-")
