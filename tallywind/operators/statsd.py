@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywind.functions.maps import drop, last_wins, literal_map, put, series
+from tallywind.functions.maps import last_wins
 from tallywind.functions.text import is_identifier, parse_float
 from tallywind.functions.time import epoch, norm_epoch
 
@@ -33,12 +33,6 @@ def _unescape(value: Column) -> Column:
     return F.when(value.contains("\\"), F.array_join(plain, "")).otherwise(value)
 
 
-def _tag_entries(text: Column) -> Column:
-    keys = F.regexp_extract_all(text, F.lit(_TAG), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(_TAG), F.lit(2))
-    return F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), _unescape(v).alias("value")))
-
-
 def classify_statsd(lines: DataFrame, timestamp_window: float = 600.0) -> DataFrame:
     """All parsed parts of ``(line, recv_ts, seq)`` plus ``reject_reason`` (NULL = valid)."""
     line = F.col("line")
@@ -71,9 +65,16 @@ def classify_statsd(lines: DataFrame, timestamp_window: float = 600.0) -> DataFr
         }
     )
     # Tags are only taken apart where the whole tag text is known to be good.
-    df = df.withColumn(
-        "entries", F.when(F.col("tags_ok") & (F.col("tag_part") != ""), _tag_entries(F.col("tag_part")))
+    tagged = F.col("tags_ok") & (F.col("tag_part") != "")
+    df = df.withColumns(
+        {
+            "keys": F.when(tagged, F.regexp_extract_all("tag_part", F.lit(_TAG), F.lit(1))),
+            "texts": F.when(tagged, F.regexp_extract_all("tag_part", F.lit(_TAG), F.lit(2))),
+        }
     )
+    plain = F.arrays_zip(F.col("keys").alias("key"), F.col("texts").alias("value"))
+    escaped = F.arrays_zip(F.col("keys").alias("key"), F.transform("texts", _unescape).alias("value"))
+    df = df.withColumn("entries", F.when(F.col("tag_part").contains("\\"), escaped).otherwise(plain))
     special = F.col("tag_part").contains("timestamp") | F.col("tag_part").contains("bucket")
     times = F.transform(
         F.filter("entries", lambda e: e["key"] == "timestamp"), lambda e: norm_epoch(parse_float(e["value"]), None)
@@ -98,7 +99,11 @@ def classify_statsd(lines: DataFrame, timestamp_window: float = 600.0) -> DataFr
         .when((F.col("kind") != "set") & F.col("value").isNull(), "value")
         .when(~rate_ok, "rate")
     )
-    return df.withColumn("reject_reason", reason)
+    parts = ["kind", "name", "raw", "value", "rate", "keys", "entries", "times", "reject_reason"]
+    # Through a generator, as filters on what comes out of one stay above it: moved down to the scan,
+    # they would drag a second evaluation of the whole parse along.
+    df = df.withColumn("reject_reason", reason)
+    return df.select("line", "recv_ts", "seq", F.inline(F.array(F.struct(*parts))))
 
 
 def parse_statsd(lines: DataFrame, timestamp_window: float = 600.0) -> DataFrame:
@@ -109,13 +114,19 @@ def parse_statsd(lines: DataFrame, timestamp_window: float = 600.0) -> DataFrame
     text is parsed once and every aggregate reads its own partition only.
     """
     df = classify_statsd(lines, timestamp_window).where("reject_reason IS NULL")
-    given = F.when(F.col("entries").isNull(), literal_map({})).otherwise(last_wins(F.col("entries")))
-    tags = put(drop(given, "timestamp"), "name", F.col("name"))
+    own = F.array(F.struct(F.lit("name").alias("key"), F.col("name").alias("value")))
+    others = F.when(
+        F.array_contains("keys", "name") | F.array_contains("keys", "timestamp"),
+        F.filter("entries", lambda e: ~e["key"].isin("name", "timestamp")),
+    ).otherwise(F.col("entries"))
+    repeats = F.size(F.array_distinct("keys")) < F.size("keys")
+    given = F.when(repeats, F.map_entries(last_wins(others))).otherwise(others)
+    key = F.when(F.col("entries").isNull(), own).otherwise(F.sort_array(F.concat(given, own)))
     last_time = F.round(F.try_element_at("times", F.lit(-1)), 3)
-    return df.select(
-        "kind", "name", "raw", "value", "rate", tags.alias("tags"), series(tags).alias("series"),
-        last_time.alias("cust_ts"), "recv_ts", "seq",
+    samples = df.select(
+        "kind", "name", "raw", "value", "rate", key.alias("series"), last_time.alias("cust_ts"), "recv_ts", "seq"
     )
+    return samples.withColumn("tags", F.map_from_entries("series"))
 
 
 def rejected_lines(lines: DataFrame, timestamp_window: float = 600.0) -> DataFrame:

@@ -56,6 +56,11 @@ def _r(name: str) -> Column:
     return F.round(F.col(name), 6).alias(name)
 
 
+def _total() -> Column:
+    """Mean as a sum: sums of two-decimal values round alike in any order of addition, means may not."""
+    return F.round(F.col("mean") * F.col("count"), 4).alias("total")
+
+
 def _samples(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return parse_statsd(I.statsd_lines(I.events(spark, folder), kind))
 
@@ -66,14 +71,15 @@ _DAY = "CAST(epoch(date_trunc('day', ts)) AS BIGINT)"
 
 _COUNTERS = f"""
 SELECT event_type AS name, 'u' || user_id AS user, {_DAY} AS win_start,
-  round(sum(value / CASE WHEN event_id % 2 = 1 THEN 0.5 ELSE 1 END) / 86400, 6) AS rate,
-  round(sum(value / CASE WHEN event_id % 2 = 1 THEN 0.5 ELSE 1 END), 6) AS count,
+  round(sum(value / CASE WHEN event_id % 2 = 1 THEN 0.5 ELSE 1 END), 4) AS per_day,
+  round(sum(value / CASE WHEN event_id % 2 = 1 THEN 0.5 ELSE 1 END), 4) AS count,
   CAST({_DAY} + 86400 AS DOUBLE) AS ts
 FROM events GROUP BY ALL"""
 
 
 def _counter_columns(df: DataFrame) -> DataFrame:
-    return df.select(_tag("name"), _tag("user"), _start(), _r("rate"), _r("count"), "ts")
+    per_day = F.round(F.col("rate") * DAY, 4).alias("per_day")
+    return df.select(_tag("name"), _tag("user"), _start(), per_day, F.round("count", 4).alias("count"), "ts")
 
 
 @query(_COUNTERS)
@@ -110,7 +116,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY event_type, win_start ORDER BY v
 t AS (SELECT unnest([50.0, 90.0, 99.5, 100.0]) AS threshold),
 x AS (SELECT *, CASE WHEN threshold = 100 THEN n ELSE greatest(1, CAST(floor(CAST(threshold AS DOUBLE) * n / 100) AS BIGINT)) END AS nt FROM r, t)
 SELECT event_type AS name, win_start, CAST(CAST(threshold AS DOUBLE) AS VARCHAR) AS percentile, count(*) AS count,
-  round(count(*) / 86400, 6) AS count_ps, min(value) AS lower, max(value) AS upper, round(avg(value), 6) AS mean,
+  round(count(*) / 86400, 6) AS count_ps, min(value) AS lower, max(value) AS upper, round(avg(value) * count(*), 4) AS total,
   round(stddev_samp(value), 6) AS stdev
 FROM x WHERE rn <= nt GROUP BY event_type, win_start, threshold"""
 
@@ -122,7 +128,7 @@ def _timer_lines(spark, folder):
 
 def _timer_columns(df: DataFrame) -> DataFrame:
     return df.select(
-        _tag("name"), _start(), _tag("percentile"), "count", _r("count_ps"), "lower", "upper", _r("mean"), _r("stdev")
+        _tag("name"), _start(), _tag("percentile"), "count", _r("count_ps"), "lower", "upper", _total(), _r("stdev")
     )
 
 
@@ -143,13 +149,13 @@ _HISTOGRAMS = f"""
 SELECT event_type AS name, 'u' || user_id AS user, {_DAY} AS win_start,
   CASE WHEN event_type = 'click' THEN 'all' WHEN value < 10 THEN 'low' ELSE 'mid' END AS histogram,
   count(*) AS count, round(count(*) / 86400, 6) AS count_ps, min(value) AS lower, max(value) AS upper,
-  round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stdev
+  round(avg(value) * count(*), 4) AS total, round(stddev_samp(value), 6) AS stdev
 FROM events WHERE event_type = 'click' OR (event_type != 'error' AND value < 50) GROUP BY ALL"""
 
 
 def _histogram_columns(df: DataFrame) -> DataFrame:
     return df.select(
-        _tag("name"), _tag("user"), _start(), _tag("histogram"), "count", _r("count_ps"), "lower", "upper", _r("mean"), _r("stdev")
+        _tag("name"), _tag("user"), _start(), _tag("histogram"), "count", _r("count_ps"), "lower", "upper", _total(), _r("stdev")
     )
 
 
@@ -630,7 +636,7 @@ def stream_sets(spark, folder):
 def stream_timers(spark, folder):
     out = _run_stream(spark, folder, "ms", windows.timers([50, 90, 99.5, 100], DAY))
     return out.select(
-        _tag("name"), _tag("user"), _start(), _tag("percentile"), "count", _r("count_ps"), "lower", "upper", _r("mean"), _r("stdev")
+        _tag("name"), _tag("user"), _start(), _tag("percentile"), "count", _r("count_ps"), "lower", "upper", _total(), _r("stdev")
     )
 
 
