@@ -115,26 +115,34 @@ def float_text(value: Column) -> Column:
     )
 
 
-def _json_unit(unit: Column) -> Column:
-    """One UTF-16 unit, given as four hex digits, as it appears inside an ASCII JSON string."""
-    return (
-        F.when(unit == "0022", F.lit('\\"'))
-        .when(unit == "005c", F.lit("\\\\"))
-        .when(unit.between("0020", "007e"), F.char(F.conv(unit, 16, 10).cast("int")))
-        .when(unit == "000a", F.lit("\\n"))
-        .when(unit == "000d", F.lit("\\r"))
-        .when(unit == "0009", F.lit("\\t"))
-        .when(unit == "0008", F.lit("\\b"))
-        .when(unit == "000c", F.lit("\\f"))
-        .otherwise(F.concat(F.lit("\\u"), unit))
-    )
+# Characters with a short escape in JSON, by code point.
+JSON_ESCAPES = {34: '\\"', 92: "\\\\", 10: "\\n", 13: "\\r", 9: "\\t", 8: "\\b", 12: "\\f"}
+
+
+def _json_piece(piece: Column) -> Column:
+    """A run of plain characters as it is, a single other character as its ASCII escape."""
+
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def escape(code: Column) -> Column:
+        beyond = code - 0x10000
+        pair = F.concat(
+            unit(F.lit(0xD800) + F.shiftright(beyond, 10)), unit(F.lit(0xDC00) + beyond.bitwiseAND(F.lit(0x3FF)))
+        )
+        out = F.when(code.between(32, 126) & ~code.isin(34, 92), piece)
+        for special, text in JSON_ESCAPES.items():
+            out = out.when(code == special, F.lit(text))
+        return out.when(code < 0x10000, unit(code)).otherwise(pair)
+
+    return let(F.ascii(piece), escape)
 
 
 def json_string(text: Column) -> Column:
-    """Quoted JSON string in ASCII; only text outside printable ASCII pays for the unit walk."""
+    """Quoted JSON string in ASCII; only text outside printable ASCII is taken to pieces."""
     short = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    units = F.regexp_extract_all(F.lower(F.hex(F.encode(text, "UTF-16BE"))), F.lit("(.{4})"), F.lit(1))
-    wide = F.array_join(F.transform(units, _json_unit), "")
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)([ !#-\[\]-~]++|.)"), F.lit(1))
+    wide = F.array_join(F.transform(pieces, _json_piece), "")
     body = F.when(text.rlike("[^ -~]"), wide).otherwise(short)
     return F.concat(F.lit('"'), body, F.lit('"'))
 

@@ -94,7 +94,7 @@ def _narrow(values: DataFrame, ranges: DataFrame, scale) -> DataFrame:
     inside = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
     finite = F.when(_is_finite(F.col("value")), F.col("value"))
     counted = (
-        values.join(F.broadcast(ranges), ["h1", "h2"]).where(inside)
+        values.join(ranges, ["h1", "h2"]).where(inside)
         .withColumn("bucket", _bucket(F.col("value"), F.col("f_lo"), F.col("f_hi"), scale))
         .groupBy("h1", "h2", "wanted", "bucket")
         .agg(
@@ -116,6 +116,13 @@ def _narrow(values: DataFrame, ranges: DataFrame, scale) -> DataFrame:
     )
 
 
+def _small(df: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Broadcast what has at most MAX_HOT rows with one entry per threshold: under 50 MB up to 50 of
+    them. With more, Spark decides on measured sizes.
+    """
+    return F.broadcast(df) if len(thresholds) <= 50 else df
+
+
 def _by_narrowing(rows: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
     # Equal values meet on the map side, and the shuffle key contains the value, so no task gets
     # the whole group. Every round below reads the checkpoint of this.
@@ -135,11 +142,11 @@ def _by_narrowing(rows: DataFrame, keys: list[str], thresholds: list[float]) ->
     ])
     ranges = groups.select("h1", "h2", "lo", "hi", "f_lo", "f_hi", wanted.alias("wanted"))
     for scale in (_log_scale, lambda v: v, lambda v: v):
-        ranges = _narrow(values, ranges, scale)
+        ranges = _narrow(values, _small(ranges, thresholds), scale)
     inside = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
     upto = W.partitionBy("h1", "h2", "wanted").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
     rest = (
-        values.join(F.broadcast(ranges), ["h1", "h2"]).where(inside)
+        values.join(_small(ranges, thresholds), ["h1", "h2"]).where(inside)
         .withColumn("end", F.sum("weight").over(upto)).withColumn("start", F.col("end") - F.col("weight"))
         .withColumn("w", F.explode("wanted"))
         .where((F.col("w.need") > F.col("start")) & (F.col("w.need") <= F.col("end")))
@@ -161,7 +168,7 @@ def _by_narrowing(rows: DataFrame, keys: list[str], thresholds: list[float]) ->
 
     count = range(len(thresholds))
     means = (
-        values.join(F.broadcast(found), ["h1", "h2"]).groupBy("h1", "h2")
+        values.join(_small(found, thresholds), ["h1", "h2"]).groupBy("h1", "h2")
         .agg(*[(F.sum(taken(i) * F.col("value")) / F.sum(taken(i))).alias(f"mean{i}") for i in count])
     )
     aggs: list[Column] = [
@@ -183,7 +190,7 @@ def _by_narrowing(rows: DataFrame, keys: list[str], thresholds: list[float]) ->
                 F.when(size > 1, F.sqrt(F.col(f"squares{i}") / (size - 1))).alias("stdev"),
             )
         )
-    joined = values.join(F.broadcast(found.join(means, ["h1", "h2"])), ["h1", "h2"])
+    joined = values.join(_small(found.join(means, ["h1", "h2"]), thresholds), ["h1", "h2"])
     return _unfold(joined.groupBy(*keys).agg(*aggs), keys, stats)
 
 

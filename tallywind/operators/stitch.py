@@ -232,7 +232,10 @@ def stitch(
         marked = _islands(lines, ["stream"], run)
     marked = marked.withColumn("island", F.coalesce("island", F.lit(-1)))
     busy = F.coalesce(F.col("started") >= F.col("island"), F.lit(False))
-    alone = marked.where(~busy).select(*fields)
+    # Both branches read the same exchange as long as they need the same columns. This always-true
+    # test keeps column pruning from giving the first one an exchange, and a scan, of its own.
+    all_columns = F.hash("stream", *fields) >= -(2**31)
+    alone = marked.where(~busy & all_columns).select(*fields)
     schema = events.select(*fields).schema
     level = trace_level if "level" in fields else None
 
