@@ -34,15 +34,18 @@ def _typed(token: Column, decoded: Column) -> Column:
         F.when(token.startswith('"'), "str").when(token.isin("true", "false"), "bool")
         .when(token == "null", "null").when(token.rlike("^-?[0-9]+$"), "int").otherwise("float")
     )
-    number = F.when(token == "NaN", F.lit("nan")).when(token == "Infinity", F.lit("inf")).when(
-        token == "-Infinity", F.lit("-inf")
-    ).otherwise(float_text(token.try_cast("double")))
-    text = (
-        F.when(token.startswith('"'), decoded).when(token == "true", F.lit("True")).when(token == "false", F.lit("False"))
-        .when(token == "null", F.lit(None)).when(token == "-0", F.lit("0")).when(token.rlike("^-?[0-9]+$"), token)
-        .otherwise(number)
-    )
-    return F.struct(tag.alias("t"), text.alias("v"))
+
+    def value(kind: Column) -> Column:
+        number = F.when(token == "NaN", F.lit("nan")).when(token == "Infinity", F.lit("inf")).when(
+            token == "-Infinity", F.lit("-inf")
+        ).otherwise(float_text(token.try_cast("double")))
+        text = (
+            F.when(kind == "str", decoded).when(kind == "int", F.when(token == "-0", F.lit("0")).otherwise(token))
+            .when(kind == "bool", F.initcap(token)).when(kind == "float", number)
+        )
+        return F.struct(kind.alias("t"), text.alias("v"))
+
+    return let(tag, value)
 
 
 def flat_values(text: Column) -> Column:
@@ -84,7 +87,8 @@ def parse_json_events(lines: DataFrame, timestamp_window: float = 600.0) -> Data
         lambda own: own.isNull()
         | F.coalesce(~F.isnan(own["at"]) & (F.abs(received - own["at"]) <= timestamp_window), F.lit(False)),
     )
-    kept = stamped.where(near)
+    # Through a generator, so that the filter is not moved below the values and computes them again.
+    kept = stamped.select("recv_ts", "seq", F.inline(F.array(F.struct("values", "own")))).where(near)
     return kept.select(
         F.lit("metrics").alias("bucket"),
         F.map_filter("values", lambda k, v: k != "timestamp").alias("values"),
