@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallywind.functions.text import let
+
 
 def literal_map(items: dict[str, str]) -> Column:
     if not items:
@@ -18,13 +20,15 @@ def literal_map(items: dict[str, str]) -> Column:
 
 def last_wins(entries: Column) -> Column:
     """Map from an array of (key, value) structs in which later entries replace earlier ones."""
-    keys = F.transform(entries, lambda e: e["key"])
-    unique = F.size(F.array_distinct(keys)) == F.size(keys)
-    kept = F.filter(
-        entries,
-        lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]),
-    )
-    return F.when(unique, F.map_from_entries(entries)).otherwise(F.map_from_entries(kept))
+
+    def build(entries: Column, keys: Column) -> Column:
+        kept = F.filter(
+            entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])
+        )
+        unique = F.size(F.array_distinct(keys)) == F.size(keys)
+        return F.when(unique, F.map_from_entries(entries)).otherwise(F.map_from_entries(kept))
+
+    return let(entries, lambda e: let(F.transform(e, lambda x: x["key"]), lambda keys: build(e, keys)))
 
 
 def merge(base: Column, over: Column) -> Column:
