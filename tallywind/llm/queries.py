@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywind.llm import decontaminate, quality
+from tallywind.llm import decontaminate, main_text, neardup, packing, quality, secrets, sharding
 from tallywind.llm.tables import land, table
 
 
@@ -32,9 +32,52 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    # The rank file holds the vocabulary of byte_bpe_50k.json: equal ids, a third of the time.
+    packed = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
+    )
+
+
+def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    found = neardup.cluster(table(spark, folder, "documents"), shingle_words=3, percent=85, keep=["doc_id"])
+    return found.select(
+        "doc.doc_id", "n_shingles", "component_id", F.col("doc.doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    shards = sharding.assign_shards(table(spark, folder, "documents"))
+    return shards.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"), ["doc_id"])
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {k})) AS bigint)").alias(f"n_{secrets.KINDS[k].name}") for k in range(3)]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"),
+        secrets.digest(F.col("all_spans")).alias("spans"),
+        F.array_join(F.transform("all_spans", lambda s: F.when(s["live"], "live").otherwise("example")), ",").alias("verdicts"),
+    )
+
+
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_packing": op3_packing,
     "op4_quality": op4_quality,
+    "op5_neardup": op5_neardup,
+    "op6_sharding": op6_sharding,
+    "op7_secrets": op7_secrets,
+    "op10_main_text": op10_main_text,
 }
 
 SQL: dict[str, str] = {}
