@@ -245,7 +245,7 @@ def cluster(documents: DataFrame, shingle_words: int = 5, percent: int = 80, kee
         "bucket", F.col("row").alias("b"), F.col("component").alias("c_b"), F.col("n_a").alias("n_b"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(_WORDS)]
     )
     # Pairs with the hub were compared in the first step.
-    rest = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("a") < F.col("b")) & (F.col("c_a") <> F.col("c_b")) & (F.col("a") <> F.col("hub")) & alike)
+    rest = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.col("a") != F.col("hub")) & alike)
     found = verify(rest.select("a", "b").distinct(), texts, shingle_words, percent)
     joined = components(linked.unionAll(found))
 
