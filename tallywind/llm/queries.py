@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywind.llm import decontaminate, main_text, neardup, packing, quality, secrets, sharding
+from tallywind.llm import chat, decontaminate, hosts, licenses, main_text, neardup, packing, quality, secrets, sharding
 from tallywind.llm.tables import land, table
 
+#: The rules of the contract, longest first only by their effect.
+URL_RULES = (
+    hosts.Rule("allow", "com", "/"), hosts.Rule("block", "example.com", "/en/"), hosts.Rule("allow", "www.example.com", "/en/"),
+    hosts.Rule("block", "net", "/es/"), hosts.Rule("block", "net", "/fr/"),
+)
+
 
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     spans = decontaminate.find_spans(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -22,13 +28,12 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    features = quality.vote(quality.add_features(documents))
-    judged = quality.judge(land(features.select(F.col("doc.doc_id"), *[c for c in features.columns if c != "doc"])))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        quality.base_failed().alias("base_failed"), (F.col("good") & ~quality.base_failed()).alias("kept"), "posterior",
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.withColumn("copy", F.explode_outer(F.expr("sequence(1, copies)"))).select(
+        "doc_id", "n_sentences", F.size("found").cast("long").alias("n_known"),
+        F.array_join(F.transform("found", lambda f: f["sentence_id"]), ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
     )
 
 
@@ -42,6 +47,16 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    features = quality.vote(quality.add_features(documents))
+    judged = quality.judge(land(features.select(F.col("doc.doc_id"), *[c for c in features.columns if c != "doc"])))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality.base_failed().alias("base_failed"), (F.col("good") & ~quality.base_failed()).alias("kept"), "posterior",
+    )
+
+
 def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
     found = neardup.cluster(table(spark, folder, "documents"), shingle_words=3, percent=85, keep=["doc_id"])
     return found.select(
@@ -66,17 +81,35 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    views = chat.rotate(table(spark, folder, "conversations"))
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
+    return views.select("conv_id", "part", "speaker", "n_turns", "n_own", "text", spans.alias("masks"))
+
+
+def op9_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    # The tables have no labels of pages; those of the documents with the same numbers stand in for them.
+    outcomes = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("page_id"), F.expr("cast(quality = 1 AND toxic = 0 AS int)").alias("good")
+    )
+    judged = hosts.judge(table(spark, folder, "pages"), outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.extract(table(spark, folder, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_licenses": op2_licenses,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_neardup": op5_neardup,
     "op6_sharding": op6_sharding,
     "op7_secrets": op7_secrets,
+    "op8_chat": op8_chat,
+    "op9_hosts": op9_hosts,
     "op10_main_text": op10_main_text,
 }
 
