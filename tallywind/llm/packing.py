@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywind.llm.tables import land
+from tallywind.llm.tables import land, small
 
 #: Tokens after which a batch of pieces is passed on.
 BATCH_TOKENS = 2_000_000
@@ -91,7 +91,8 @@ def pack(documents: DataFrame, vocabulary: str, pattern: str, longest: int = 102
     first = F.sum("all").over(Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1))
     lengths = lengths.select("length", F.coalesce(first, F.lit(0)).alias("first"))
     numbers = counts.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(lengths), "length")
-    numbered = pieces.join(numbers.select("length", "part", (F.col("first") + F.col("before")).alias("base")), ["length", "part"])
+    numbers = numbers.select("length", "part", (F.col("first") + F.col("before")).alias("base"))
+    numbered = pieces.join(small(numbers), ["length", "part"])  # one row per task and length
     return numbered.select(
         "doc_id", "start", "length", "tokens", "doc_tokens", F.col("length").alias("bucket"),
         (F.col("base") + F.col("place")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"),

@@ -34,6 +34,11 @@ def land(frame: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def small(frame: DataFrame, rows: int = 500_000) -> DataFrame:
+    """`frame` marked for broadcast if a count shows that it has at most so many (narrow) rows; else Spark joins as it likes."""
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to lower case and nothing else; `lower` does just that where the text has one byte per character."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
