@@ -5,7 +5,8 @@ odd sketch (a bitmap in which every sample flips one bit) tells from the populat
 samples differ, precisely where similarity is high. Only candidates that pass this are verified on the full sets.
 
 Texts with equal sets form a class with one representative. In each band bucket representatives are first compared with the
-bucket's smallest one, a star instead of all pairs; what is then connected needs no further comparison. Only pairs of one
+bucket's smallest one, its hub: a star instead of all pairs, and first of all one hub for each representative; what is then
+connected needs no further comparison. Only pairs of one
 bucket that are still in different components are looked at in a second step, filtered by set size and sketch in the join.
 """
 
@@ -227,11 +228,22 @@ def cluster(documents: DataFrame, shingle_words: int = 5, percent: int = 80, kee
     right = nodes.select(F.col("row").alias("b"), F.col("n_shingles").alias("n_b"), *_sketch_columns(F.col("sketch"), "y"))
     alike = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_odd_bits("x", "y") <= most)
 
-    stars = busy.filter("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = stars.join(left, "a").join(right, "b").filter(alike).select("a", "b")
+    def compared(pairs: DataFrame) -> DataFrame:
+        close = pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b")
+        return land(verify(close, texts, shingle_words, percent))
+
     # Texts that are in a busy bucket at all; of these, only the ones in pairs are shuffled again.
     texts = land(rows.select("row", "text").join(busy.select("row").distinct(), "row", "left_semi"))
-    linked = land(verify(stars, texts, shingle_words, percent))
+    # One comparison for each row: with the smallest of its hubs. In a large group most rows are linked by this already.
+    hubs = busy.filter("row <> hub").groupBy("row").agg(F.min("hub").alias("b")).withColumnRenamed("row", "a")
+    linked = compared(hubs)
+    joined = components(linked)
+    # Then with those other hubs that are still in another component.
+    of_row = joined.select(F.col("node").alias("row"), F.col("component").alias("c_row"))
+    of_hub = joined.select(F.col("node").alias("hub"), F.col("component").alias("c_hub"))
+    apart = busy.filter("row <> hub").select("row", "hub").distinct().join(of_row, "row", "left").join(of_hub, "hub", "left")
+    apart = apart.filter("coalesce(c_row, row) <> coalesce(c_hub, hub)").select(F.col("row").alias("a"), F.col("hub").alias("b"))
+    linked = land(linked.unionAll(compared(apart.join(hubs, ["a", "b"], "left_anti"))))
     joined = components(linked)
 
     # Second step: pairs of one bucket in different components.
