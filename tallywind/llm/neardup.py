@@ -6,8 +6,8 @@ samples differ, precisely where similarity is high. Only candidates that pass th
 
 Texts with equal sets form a class with one representative. In each band bucket representatives are first compared with the
 bucket's smallest one, its hub: a star instead of all pairs, and first of all one hub for each representative; what is then
-connected needs no further comparison. Only pairs of one
-bucket that are still in different components are looked at in a second step, filtered by set size and sketch in the join.
+connected needs no further comparison. Only pairs of one bucket that are still in different components are looked at in a
+second step, filtered by set size and sketch and linked within the bucket, block by block.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from tallywind.llm.tables import land
 BANDS, SKETCH_BITS = 40, 512
 #: Words whose hashes a task remembers before it starts afresh.
 REMEMBERED_WORDS = 500_000
+#: Rows of one bucket that a task compares with each other, or with as many others.
+BLOCK = 2_000
 _WORDS = SKETCH_BITS // 64
 
 
@@ -37,7 +39,7 @@ def band_rows(similarity: float, bands: int = BANDS, miss: float = 1e-5) -> int:
     return rows
 
 
-def most_odd_bits(similarity: float, samples: int, sigmas: float = 6.0) -> int:
+def most_odd_bits(similarity: float, samples: int, sigmas: float = 4.5) -> int:
     """The population count above which two sketches are less similar than that, `sigmas` standard deviations allowed."""
     def expected(j: float) -> float:
         return SKETCH_BITS / 2 * (1 - math.exp(-4 * samples * (1 - j) / SKETCH_BITS))
@@ -150,6 +152,54 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(batches, "a bigint, b bigint")
 
 
+def link_buckets(near: DataFrame, signed: DataFrame, texts: DataFrame, size: int, percent: int, most: int, block: int = BLOCK) -> DataFrame:
+    """Links `a, b` between different components within buckets of `near` (`bucket, band, row, component`).
+
+    Full sets come to the buckets, and what is linked there already isn't compared again, so no task passes on more links
+    than rows. A bucket of more than `block` rows is dealt into blocks, and each two blocks meet in a group of their own; so a
+    group's size is bounded and all pairs are still looked at. A pair that shares several buckets is compared in the first.
+    """
+    sizes = near.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sets = texts.join(near.select("row").distinct(), "row", "left_semi").select("row", F.col("text").cast("string").alias("text"))
+
+    def as_sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
+        for frame in frames:
+            found = [shingles(text.as_py()).tobytes() for text in frame.column("text")]
+            yield pa.RecordBatch.from_arrays([frame.column("row"), pa.array(found, pa.binary())], names=["row", "shingles"])
+
+    whole = sets.mapInArrow(as_sets, "row bigint, shingles binary").join(signed, "row")
+    dealt = near.join(sizes, "bucket").withColumn("own", F.expr("cast(pmod(xxhash64(row), blocks) AS int)"))
+    dealt = dealt.withColumn("other", F.explode_outer(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("bucket", "band", "row", "component", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+
+    def linked(key: tuple, group: pa.Table) -> pa.Table:
+        band, first, second = group.column("band")[0].as_py(), key[1].as_py(), key[2].as_py()
+        rows, comps, own = (group.column(c).to_numpy() for c in ("row", "component", "own"))
+        held = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
+        n = np.array([len(x) for x in held])
+        sketches = np.array(group.column("sketch").to_pylist(), np.int64).view(np.uint64)  # of signed numbers, magnitudes would be counted
+        earlier = np.array(group.column("bands").to_pylist(), np.int64)[:, :band]
+        _, comps = np.unique(comps, return_inverse=True)
+        out_a, out_b = [], []
+        for i in range(len(rows)):
+            later = np.arange(i + 1, len(rows)) if first == second else np.flatnonzero((own != own[i]) & (np.arange(len(rows)) > i))
+            later = later[comps[later] != comps[i]]
+            later = later[100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i])]
+            later = later[np.bitwise_count(sketches[later] ^ sketches[i]).sum(axis=1) <= most]
+            later = later[~(earlier[later] == earlier[i]).any(axis=1)]
+            for j in later:
+                if comps[i] != comps[j]:
+                    both = len(np.intersect1d(held[i], held[j], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        out_a.append(rows[i])
+                        out_b.append(rows[j])
+                        comps[comps == comps[j]] = comps[i]
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return dealt.join(whole, "row").groupBy("bucket", "first", "second").applyInArrow(linked, "a bigint, b bigint")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """`node, component` (the smallest node reachable) for all nodes of the undirected `a, b` that aren't it themselves.
 
@@ -220,9 +270,14 @@ def cluster(documents: DataFrame, shingle_words: int = 5, percent: int = 80, kee
             "set_a", "set_b", "first.row", "first.n_shingles", F.col("first.sketch").alias("sketch"), F.col("first.bands").alias("bands")
         )
     )
-    banded = nodes.select("row", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("row").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    busy = land(banded.join(shared.select("bucket", "hub"), "bucket"))
+    banded = nodes.select("row", F.posexplode("bands").alias("band", "bucket"))
+    crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowds = land(banded.join(crowded, "bucket"))
+    # A hub is the bucket's row with the most company in all its buckets: in a group of near copies that is their original.
+    scored = crowds.join(crowds.groupBy("row").agg(F.sum("n").alias("score")), "row")
+    hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", -F.col("row"))).alias("top"))
+    hubs = hubs.select("bucket", F.col("top.score").alias("hub_score"), (-F.col("top")["col2"]).alias("hub"))
+    busy = land(crowds.select("bucket", "band", "row").join(hubs, "bucket"))
 
     left = nodes.select(F.col("row").alias("a"), F.col("n_shingles").alias("n_a"), *_sketch_columns(F.col("sketch"), "x"))
     right = nodes.select(F.col("row").alias("b"), F.col("n_shingles").alias("n_b"), *_sketch_columns(F.col("sketch"), "y"))
@@ -234,31 +289,28 @@ def cluster(documents: DataFrame, shingle_words: int = 5, percent: int = 80, kee
 
     # Texts that are in a busy bucket at all; of these, only the ones in pairs are shuffled again.
     texts = land(rows.select("row", "text").join(busy.select("row").distinct(), "row", "left_semi"))
-    # One comparison for each row: with the smallest of its hubs. In a large group most rows are linked by this already.
-    hubs = busy.filter("row <> hub").groupBy("row").agg(F.min("hub").alias("b")).withColumnRenamed("row", "a")
-    linked = compared(hubs)
+    # One comparison for each row, with the best of its hubs. In a large group most rows are linked by this already.
+    best = busy.filter("row <> hub").groupBy("row").agg(F.max(F.struct("hub_score", "hub")).alias("top"))
+    best = best.select(F.col("row").alias("a"), F.col("top.hub").alias("b"))
+    linked = compared(best)
     joined = components(linked)
     # Then with those other hubs that are still in another component.
     of_row = joined.select(F.col("node").alias("row"), F.col("component").alias("c_row"))
     of_hub = joined.select(F.col("node").alias("hub"), F.col("component").alias("c_hub"))
     apart = busy.filter("row <> hub").select("row", "hub").distinct().join(of_row, "row", "left").join(of_hub, "hub", "left")
     apart = apart.filter("coalesce(c_row, row) <> coalesce(c_hub, hub)").select(F.col("row").alias("a"), F.col("hub").alias("b"))
-    linked = land(linked.unionAll(compared(apart.join(hubs, ["a", "b"], "left_anti"))))
+    linked = land(linked.unionAll(compared(apart.join(best, ["a", "b"], "left_anti"))))
     joined = components(linked)
 
-    # Second step: pairs of one bucket in different components.
-    placed = busy.join(joined, busy["row"] == joined["node"], "left").select(
-        "bucket", "row", "hub", F.coalesce("component", "row").alias("component")
-    )
+    # Second step: pairs of one bucket in different components. Rows without any such partner that looks alike drop out.
+    placed = busy.join(joined, busy["row"] == joined["node"], "left").select("bucket", "band", "row", F.coalesce("component", "row").alias("component"))
     open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     still = land(placed.join(open_buckets, "bucket").join(left.withColumnRenamed("a", "row"), "row"))
-    one = still.select("bucket", F.col("row").alias("a"), F.col("component").alias("c_a"), "hub", "n_a", *[f"x{k}" for k in range(_WORDS)])
-    two = still.select(
-        "bucket", F.col("row").alias("b"), F.col("component").alias("c_b"), F.col("n_a").alias("n_b"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(_WORDS)]
+    other = still.select(
+        F.col("bucket").alias("bucket_b"), F.col("component").alias("c_b"), F.col("n_a").alias("n_b"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(_WORDS)]
     )
-    # Pairs with the hub were compared in the first step.
-    rest = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.col("a") != F.col("hub")) & alike)
-    found = verify(rest.select("a", "b").distinct(), texts, shingle_words, percent)
+    near = land(still.join(other, (F.col("bucket") == F.col("bucket_b")) & (F.col("component") != F.col("c_b")) & alike, "left_semi").select("bucket", "band", "row", "component"))
+    found = land(link_buckets(near, nodes.select("row", "sketch", "bands"), texts, shingle_words, percent, most))
     joined = components(linked.unionAll(found))
 
     # Rows to their set's node, nodes to their component, components to the smallest id.
