@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywind.llm import chat, decontaminate, hosts, licenses, main_text, neardup, packing, quality, secrets, sharding
+from tallywind.llm import chat, decontaminate, hosts, licenses, main_text, neardup, oracle, packing, quality, secrets, sharding
 from tallywind.llm.tables import land, table
 
 #: The rules of the contract, longest first only by their effect.
@@ -113,4 +113,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
 }
 
-SQL: dict[str, str] = {}
+#: The others need a tokenizer, EM, sketches, Spark's hash or an HTML parser; tests compare them with brute force.
+SQL: dict[str, str] = {
+    "op1_decontaminate": oracle.DECONTAMINATE,
+    "op2_licenses": oracle.licenses_sql(),
+    "op8_chat": oracle.CHAT,
+    "op9_hosts": oracle.HOSTS,
+}
