@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywind.llm.tables import land, space_words
+from tallywind.llm.tables import land, row_key, space_words
 
 #: Frequent function words of the languages that the rules know.
 STOP_WORDS = (
@@ -158,5 +158,10 @@ def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES, threshold:
     Judged by text alone: equal texts, ids repeated or null make no difference. Null, empty and blank texts have too few
     words and go. An empty table gives none.
     """
-    voted = land(vote(add_features(documents), rules))
-    return judge(voted, rules, threshold).filter(F.col("good") & ~base_failed()).select("doc.*")
+    key = row_key(F.col("text"))
+    featured = vote(add_features(documents.select("text")), rules)
+    features = [c for c in featured.columns if c != "doc"]
+    voted = land(featured.select("doc.text", *features).select(*key, *features))  # numbers only, no texts
+    good = judge(voted, rules, threshold).filter(F.col("good") & ~base_failed()).select("key_a", "key_b").distinct()
+    rows = documents.select(F.struct("*").alias("doc"), *key)
+    return rows.join(good, ["key_a", "key_b"], "left_semi").select("doc.*")
