@@ -39,13 +39,13 @@ def rstrip(text: Column) -> Column:
 
 def is_identifier(text: Column) -> Column:
     """A name that starts with a letter (so not with ``_``) and has no dots or hyphens."""
-    return text.rlike(f"^{IDENTIFIER}$")
+    return text.rlike(f"^{IDENTIFIER}\\z")
 
 
 # Fixed value: the float grammar, ASCII digits with optional single underscores between them.
 _DIGITS = r"[0-9]++(?:_[0-9]++)*+"
 FLOAT_TEXT = (
-    rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)$"
+    rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)\z"
 )
 
 
@@ -65,7 +65,7 @@ def parse_float(text: Column) -> Column:
         number = F.when(plain.isin("+nan", "-nan"), F.lit("nan")).otherwise(plain).try_cast("double")
         return F.when(bare.rlike(FLOAT_TEXT), number)
 
-    return F.when(text.rlike(r"^-?[0-9]++(?:\.[0-9]++)?$"), text.try_cast("double")).otherwise(
+    return F.when(text.rlike(r"^-?[0-9]++(?:\.[0-9]++)?\z"), text.try_cast("double")).otherwise(
         let(strip(text), general)
     )
 

@@ -67,4 +67,5 @@ def binned_by_function(selector: Callable) -> Callable[[Column, Column], Column]
                 names.append(str(name) if name else None)
             yield pd.Series(names, dtype=object)
 
-    return choose
+    # Else a filter on the bin is moved below the projection, with a second call that Spark can't evaluate there.
+    return choose.asNondeterministic()

@@ -23,7 +23,7 @@ def container_tags(facts: DataFrame, env_map: dict[str, str] | None = None) -> D
     layers = []
     if env_map:
         mapping = literal_map(env_map)
-        usable = F.filter(env, lambda e: e.rlike(f"^{META_NAME}={META_VALUE}$"))
+        usable = F.filter(env, lambda e: e.rlike(f"^{META_NAME}={META_VALUE}\\z"))
         pairs = F.transform(
             usable,
             lambda e: F.struct(
@@ -33,10 +33,10 @@ def container_tags(facts: DataFrame, env_map: dict[str, str] | None = None) -> D
         )
         layers.append(F.filter(pairs, lambda p: p["key"].isNotNull()))
     good = F.filter(
-        F.map_entries(labels), lambda e: e["key"].rlike(f"^{META_NAME}$") & e["value"].rlike(f"^{META_VALUE}$")
+        F.map_entries(labels), lambda e: e["key"].rlike(f"^{META_NAME}\\z") & e["value"].rlike(f"^{META_VALUE}\\z")
     )
     layers.append(good)
-    name = F.get(F.filter("names", lambda n: n.rlike(f"^{META_VALUE}$")), F.lit(0))
+    name = F.get(F.filter("names", lambda n: n.rlike(f"^{META_VALUE}\\z")), F.lit(0))
     layers.append(
         F.when(name.isNotNull(), F.array(F.struct(F.lit("docker_name").alias("key"), name.alias("value"))))
     )

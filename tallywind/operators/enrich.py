@@ -93,14 +93,21 @@ def row_hook(function: Callable) -> Callable[[DataFrame], DataFrame]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kept = []
-            for bucket, values, ts, tags in zip(batch["bucket"], batch["values"], batch["ts"], batch["tags"]):
+            other = [batch[c] for c in batch.columns if c not in ("bucket", "values", "ts", "tags")]
+            for bucket, values, ts, tags, *rest in zip(batch["bucket"], batch["values"], batch["ts"], batch["tags"], *other):
                 plain = {k: _READ[x["t"]](x["v"]) for k, x in dict(values).items()}
                 out = function(bucket, plain, None if pd.isna(ts) else ts, dict(tags))
                 if out is not None:
-                    kept.append((out[0], {k: _write(v) for k, v in out[1].items()}, out[2], dict(out[3] or {})))
-            yield pd.DataFrame(kept, columns=["bucket", "values", "ts", "tags"])
+                    kept.append((out[0], {k: _write(v) for k, v in out[1].items()}, out[2], dict(out[3] or {}), *rest))
+            yield pd.DataFrame(kept, columns=batch.columns)
 
-    return lambda df: df.select("bucket", "values", "ts", "tags").mapInPandas(run, METRIC_SCHEMA)
+    def hook(df: DataFrame) -> DataFrame:
+        # The arrival columns go through, as sinks need them.
+        arrival = [c for c in ("recv_ts", "seq") if c in df.columns]
+        schema = ", ".join([METRIC_SCHEMA, *[f"{c} {df.schema[c].dataType.simpleString()}" for c in arrival]])
+        return df.select("bucket", "values", "ts", "tags", *arrival).mapInPandas(run, schema)
+
+    return hook
 
 
 def routes(sources: dict[str, list[str] | None], destinations: list[str]) -> dict[str, list[str]]:
@@ -114,9 +121,13 @@ def routes(sources: dict[str, list[str] | None], destinations: list[str]) -> dic
     return out
 
 
-def route(df: DataFrame, table: dict[str, list[str]], source: str = "source") -> DataFrame:
-    """One row per destination of its source. The table is configuration, so it is a literal."""
+def route(df: DataFrame, table: dict[str, list[str]], destinations: list[str], source: str = "source") -> DataFrame:
+    """One row per destination of its source; a source that the table doesn't list, or null, goes to all ``destinations``.
+
+    The table is configuration, so it is a literal.
+    """
+    everywhere = F.array(*[F.lit(t) for t in destinations])
     known = F.create_map(*[
         x for name, targets in table.items() for x in (F.lit(name), F.array(*[F.lit(t) for t in targets]))
     ])
-    return df.withColumn("destination", F.explode(F.try_element_at(known, F.col(source))))
+    return df.withColumn("destination", F.explode(F.coalesce(F.try_element_at(known, F.col(source)), everywhere)))

@@ -84,9 +84,9 @@ def _count(index: int) -> Column:
 def listed(value: Column, allow: list[str] | None = None, deny: list[str] | None = None) -> Column:
     """Whole-value patterns. With an allow list nothing else passes and ``deny`` is not consulted."""
     if allow:
-        return value.rlike("^(?:" + "|".join(f"(?:{p})" for p in allow) + ")$")
+        return value.rlike("^(?:" + "|".join(f"(?:{p})" for p in allow) + r")\z")
     if deny:
-        return ~value.rlike("^(?:" + "|".join(f"(?:{p})" for p in deny) + ")$")
+        return ~value.rlike("^(?:" + "|".join(f"(?:{p})" for p in deny) + r")\z")
     return F.lit(True)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallywind.operators.hot import HOT_ROWS, split_hot
 
 
 def cap_newest(df: DataFrame, limit: int = 10_000, order: str = "seq") -> DataFrame:
@@ -28,31 +27,23 @@ def push_limit(df: DataFrame, limit: int, order: str = "seq") -> DataFrame:
     return df.orderBy(order).limit(limit)
 
 
-def _number(df: DataFrame, flush: list[str], n: int) -> DataFrame:
-    place = F.row_number().over(W.partitionBy(*flush, "slice").orderBy("seq"))
-    return df.withColumn("chunk", F.floor((place - 1) / n).cast("bigint"))
+def pack_chunks(df: DataFrame, flush: list[str], n: int = 300, line: Column | str = "line", slice_width: int = 1 << 17) -> DataFrame:
+    """``flush, chunk, rows, payload``: up to ``n`` consecutive lines by arrival number, joined by newlines.
 
-
-def pack_chunks(df: DataFrame, flush: list[str], n: int = 300, line: Column | str = "line", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``flush, slice, chunk, rows, payload``: up to ``n`` consecutive lines, joined by newlines.
-
-    Chunks never cross a flush. A flush with more than ``hot_rows`` rows is cut by arrival number
-    in slices, which are numbered side by side; its slices may end in a short chunk.
+    Chunks never cross a flush; only the last one of a flush is short. A flush of any size is numbered in slices of
+    ``slice_width`` arrival numbers: places within a slice, plus the running sum of the earlier slices' counts.
     """
     text = F.col(line) if isinstance(line, str) else line
-    rows = df.select(*flush, "seq", text.alias("line"))
-    small, large = split_hot(rows, flush, hot_rows)
-    numbered = _number(small.withColumn("slice", F.lit(0).cast("bigint")), flush, n)
-    if large is not None:
-        spans = large.groupBy(*flush).agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count("*").alias("total"))
-        parts = F.ceil(F.col("total") / F.lit(hot_rows))
-        width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / parts))
-        # One span per large flush, of which there are at most MAX_HOT.
-        sliced = large.join(F.broadcast(spans), flush).withColumn(
-            "slice", F.floor((F.col("seq") - F.col("low")) / width).cast("bigint")
-        )
-        numbered = numbered.unionByName(_number(sliced.drop("low", "high", "total"), flush, n))
-    packed = numbered.groupBy(*flush, "slice", "chunk").agg(
+    sliced = df.select(*flush, "seq", text.alias("line")).withColumn("slice", F.floor(F.col("seq") / slice_width).cast("bigint"))
+    earlier = W.partitionBy(*flush).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    counts = sliced.groupBy(*flush, "slice").agg(F.count("*").alias("n_slice"))
+    keys = [*flush, "slice"]
+    starts = counts.select(
+        *[F.col(c).alias(f"start_{c}") for c in keys], F.coalesce(F.sum("n_slice").over(earlier), F.lit(0)).alias("start")
+    )
+    placed = sliced.join(starts, [F.col(c).eqNullSafe(F.col(f"start_{c}")) for c in keys])
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("seq")) + F.col("start")
+    packed = placed.withColumn("chunk", F.floor((place - 1) / n).cast("bigint")).groupBy(*flush, "chunk").agg(
         F.count("*").alias("rows"), F.sort_array(F.collect_list(F.struct("seq", "line"))).alias("lines")
     )
-    return packed.select(*flush, "slice", "chunk", "rows", F.array_join(F.col("lines.line"), "\n").alias("payload"))
+    return packed.select(*flush, "chunk", "rows", F.array_join(F.col("lines.line"), "\n").alias("payload"))

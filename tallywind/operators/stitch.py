@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from tallywind.operators.hot import HOT_ROWS, group_hash, hot_groups
 
-MAX_LINES, KEPT_LINES = 1000, 500
 STREAM_KEY = ["boot_id", "uid", "gid", "pid", "command", "systemd_unit", "container_id"]
 
 
@@ -103,8 +102,8 @@ class Stitcher:
     ``(payload of the first line, message)``.
     """
 
-    def __init__(self, grammars: Iterable[Grammar], grammar: int = -1, state: str = "", lines: list | None = None):
-        self.grammars = list(grammars)
+    def __init__(self, grammars: Iterable[Grammar], grammar: int = -1, state: str = "", lines: list | None = None, max_lines: int | None = None):
+        self.grammars, self.max_lines = list(grammars), max_lines
         self.grammar, self.state, self.lines = grammar, state, lines or []
 
     def close(self) -> Iterator[tuple]:
@@ -131,8 +130,8 @@ class Stitcher:
                 if verdict not in ("end", "cancel"):
                     self.state = verdict
                     self.lines.append(line)
-                    if len(self.lines) > MAX_LINES:
-                        self.lines = self.lines[-KEPT_LINES:]
+                    if self.max_lines and len(self.lines) > self.max_lines:
+                        self.lines = self.lines[-(self.max_lines // 2):]
                     continue
                 yield from self.close()
             for i, grammar in enumerate(self.grammars):
@@ -205,11 +204,12 @@ def _sliced(lines: DataFrame, run: int | None, hot: DataFrame, limit: int) -> Da
 
 def stitch(
     events: DataFrame, key: list[str] | None = None, grammars: Iterable[Grammar] = GRAMMARS,
-    trace_level: int | None = None, hot_rows: int = HOT_ROWS,
+    trace_level: int | None = None, hot_rows: int = HOT_ROWS, max_lines: int | None = None,
 ) -> DataFrame:
     """Events with ``message, ts DOUBLE, seq`` to one event per trace, with the first line's fields.
 
-    ``trace_level`` replaces the level of stitched traces.
+    ``trace_level`` replaces the level of stitched traces. Traces are whole; with ``max_lines``, one that grows beyond it
+    keeps the newer half and goes on.
     """
     grammars = tuple(grammars)
     key = [c for c in (key or STREAM_KEY) if c in events.columns]
@@ -240,7 +240,7 @@ def stitch(
     level = trace_level if "level" in fields else None
 
     def run_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine, current, out = Stitcher(grammars), None, []
+        machine, current, out = Stitcher(grammars, max_lines=max_lines), None, []
 
         def emit(done):
             for payload, message in done:

@@ -79,10 +79,17 @@ def statsd_flush(samples: DataFrame, settings: StatsdSettings) -> DataFrame:
     return union_all(*[family_rows(flat, name, settings) for name, flat in families.items()])
 
 
+#: Families in the order in which a flush hands them on: of two lines for one series, the later family's is the newer.
+FLUSH_ORDER = ("timers", "histograms", "counters", "gauges", "sets")
+
+
 def statsd_exposition(lines: DataFrame, settings: StatsdSettings, now: Column | None = None, ttl: float | None = None) -> DataFrame:
     """Text lines to exposition text."""
-    rows = statsd_flush(parse_statsd(lines, settings.timestamp_window), settings)
-    return to_exposition(rows.withColumn("seq", F.lit(0)), now, ttl)
+    families = statsd_families(parse_statsd(lines, settings.timestamp_window), settings)
+    rows = union_all(*[
+        family_rows(flat, name, settings).withColumn("seq", F.lit(FLUSH_ORDER.index(name))) for name, flat in families.items()
+    ])
+    return to_exposition(rows, now, ttl)
 
 
 def json_bulk(

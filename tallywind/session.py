@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,11 +26,11 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the shared one that the cluster names in ``spark.checkpoint.dir``.
 
-    Local sessions, as in tests, may do without that setting.
+    Local sessions, as in tests, may do without that setting; theirs is in the warehouse folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is not None:
         return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-    return tempfile.mkdtemp(prefix="shared-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared/{uuid.uuid4().hex}"

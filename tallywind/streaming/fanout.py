@@ -21,14 +21,14 @@ def start_fanout(
 ) -> StreamingQuery:
     """Routed rows of every micro-batch to the sink of their destination.
 
-    ``rows`` has a ``source`` column. The batch is kept while its sinks write, so it is computed once.
+    ``rows`` has a ``source`` column; sources that the table doesn't list go to all sinks. The batch is kept while its sinks write, so it is computed once.
     """
     missing = {d for targets in table.values() for d in targets} - set(sinks)
     if missing:
         raise ValueError(f"no sink for {sorted(missing)}")
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        routed = route(batch, table).persist()
+        routed = route(batch, table, list(sinks)).persist()
         try:
             for name, sink in sinks.items():
                 sink(routed.where(routed.destination == name).drop("destination"), batch_id)

@@ -83,9 +83,9 @@ def test_routes(spark):
     import pytest
 
     table = enrich.routes({"s1": ["d2"], "s2": None}, ["d1", "d2"])
-    df = spark.createDataFrame([("s1",), ("s2",)], "source string")
-    got = sorted((r["source"], r["destination"]) for r in enrich.route(df, table).collect())
-    assert got == [("s1", "d2"), ("s2", "d1"), ("s2", "d2")]
+    df = spark.createDataFrame([("s1",), ("s2",), ("s3",), (None,)], "source string")
+    got = sorted((str(r["source"]), r["destination"]) for r in enrich.route(df, table, ["d1", "d2"]).collect())
+    assert got == [("None", "d1"), ("None", "d2"), ("s1", "d2"), ("s2", "d1"), ("s2", "d2"), ("s3", "d1"), ("s3", "d2")]
     with pytest.raises(ValueError):
         enrich.routes({"s1": ["nope"]}, ["d1"])
 

@@ -92,7 +92,10 @@ def test_false_starts():
 
 def test_long_trace_keeps_newest(spark):
     lines = ["A.b: x"] + [f"\tat f{i}" for i in range(1200)]
-    (got,) = run(spark, [(i, "1", i * 1e-4, m, 6) for i, m in enumerate(lines)])
+    rows = [(i, "1", i * 1e-4, m, 6) for i, m in enumerate(lines)]
+    (whole,) = run(spark, rows)
+    assert whole[2].split("\n") == lines
+    (got,) = run(spark, rows, max_lines=1000)
     # 1001 lines shrink to 500, then 200 more arrive.
     assert got[2].split("\n") == lines[501:]
 
