@@ -601,7 +601,7 @@ def container_interfaces(spark, folder):
 def _run_stream(spark: SparkSession, folder: str, kind: str, family: windows.Family) -> DataFrame:
     """The events table as a stream, read to its end; results of the windows closed by then."""
     schema = I.table(spark, folder, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+    raw = spark.readStream.schema(schema).parquet(f"{folder}/events[.]parquet")
     stream = raw.withColumns({"recv_ts": utc(F.col("ts")), "seq": F.col("event_id")}).drop("ts")
     work = shared_folder(spark)
     samples = parse_statsd(I.statsd_lines(stream, kind))
