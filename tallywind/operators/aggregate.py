@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from tallywind.functions.maps import put_default
 from tallywind.functions.text import float_text
 from tallywind.functions.time import emit_ts, micros
-from tallywind.operators.hot import HOT_ROWS, group_hash, split_hot
-from tallywind.operators.prefix_stats import norm_thresholds, prefix_stats
+from tallywind.operators.prefix_stats import SLICES, norm_thresholds, prefix_stats
 
 GROUP = ["win", "series"]
 
@@ -65,40 +64,53 @@ def agg_counters(samples: DataFrame, interval: float, add_timestamps: bool = Tru
 # Gauges --------------------------------------------------------------------------------------
 
 
-def gauge_partials(samples: DataFrame, interval: float) -> DataFrame:
-    """One row per arrival: gauges depend on order, so only repeats can be folded early."""
-    rows = samples.where("kind = 'gauge'").withColumn("delta", F.col("raw").rlike("^[+-]"))
-    return rows.groupBy(tumbling(interval), "series", "seq").agg(
-        F.first("value").alias("value"), F.first("delta").alias("delta"), F.first("cust_ts").alias("cust_ts")
+#: Arrival numbers per slice of a gauge series.
+GAUGE_SLICE = 1 << 24
+
+
+def _gauge_rows(samples: DataFrame, interval: float) -> DataFrame:
+    return samples.where("kind = 'gauge'").select(
+        tumbling(interval), "series", "seq", "value", "cust_ts", F.col("raw").rlike("^[+-]").alias("delta")
     )
 
 
-def finish_gauges(rows: DataFrame, add_timestamps: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
-    ordinary, large = split_hot(rows, GROUP, hot_rows)
-    plain_seq = F.when(~F.col("delta"), F.col("seq"))
-    after_base = F.col("base_seq").isNull() | (F.col("seq") >= F.col("base_seq"))
-    total = F.sum(F.when(after_base, F.col("value"))).alias("value")
-    # The last plain value and all that came after it, which can only be deltas.
-    based = ordinary.withColumn("base_seq", F.max(plain_seq).over(W.partitionBy(*GROUP)))
-    parts = based.groupBy(*GROUP).agg(total, *_last())
-    if large is not None:
-        # At most MAX_HOT groups, so their last plain values are a bounded broadcast.
-        large = large.withColumns({"h1": group_hash(*GROUP), "h2": F.xxhash64(F.lit("second"), *GROUP)})
-        bases = large.groupBy("h1", "h2").agg(F.max(plain_seq).alias("base_seq"))
-        parts = parts.unionByName(
-            large.join(F.broadcast(bases), ["h1", "h2"]).groupBy(*GROUP).agg(total, *_last())
-        )
-    return _labelled(parts, add_timestamps, "value")
+def gauge_partials(samples: DataFrame, interval: float) -> DataFrame:
+    """One row per arrival number: gauges depend on order. Samples that share a number are all kept."""
+    rows = _gauge_rows(samples, interval)
+    return rows.groupBy(*GROUP, "seq").agg(F.collect_list(F.struct("value", "delta", "cust_ts")).alias("samples"))
+
+
+def finish_gauges(rows: DataFrame, add_timestamps: bool = True, slice_width: int = GAUGE_SLICE) -> DataFrame:
+    """Each series is worked off in slices of ``slice_width`` arrival numbers, then slices are put together.
+
+    A slice comes down to its last plain value and the sum of the deltas after it. Of plain values with one
+    arrival number the largest counts, and deltas with that number come after it.
+    """
+    if "samples" in rows.columns:
+        rows = rows.select(*GROUP, "seq", F.inline("samples"))
+    sliced = rows.withColumn("slice", F.floor(F.col("seq") / slice_width).cast("bigint"))
+    plain = F.when(~F.col("delta"), F.struct("seq", "value"))
+    local = sliced.withColumn("base", F.max(plain).over(W.partitionBy(*GROUP, "slice")))
+    later = F.col("delta") & (F.col("base").isNull() | (F.col("seq") >= F.col("base.seq")))
+    parts = local.groupBy(*GROUP, "slice").agg(
+        F.max("base.seq").alias("base_seq"), F.max("base.value").alias("base_value"),
+        F.sum(F.when(later, F.col("value"))).alias("deltas"), *_last(),
+    )
+    newest = F.when(F.col("base_seq").isNotNull(), F.struct("slice", "base_value"))
+    parts = parts.withColumn("top", F.max(newest).over(W.partitionBy(*GROUP)))
+    counted = F.col("top").isNull() | (F.col("slice") >= F.col("top.slice"))
+    joined = parts.groupBy(*GROUP).agg(
+        F.max("top.base_value").alias("base"), F.sum(F.when(counted, F.col("deltas"))).alias("deltas"), *_last()
+    )
+    value = F.coalesce(F.col("base") + F.col("deltas"), "base", "deltas").alias("value")
+    return _labelled(joined, add_timestamps, value)
 
 
 def agg_gauges(
-    samples: DataFrame, interval: float, add_timestamps: bool = True, hot_rows: int = HOT_ROWS
+    samples: DataFrame, interval: float, add_timestamps: bool = True, slice_width: int = GAUGE_SLICE
 ) -> DataFrame:
     """Last plain value of the window plus the ``+n`` / ``-n`` deltas that arrived after it."""
-    rows = samples.where("kind = 'gauge'").select(
-        tumbling(interval), "series", "seq", "value", "cust_ts", F.col("raw").rlike("^[+-]").alias("delta")
-    )
-    return finish_gauges(rows, add_timestamps, hot_rows)
+    return finish_gauges(_gauge_rows(samples, interval), add_timestamps, slice_width)
 
 
 # Sets ----------------------------------------------------------------------------------------
@@ -133,9 +145,9 @@ def timer_partials(samples: DataFrame, interval: float) -> DataFrame:
 
 
 def finish_timers(
-    rows: DataFrame, thresholds, interval: float, add_timestamps: bool = True, hot_rows: int = HOT_ROWS
+    rows: DataFrame, thresholds, interval: float, add_timestamps: bool = True, slices: int = SLICES
 ) -> DataFrame:
-    stats = prefix_stats(rows, GROUP, thresholds, hot_rows)
+    stats = prefix_stats(rows, GROUP, thresholds, slices)
     out = _labelled(
         stats, add_timestamps, "threshold", "count", (F.col("count") / interval).alias("count_ps"),
         "lower", "upper", "mean", "stdev",
@@ -144,16 +156,16 @@ def finish_timers(
 
 
 def agg_timers(
-    samples: DataFrame, thresholds, interval: float, add_timestamps: bool = True, hot_rows: int = HOT_ROWS
+    samples: DataFrame, thresholds, interval: float, add_timestamps: bool = True, slices: int = SLICES
 ) -> DataFrame:
     """Statistics over the smallest t percent of the values, one row per threshold."""
     if not norm_thresholds(thresholds):  # no threshold, no rows
         rows = timer_partials(samples, interval)
-        return finish_timers(rows, [100], interval, add_timestamps, hot_rows).where(F.lit(False))
+        return finish_timers(rows, [100], interval, add_timestamps, slices).where(F.lit(False))
     rows = samples.where("kind = 'timer'").select(
         tumbling(interval), "series", "value", "seq", "cust_ts"
     )
-    return finish_timers(rows, thresholds, interval, add_timestamps, hot_rows)
+    return finish_timers(rows, thresholds, interval, add_timestamps, slices)
 
 
 # Histograms ----------------------------------------------------------------------------------

@@ -4,12 +4,10 @@ For a group of n values sorted upwards and a threshold t, the statistics cover t
 ``n_t = max(1, floor(t * n / 100))`` values (all n for t = 100). That is not a quantile, so the
 approximate percentile aggregates do not apply.
 
-Ordinary groups are ranked by one window, so one shuffle. A group with more than ``hot_rows`` rows
-never meets in one task. Its n_t-th value is found by narrowing: every round counts the rows of
-the remaining range in at most ``BUCKETS`` value buckets (partial counts on the map side) and
-keeps the one bucket that holds the wanted rank. What is left after three rounds is ranked
-exactly. Two last passes add up everything below the found value, again with map-side partial sums:
-one for the mean, one for the squared distances from it.
+Groups of every size take one way. Equal values of a group are folded to one row with a weight. Fixed value ranges (slices), the same for every input, cut
+the groups: values are ranked inside their slice, and a slice's offset is the running sum of the
+smaller slices' weights. Slices themselves are summed in two levels, so that neither the rows of a group nor its slices
+have to meet in one task. Conditional sums with partial results on the map side make the statistics.
 """
 
 from __future__ import annotations
@@ -18,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallywind.operators.hot import HOT_ROWS, cut_lineage, group_hash, split_hot
-
-BUCKETS = 65_536
+#: Slices per doubling of the absolute value, as a power of two, and how many of these bits a coarse slice leaves out.
+SLICES = 20
+_FINE = 14
 
 
 def norm_thresholds(thresholds) -> list[float]:
@@ -34,181 +32,78 @@ def _prefix_size(t: float, total: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.lit(t) * total / F.lit(100.0))).cast("bigint")
 
 
-def _unfold(df: DataFrame, keys: list[str], stats: list[Column]) -> DataFrame:
-    return df.select(*keys, "seq", "cust_ts", F.explode(F.array(*stats)).alias("s")).select(
-        *keys, "seq", "cust_ts", "s.*"
-    )
-
-
-def _by_window(rows: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
-    group = W.partitionBy(*keys)
-    ranked = rows.withColumns(
-        {"rank": F.row_number().over(group.orderBy("value")), "total": F.count("*").over(group)}
-    )
-    aggs: list[Column] = [
-        F.max_by("cust_ts", "seq").alias("cust_ts"), F.max("seq").alias("seq"), F.min("value").alias("lower"),
-        F.max("total").alias("total"),
-    ]
-    stats = []
-    for i, t in enumerate(thresholds):
-        size = _prefix_size(t, F.col("total"))
-        inside = F.when(F.col("rank") <= size, F.col("value"))
-        aggs += [
-            F.max(inside).alias(f"upper{i}"), F.avg(inside).alias(f"mean{i}"), F.stddev_samp(inside).alias(f"stdev{i}")
-        ]
-        stats.append(
-            F.struct(
-                F.lit(t).alias("threshold"), size.alias("count"), F.col("lower"), F.col(f"upper{i}").alias("upper"),
-                F.col(f"mean{i}").alias("mean"), F.col(f"stdev{i}").alias("stdev"),
-            )
-        )
-    return _unfold(ranked.groupBy(*keys).agg(*aggs), keys, stats)
-
-
-def _is_finite(value: Column) -> Column:
-    return ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
-
-
-def _bucket(value: Column, lo: Column, hi: Column, scale) -> Column:
-    """Bucket number that never falls as ``value`` grows; the infinities and NaN get their own."""
-    at = (scale(value) - scale(lo)) / (scale(hi) - scale(lo))
-    finite = F.when(hi > lo, F.least(F.lit(BUCKETS), F.floor(at * BUCKETS))).otherwise(F.lit(0))
+def value_slice(value: Column, bits: int = SLICES) -> Column:
+    """BIGINT that never falls as ``value`` grows: the signed logarithm in steps; infinities and NaN have their own."""
+    # Logarithms of doubles lie above -1100, so the shifted one is positive.
+    steps = F.floor((F.log2(F.abs(value)) + 1100) * 2**bits)
     return (
-        F.when(F.isnan(value), F.lit(BUCKETS + 2))
-        .when(value == F.lit(float("inf")), F.lit(BUCKETS + 1))
-        .when(value == F.lit(float("-inf")), F.lit(-1))
-        .otherwise(F.coalesce(finite, F.lit(0)))
-        .cast("bigint")
+        F.when(F.isnan(value), F.lit(2**60)).when(value == float("inf"), F.lit(2**59)).when(value == float("-inf"), F.lit(-(2**59)))
+        .when(value == 0, F.lit(0)).when(value > 0, steps).otherwise(-steps).cast("bigint")
     )
 
 
-def _log_scale(value: Column) -> Column:
-    return F.signum(value) * F.log1p(F.abs(value))
-
-
-def _narrow(values: DataFrame, ranges: DataFrame, scale) -> DataFrame:
-    """One round. ``ranges``: ``h1, h2, lo, hi, f_lo, f_hi, wanted[(i, below, need)]``.
-
-    The wanted ranks of a range are unlike those of any other, so they stand for it as a key.
-    """
-    inside = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
-    finite = F.when(_is_finite(F.col("value")), F.col("value"))
-    counted = (
-        values.join(ranges, ["h1", "h2"]).where(inside)
-        .withColumn("bucket", _bucket(F.col("value"), F.col("f_lo"), F.col("f_hi"), scale))
-        .groupBy("h1", "h2", "wanted", "bucket")
-        .agg(
-            F.sum("weight").alias("rows"), F.min("value").alias("lo"), F.max("value").alias("hi"),
-            F.min(finite).alias("f_lo"), F.max(finite).alias("f_hi"),
-        )
+def _offsets(folded: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, slice, before, total, least``: the weight of the smaller slices, and weight and least value of the whole group."""
+    fine = folded.groupBy(*keys, "slice").agg(
+        F.sum("weight").alias("n"), F.min("value").alias("low"), F.max("seq").alias("last"), F.count("cust_ts").alias("timed")
     )
-    upto = W.partitionBy("h1", "h2", "wanted").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    summed = counted.withColumn("end", F.sum("rows").over(upto)).withColumn("start", F.col("end") - F.col("rows"))
-    found = F.transform(
-        F.filter("wanted", lambda w: (w["need"] > F.col("start")) & (w["need"] <= F.col("end"))),
-        lambda w: F.struct(
-            w["i"].alias("i"), (w["below"] + F.col("start")).alias("below"), (w["need"] - F.col("start")).alias("need")
-        ),
+    fine = fine.withColumn("coarse", F.shiftright("slice", _FINE))
+    coarse = fine.groupBy(*keys, "coarse").agg(
+        F.sum("n").alias("n_coarse"), F.min("low").alias("low_coarse"), F.max("last").alias("last"), F.sum("timed").alias("timed")
     )
-    return (
-        summed.withColumn("wanted", found).where(F.size("wanted") > 0)
-        .select("h1", "h2", "lo", "hi", "f_lo", "f_hi", "wanted")
+    group = W.partitionBy(*keys)
+    coarse = coarse.select(
+        *keys, "coarse", F.sum("n_coarse").over(group).alias("total"), F.min("low_coarse").over(group).alias("least"),
+        (F.sum("n_coarse").over(group.orderBy("coarse").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_coarse"))
+        .alias("before_coarse"), F.col("last").alias("last_coarse"), F.col("timed").alias("timed_coarse"),
     )
+    upto = W.partitionBy(*keys, "coarse").orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
+    fine = fine.withColumn("before_fine", F.sum("n").over(upto) - F.col("n"))
+    # The last test is always true. It makes this branch need the columns of the other one, so that both read one exchange.
+    joined = fine.join(coarse, [*keys, "coarse"]).where((F.col("last") <= F.col("last_coarse")) & (F.col("timed") <= F.col("timed_coarse")))
+    return joined.select(*keys, "slice", (F.col("before_coarse") + F.col("before_fine")).alias("before"), "total", "least")
 
 
-def _small(df: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Broadcast what has at most MAX_HOT rows with one entry per threshold: under 50 MB up to 50 of
-    them. With more, Spark decides on measured sizes.
-    """
-    return F.broadcast(df) if len(thresholds) <= 50 else df
-
+def prefix_stats(rows: DataFrame, keys: list[str], thresholds, slices: int = SLICES) -> DataFrame:
+    """``keys, threshold, count, lower, upper, mean, stdev, seq, cust_ts`` per group and threshold.
 
-def _by_narrowing(rows: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
-    # Equal values meet on the map side, and the shuffle key contains the value, so no task gets
-    # the whole group. Every round below reads the checkpoint of this.
-    values = cut_lineage(
-        rows.groupBy(*keys, "value")
-        .agg(F.sum("weight").alias("weight"), F.max("seq").alias("seq"), F.max_by("cust_ts", "seq").alias("cust_ts"))
-        .withColumns({"h1": group_hash(*keys), "h2": F.xxhash64(F.lit("second"), *keys)})
-    )
-    finite = F.when(_is_finite(F.col("value")), F.col("value"))
-    groups = values.groupBy("h1", "h2").agg(
-        F.sum("weight").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"),
-        F.min(finite).alias("f_lo"), F.max(finite).alias("f_hi"),
-    )
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(0).cast("bigint").alias("below"), _prefix_size(t, F.col("total")).alias("need"))
-        for i, t in enumerate(thresholds)
-    ])
-    ranges = groups.select("h1", "h2", "lo", "hi", "f_lo", "f_hi", wanted.alias("wanted"))
-    for scale in (_log_scale, lambda v: v, lambda v: v):
-        ranges = _narrow(values, _small(ranges, thresholds), scale)
-    inside = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
-    upto = W.partitionBy("h1", "h2", "wanted").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rest = (
-        values.join(_small(ranges, thresholds), ["h1", "h2"]).where(inside)
-        .withColumn("end", F.sum("weight").over(upto)).withColumn("start", F.col("end") - F.col("weight"))
-        .withColumn("w", F.explode("wanted"))
-        .where((F.col("w.need") > F.col("start")) & (F.col("w.need") <= F.col("end")))
-        .select("h1", "h2", "w.i", F.col("value").alias("cut"), (F.col("w.below") + F.col("start")).alias("below"))
+    ``rows``: ``keys, value DOUBLE, seq BIGINT, cust_ts DOUBLE`` and, where equal values were
+    counted beforehand, ``weight BIGINT``. Keys are not null. ``slices`` sets how fine the value ranges are; the result
+    doesn't depend on it.
+    """
+    thresholds = norm_thresholds(thresholds)
+    if not thresholds:
+        raise ValueError("at least one threshold in (0, 100] is needed")
+    weight = F.sum("weight") if "weight" in rows.columns else F.count(F.lit(1))
+    folded = rows.withColumn("slice", value_slice(F.col("value"), slices)).groupBy(*keys, "slice", "value").agg(
+        weight.alias("weight"), F.max_by("cust_ts", "seq").alias("cust_ts"), F.max("seq").alias("seq")
     )
-    cuts = [
-        F.max_by(F.struct("cut", "below"), F.when(F.col("i") == i, F.lit(1))).alias(f"cut{i}")
-        for i in range(len(thresholds))
-    ]
-    found = groups.select("h1", "h2", "total").join(rest.groupBy("h1", "h2").agg(*cuts), ["h1", "h2"])
-
-    def taken(i: int) -> Column:
-        """How many of the equal values of this row belong to prefix i."""
-        cut = F.col(f"cut{i}")
-        size = _prefix_size(thresholds[i], F.col("total"))
-        return F.when(F.col("value") < cut["cut"], F.col("weight")).when(
-            F.col("value") == cut["cut"], size - cut["below"]
-        )
+    inside = W.partitionBy(*keys, "slice").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = folded.withColumn("end", F.sum("weight").over(inside)).join(_offsets(folded, keys), [*keys, "slice"])
+    start = F.col("before") + F.col("end") - F.col("weight")
 
-    count = range(len(thresholds))
-    means = (
-        values.join(_small(found, thresholds), ["h1", "h2"]).groupBy("h1", "h2")
-        .agg(*[(F.sum(taken(i) * F.col("value")) / F.sum(taken(i))).alias(f"mean{i}") for i in count])
-    )
     aggs: list[Column] = [
         F.max_by("cust_ts", "seq").alias("cust_ts"), F.max("seq").alias("seq"), F.min("value").alias("lower"),
-        F.first("total").alias("total"),
+        F.max("total").alias("total"),
     ]
     stats = []
-    for i in count:
-        off = F.col("value") - F.col(f"mean{i}")
+    # Squares are taken from the least value, which every prefix contains: that keeps the digits of narrow prefixes.
+    off = F.when(F.col("value") == F.col("least"), F.lit(0.0)).otherwise(F.col("value") - F.col("least"))
+    for i, t in enumerate(thresholds):
+        size = _prefix_size(t, F.col("total"))
+        taken = F.least("weight", size - start)  # how many of the equal values of this row belong to the prefix
+        some = taken > 0
         aggs += [
-            F.max(F.col(f"cut{i}.cut")).alias(f"upper{i}"), F.max(f"mean{i}").alias(f"mean{i}"),
-            F.sum(taken(i) * off * off).alias(f"squares{i}"),
+            F.max(F.when(some, F.col("value"))).alias(f"upper{i}"), F.sum(F.when(some, taken * F.col("value"))).alias(f"sum{i}"),
+            F.sum(F.when(some, taken * off)).alias(f"off{i}"), F.sum(F.when(some, taken * off * off)).alias(f"squares{i}"),
         ]
-        size = _prefix_size(thresholds[i], F.col("total"))
+        spread = F.col(f"squares{i}") - F.col(f"off{i}") * F.col(f"off{i}") / size
+        variance = F.when(spread < 0, F.lit(0.0)).otherwise(spread) / (size - 1)
         stats.append(
             F.struct(
-                F.lit(thresholds[i]).alias("threshold"), size.alias("count"), F.col("lower"),
-                F.col(f"upper{i}").alias("upper"), F.col(f"mean{i}").alias("mean"),
-                F.when(size > 1, F.sqrt(F.col(f"squares{i}") / (size - 1))).alias("stdev"),
+                F.lit(t).alias("threshold"), size.alias("count"), F.col("lower"), F.col(f"upper{i}").alias("upper"),
+                (F.col(f"sum{i}") / size).alias("mean"), F.when(size > 1, F.sqrt(variance)).alias("stdev"),
             )
         )
-    joined = values.join(_small(found.join(means, ["h1", "h2"]), thresholds), ["h1", "h2"])
-    return _unfold(joined.groupBy(*keys).agg(*aggs), keys, stats)
-
-
-def prefix_stats(rows: DataFrame, keys: list[str], thresholds, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``keys, threshold, count, lower, upper, mean, stdev, seq, cust_ts`` per group and threshold.
-
-    ``rows``: ``keys, value DOUBLE, seq BIGINT, cust_ts DOUBLE`` and, where equal values were
-    counted beforehand, ``weight BIGINT``.
-    """
-    thresholds = norm_thresholds(thresholds)
-    if not thresholds:
-        raise ValueError("at least one threshold in (0, 100] is needed")
-    weighted = "weight" in rows.columns
-    ordinary, large = split_hot(rows, keys, hot_rows, F.sum("weight") if weighted else F.count("*"))
-    if weighted:
-        ordinary = ordinary.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("weight")))).drop("copy", "weight")
-    stats = _by_window(ordinary, keys, thresholds)
-    if large is None:
-        return stats
-    large = large if weighted else large.withColumn("weight", F.lit(1).cast("bigint"))
-    return stats.unionByName(_by_narrowing(large, keys, thresholds))
+    found = placed.groupBy(*keys).agg(*aggs)
+    return found.select(*keys, "seq", "cust_ts", F.inline(F.array(*stats)))

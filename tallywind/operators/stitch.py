@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallywind.operators.hot import HOT_ROWS, group_hash, hot_groups
 
 STREAM_KEY = ["boot_id", "uid", "gid", "pid", "command", "systemd_unit", "container_id"]
 
@@ -175,36 +174,26 @@ def _islands(lines: DataFrame, part: list[str], run: int | None) -> DataFrame:
     )
 
 
-def _sliced(lines: DataFrame, run: int | None, hot: DataFrame, limit: int) -> DataFrame:
-    """Islands of streams that are too long for one task, found slice by slice."""
-    spans = lines.groupBy("stream").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count("*").alias("rows"))
-    spans = spans.select(group_hash("stream").alias("hot_hash"), "low", "high", "rows").join(F.broadcast(hot), "hot_hash", "left_semi")
-    # Two streams of equal hash share the wider span: only the balance of slices depends on it.
-    spans = spans.groupBy("hot_hash").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rows").alias("rows"))
-    parts = F.ceil(F.col("rows") / F.lit(limit))
-    width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / parts)).cast("bigint")
-    cut = (
-        lines.withColumn("hot_hash", group_hash("stream")).join(F.broadcast(spans), "hot_hash")
-        .withColumn("slice", F.floor((F.col("seq") - F.col("low")) / width).cast("bigint"))
-        .drop("hot_hash", "low", "high", "rows")
-    )
+def _sliced(lines: DataFrame, run: int | None, width: int, all_columns: Column) -> DataFrame:
+    """Islands of every stream, found in slices of ``width`` arrival numbers."""
+    cut = lines.withColumn("slice", F.floor(F.col("seq") / width).cast("bigint"))
     local = _islands(cut, ["stream", "slice"], run)
     earlier = W.partitionBy("stream").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     carried = (
-        local.groupBy("stream", "slice").agg(F.max("island").alias("last"))
-        .select("stream", "slice", F.max("last").over(earlier).alias("carried"))
+        local.where(all_columns).groupBy("stream", "slice").agg(F.max("island").alias("last"))
+        .select("stream", "slice", F.max("last").over(earlier).alias("carried"), F.count("*").over(earlier).alias("earlier"))
     )
     joined = local.join(carried, ["stream", "slice"])
     # An island that began in an earlier slice may have started a trace there.
-    started = F.when(F.col("island").isNull(), F.lit(2**63 - 1)).otherwise(F.col("started"))
+    started = F.when(F.col("island").isNull() & (F.col("earlier") > 0), F.lit(2**63 - 1)).otherwise(F.col("started"))
     return joined.withColumn("started", started).withColumn("island", F.coalesce("island", "carried")).drop(
-        "slice", "carried"
+        "slice", "carried", "earlier"
     )
 
 
 def stitch(
     events: DataFrame, key: list[str] | None = None, grammars: Iterable[Grammar] = GRAMMARS,
-    trace_level: int | None = None, hot_rows: int = HOT_ROWS, max_lines: int | None = None,
+    trace_level: int | None = None, slice_width: int = 1 << 26, max_lines: int | None = None,
 ) -> DataFrame:
     """Events with ``message, ts DOUBLE, seq`` to one event per trace, with the first line's fields.
 
@@ -221,20 +210,12 @@ def stitch(
         {"starts": _any(starts, F.col("message")), "plain": ~_any(starts + strong, F.col("message"))}
     )
     run = quiet_run(grammars)
-    hashes = hot_groups(lines, ["stream"], hot_rows, F.count("*"))
-    if hashes:
-        hot = events.sparkSession.createDataFrame([(h,) for h in hashes], "hot_hash bigint")
-        tagged = lines.withColumn("hot_hash", group_hash("stream"))
-        small = tagged.join(F.broadcast(hot), "hot_hash", "left_anti").drop("hot_hash")
-        large = tagged.join(F.broadcast(hot), "hot_hash", "left_semi").drop("hot_hash")
-        marked = _islands(small, ["stream"], run).unionByName(_sliced(large, run, hot, hot_rows))
-    else:
-        marked = _islands(lines, ["stream"], run)
+    # All branches read the same exchange as long as they need the same columns. This always-true
+    # test keeps column pruning from giving one of them an exchange, and a scan, of its own.
+    all_columns = F.hash("stream", *fields) >= -(2**31)
+    marked = _sliced(lines, run, slice_width, all_columns)
     marked = marked.withColumn("island", F.coalesce("island", F.lit(-1)))
     busy = F.coalesce(F.col("started") >= F.col("island"), F.lit(False))
-    # Both branches read the same exchange as long as they need the same columns. This always-true
-    # test keeps column pruning from giving the first one an exchange, and a scan, of its own.
-    all_columns = F.hash("stream", *fields) >= -(2**31)
     alone = marked.where(~busy & all_columns).select(*fields)
     schema = events.select(*fields).schema
     level = trace_level if "level" in fields else None

@@ -1,7 +1,6 @@
 """The three flows from raw input to encoded output, composed of the operators.
 
-All of them are plain DataFrame transforms; nothing runs until a sink writes (large-group checks of
-order-dependent aggregates excepted, see :mod:`tallywind.operators.hot`).
+All of them are plain DataFrame transforms; nothing runs until a sink writes.
 """
 
 from __future__ import annotations

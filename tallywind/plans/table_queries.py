@@ -142,7 +142,7 @@ def timers(spark, folder):
 def timers_large_groups(spark, folder):
     """The same with every group treated as too large for one task."""
     samples = parse_statsd(_timer_lines(spark, folder))
-    return _timer_columns(A.agg_timers(samples, [50, 90, 99.5, 100], DAY, hot_rows=1))
+    return _timer_columns(A.agg_timers(samples, [50, 90, 99.5, 100], DAY, slices=2))
 
 
 _HISTOGRAMS = f"""
@@ -324,7 +324,7 @@ def stitched_traces(spark, folder):
 @query(_STITCH)
 def stitched_large_streams(spark, folder):
     """The same with every stream treated as too large for one task."""
-    return stitch(_stitch_input(spark, folder), hot_rows=50).select("pid", "seq", "message")
+    return stitch(_stitch_input(spark, folder), slice_width=50).select("pid", "seq", "message")
 
 
 @query(f"""{_STITCH.replace("place != 4", "place NOT IN (3, 4)")}

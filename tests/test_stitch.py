@@ -103,8 +103,8 @@ def test_long_trace_keeps_newest(spark):
 POOL = PY + JAVA + NODE + ["plain", "plain text", "2024 numbers", "Name: value", "  indented", "", "    four", "\t^", "a.b.C: y", "/x:1"]
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 300])
-def test_islands_and_slices_equal_one_automaton(spark, hot_rows):
+@pytest.mark.parametrize("slice_width", [1 << 26, 40])
+def test_islands_and_slices_equal_one_automaton(spark, slice_width):
     rng = random.Random(11)
     rows, seq = [], 0
     clock = {"hot": 0.0, "b": 0.0, "c": 0.0}
@@ -116,7 +116,7 @@ def test_islands_and_slices_equal_one_automaton(spark, hot_rows):
                 clock[pid] += rng.choice([0.0, 0.1, 0.9, 1.0, 1.0 if rng.random() < 0.9 else 3.0]) if rng.random() < 0.99 else -0.5
                 rows.append((seq, pid, round(clock[pid], 3), m, 6))
                 seq += rng.randint(1, 3)
-    assert run(spark, rows, hot_rows=hot_rows) == sequential(rows)
+    assert run(spark, rows, slice_width=slice_width) == sequential(rows)
 
 
 def test_quiet_run():
