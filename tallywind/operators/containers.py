@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallywind.functions.maps import last_wins, literal_map, put, tag_text
 from tallywind.functions.text import strip
-from tallywind.operators.hosts import interface_rows
+from tallywind.operators.enrich import union_all
+from tallywind.operators.hosts import interface_rows, snapshot_rows
 
 # What container tags may look like.
 META_NAME = r"[a-zA-Z][a-zA-Z0-9_]*"
@@ -92,3 +93,12 @@ def container_interfaces(facts: DataFrame) -> DataFrame:
 
 def with_tag_text(df: DataFrame) -> DataFrame:
     return df.withColumn("tags", tag_text(F.col("tags")))
+
+
+def container_rows(facts: DataFrame, host_memory: DataFrame, add_timestamps: bool = True) -> DataFrame:
+    """All metrics of the containers as metric rows, with the containers' tags and that of the host."""
+    parts = {
+        "docker_filesystem": container_fs(facts), "docker_cpu": container_cpu(facts),
+        "docker_interface": container_interfaces(facts).drop("name"), "docker_memory": container_memory(facts, host_memory),
+    }
+    return union_all(*[snapshot_rows(df, bucket, add_timestamps) for bucket, df in parts.items()])

@@ -7,10 +7,11 @@ meets in a task except through map-side combined maxima per (host, ts).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallywind.sources.hosts import snapshot_lines
+from tallywind.functions.maps import merge
+from tallywind.operators.enrich import to_metric_rows, union_all
+from tallywind.sources.hosts import snapshot_lines, tokens
 
 # Positions and names in the kernel's files.
 INTERFACE_FIELDS = {
@@ -141,18 +142,27 @@ def host_disks(snapshots: DataFrame, allow: list[str] | None = None, deny: list[
 
 
 def host_protocols(snapshots: DataFrame) -> DataFrame:
-    """A prefix names fields on its first line and gives values on the later ones."""
-    lines = snapshot_lines(snapshots, "/proc/net/snmp", "/proc/net/netstat")
-    place = F.struct((F.col("path") != "/proc/net/snmp").alias("file"), "pos")
-    lines = lines.withColumns({"prefix": _token(0), "place": place})
+    """A prefix names fields on its first line and gives values on the later ones.
+
+    The two files of a capture meet once; what follows keeps that partitioning.
+    """
+    files = snapshots.where(F.col("path").isin("/proc/net/snmp", "/proc/net/netstat"))
+    both = files.groupBy("host", "ts").agg(
+        F.sort_array(F.collect_list(F.struct((F.col("path") != "/proc/net/snmp").alias("file"), "content"))).alias("files")
+    )
+    lines = F.flatten(F.transform("files", lambda f: F.transform(F.split(f["content"], "\n"), tokens)))
     known = list(dict.fromkeys(k.split(":")[0] + ":" for k in PROTOCOL_FIELDS))
-    first = W.partitionBy("host", "ts", "prefix").orderBy("place")
+
+    def found(prefix: str) -> Column:
+        return F.filter("lines", lambda words: F.get(words, F.lit(0)) == prefix)
+
+    each = F.array(*[F.struct(F.lit(k).alias("prefix"), found(k).alias("found")) for k in known])
     paired = (
-        lines.where(F.col("prefix").isin(known))
-        .withColumns({"names": F.first("tokens").over(first), "line": F.row_number().over(first)})
-        .where("line > 1")
-        .select("host", "ts", "prefix", "place", F.explode(F.arrays_zip("names", "tokens")).alias("pair"))
-        .select("host", "ts", "place", F.concat("prefix", "pair.names").alias("field"), F.col("pair.tokens").try_cast("bigint").alias("value"))
+        both.select("host", "ts", lines.alias("lines")).select("host", "ts", F.inline(each))
+        .select("host", "ts", "prefix", F.get("found", F.lit(0)).alias("names"), F.posexplode("found").alias("line", "tokens"))
+        .where("line > 0")
+        .select("host", "ts", "prefix", "line", F.explode(F.arrays_zip("names", "tokens")).alias("pair"))
+        .select("host", "ts", "line", F.concat("prefix", "pair.names").alias("field"), F.col("pair.tokens").try_cast("bigint").alias("value"))
     )
     proto = F.create_map(*[x for k, (p, _) in PROTOCOL_FIELDS.items() for x in (F.lit(k), F.lit(p))])
     rows = paired.where(F.col("field").isin(list(PROTOCOL_FIELDS)) & F.col("value").isNotNull())
@@ -160,7 +170,7 @@ def host_protocols(snapshots: DataFrame) -> DataFrame:
     columns = list(dict.fromkeys(f for _, f in PROTOCOL_FIELDS.values()))
     return rows.groupBy("host", "ts", "name").agg(*[
         F.max_by(
-            "value", F.when(F.col("field").isin([k for k, (_, f) in PROTOCOL_FIELDS.items() if f == column]), F.col("place"))
+            "value", F.when(F.col("field").isin([k for k, (_, f) in PROTOCOL_FIELDS.items() if f == column]), F.col("line"))
         ).alias(column)
         for column in columns
     ])
@@ -174,3 +184,35 @@ def host_filesystems(mounts: DataFrame, allow: list[str] | None = None, deny: li
         (F.col("bavail") * F.col("bsize")).alias("free_bytes"), (F.col("blocks") * F.col("bsize")).alias("total_bytes"),
         F.col("favail").alias("free_inodes"), F.col("files").alias("total_inodes"),
     )
+
+
+# The buckets of metric rows, and which columns are tags.
+TAG_COLUMNS = ("host", "device", "name", "type")
+
+
+def host_rows(
+    snapshots: DataFrame, mounts: DataFrame | None = None, add_timestamps: bool = True, interfaces: dict | None = None,
+    disks: dict | None = None, filesystems: dict | None = None,
+) -> DataFrame:
+    """All metrics of the captures as metric rows; the dicts hold ``allow`` and ``deny`` lists."""
+    parts = {
+        "system_cpu": host_cpu(snapshots), "system_activity": host_activity(snapshots), "system_memory": host_memory(snapshots),
+        "system_interface": host_interfaces(snapshots, **(interfaces or {})), "system_disk": host_disks(snapshots, **(disks or {})),
+        "system_protocol": host_protocols(snapshots),
+    }
+    if mounts is not None:
+        parts["system_filesystem"] = host_filesystems(mounts, **(filesystems or {}))
+    return union_all(*[snapshot_rows(df, bucket, add_timestamps) for bucket, df in parts.items()])
+
+
+def snapshot_rows(df: DataFrame, bucket: str, add_timestamps: bool = True) -> DataFrame:
+    """Flat metrics of a capture as metric rows that arrived when it was taken. Fields without a value are left out."""
+    tags = [c for c in TAG_COLUMNS if c in df.columns]
+    own = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in tags]))
+    fields = [c for c in df.columns if c not in (*TAG_COLUMNS, "ts", "id", "tags")]
+    rows = df.withColumns({
+        "tags": merge(own, F.col("tags")) if "tags" in df.columns else own,
+        "recv_ts": F.timestamp_micros(F.round(F.col("ts") * 1000000).cast("bigint")),
+        "ts": F.col("ts") if add_timestamps else F.lit(None).cast("double"),
+    })
+    return to_metric_rows(rows, bucket, fields)

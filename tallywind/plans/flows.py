@@ -1,6 +1,6 @@
 """The three flows from raw input to encoded output, composed of the operators.
 
-All of them are plain DataFrame transforms; nothing runs until a sink writes.
+All of them are plain DataFrame transforms. Only :func:`statsd_exposition` runs a job when it is called: it lands the samples.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from tallywind.operators import logs
 from tallywind.operators.enrich import finish_rows, to_metric_rows, union_all
 from tallywind.operators.stitch import GRAMMARS, stitch
 from tallywind.operators.statsd import parse_statsd
+from tallywind.session import shared_folder
 from tallywind.sinks.bulk import to_bulk
 from tallywind.sinks.exposition import to_exposition
 from tallywind.sources.journal import map_journal_fields, threshold
@@ -82,9 +83,18 @@ def statsd_flush(samples: DataFrame, settings: StatsdSettings) -> DataFrame:
 FLUSH_ORDER = ("timers", "histograms", "counters", "gauges", "sets")
 
 
-def statsd_exposition(lines: DataFrame, settings: StatsdSettings, now: Column | None = None, ttl: float | None = None) -> DataFrame:
-    """Text lines to exposition text."""
-    families = statsd_families(parse_statsd(lines, settings.timestamp_window), settings)
+def landed(samples: DataFrame, folder: str | None = None) -> DataFrame:
+    """The samples, written now as Parquet by kind (default: a new shared folder): parsed once, and each family reads its part."""
+    folder = folder or shared_folder(samples.sparkSession)
+    samples.write.partitionBy("kind").parquet(folder)
+    return samples.sparkSession.read.schema(samples.schema).parquet(folder)
+
+
+def statsd_exposition(
+    lines: DataFrame, settings: StatsdSettings, now: Column | None = None, ttl: float | None = None, folder: str | None = None
+) -> DataFrame:
+    """Text lines to exposition text. The parsed samples are landed in ``folder`` when this is called."""
+    families = statsd_families(landed(parse_statsd(lines, settings.timestamp_window), folder), settings)
     rows = union_all(*[
         family_rows(flat, name, settings).withColumn("seq", F.lit(FLUSH_ORDER.index(name))) for name, flat in families.items()
     ])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywind.functions.maps import literal_map
 from tallywind.functions.time import epoch, utc
 from tallywind.operators.enrich import typed_value
 
@@ -149,7 +148,3 @@ def container_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     )
     memory = base.groupBy("host", "ts").agg((F.count("*") * 1000).alias("total_bytes"))
     return containers, inspect, cgroup, memory
-
-
-def empty_tags() -> Column:
-    return literal_map({})

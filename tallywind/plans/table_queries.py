@@ -140,7 +140,7 @@ def timers(spark, folder):
 
 @query(_TIMERS)
 def timers_large_groups(spark, folder):
-    """The same with every group treated as too large for one task."""
+    """The same with the coarsest value slices, four to a doubling."""
     samples = parse_statsd(_timer_lines(spark, folder))
     return _timer_columns(A.agg_timers(samples, [50, 90, 99.5, 100], DAY, slices=2))
 
@@ -299,9 +299,8 @@ def json_messages(spark, folder):
 @query("SELECT event_id, value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
 def backfill(spark, folder):
     df = I.events(spark, folder)
-    newest = df.agg(F.max("recv_ts").alias("newest"))
-    # One row, so a bounded broadcast.
-    return J.since(df.join(F.broadcast(newest)), F.col("newest"), 3 * DAY, "recv_ts").select("event_id", "value")
+    (newest,) = df.agg(F.unix_micros(F.max("recv_ts"))).first()
+    return J.since(df, F.timestamp_micros(F.lit(newest)), 3 * DAY, "recv_ts").select("event_id", "value")
 
 
 _STITCH = f"""
@@ -323,7 +322,7 @@ def stitched_traces(spark, folder):
 
 @query(_STITCH)
 def stitched_large_streams(spark, folder):
-    """The same with every stream treated as too large for one task."""
+    """The same in slices of 50 arrival numbers."""
     return stitch(_stitch_input(spark, folder), slice_width=50).select("pid", "seq", "message")
 
 
@@ -394,7 +393,7 @@ def families(spark, folder):
     settings = flows.StatsdSettings(
         interval=DAY, percentile_thresholds=(100.0,), histogram_bins=binned_by(BinSpec([("all", None)])), add_timestamps=True
     )
-    rows = flows.statsd_flush(parse_statsd(lines), settings)
+    rows = flows.statsd_flush(flows.landed(parse_statsd(lines)), settings)
     field = lambda name: F.try_element_at("values", F.lit(name))["v"].cast("double")
     return rows.select(
         "bucket", _tag("name"), (F.col("ts") - DAY).cast("bigint").alias("day"),
@@ -422,10 +421,9 @@ def exposed(spark, folder):
 @query(f"{_EXPOSED} WHERE epoch((SELECT max(ts) FROM events)) - epoch(ts) <= 172800")
 def exposed_with_ttl(spark, folder):
     df = I.events(spark, folder)
-    newest = df.agg(F.max(epoch(F.col("recv_ts"))).alias("newest"))
-    lines = exposition.exposition_lines(I.metric_events(df)).join(F.broadcast(newest))  # one row
-    alive = exposition.expire(lines, F.col("newest"), 2 * DAY).drop("newest")
-    return exposition.latest_series(alive).select("series", "line")
+    (newest,) = df.agg(F.max(epoch(F.col("recv_ts")))).first()
+    lines = exposition.exposition_lines(I.metric_events(df))
+    return exposition.latest_series(exposition.expire(lines, F.lit(newest), 2 * DAY)).select("series", "line")
 
 
 @query("""
@@ -541,6 +539,30 @@ def host_disks(spark, folder):
     return rows.select("host", "ts", "name", "read_sectors", "read_bytes", "weighted_time", "discard_bytes")
 
 
+@query(f"""
+WITH m AS (SELECT *, 'dc=x,host=' || host AS t, ' ' || (k * 1000000000) AS z FROM {_ORDERS})
+SELECT 'system_cpu,dc=x,host=' || host || ',name=cpu0 idle=4,interrupt=6,nice=2,softirq=7,steal=8,system=3,user=' || p || ',wait=5' || z AS line FROM m
+UNION ALL SELECT 'system_cpu,dc=x,host=' || host || ',name=cpu1 nice=' || k || ',system=30,user=10' || z FROM m
+UNION ALL SELECT 'system_activity,' || t || ' forks=99,interrupts=' || p || ',load=0.25,running=2,switches=' || k || z FROM m
+UNION ALL SELECT 'system_memory,' || t || ' cached_bytes=7168,free_bytes=' || (k * 1024) || ',total_bytes=' || (p * 1024) || z FROM m
+UNION ALL SELECT 'system_interface,' || t || ',name=eth0 rx_bytes=' || p || ',rx_dropped=2,rx_errors=1,rx_packets=' || k || ',tx_bytes=' || k
+  || ',tx_dropped=7,tx_errors=6,tx_packets=5' || z FROM m
+UNION ALL SELECT 'system_disk,' || t || ',name=sda in_progress=9,io_time=10,read_bytes=' || (p * 512) || ',read_merged=2,read_ops=1,read_sectors=' || p
+  || ',read_time=4,weighted_time=11,write_bytes=3584,write_merged=6,write_ops=5,write_sectors=7,write_time=8' || z FROM m
+UNION ALL SELECT 'system_protocol,' || t || ',name=ip rx_bytes=' || k || ',rx_dropped=6,rx_packets=' || p || ',tx_bytes=2000' || z FROM m
+UNION ALL SELECT 'system_protocol,' || t || ',name=tcp rx_packets=4,timeouts=9,tx_opens=' || k || z FROM m
+UNION ALL SELECT 'system_filesystem,dc=x,device=/dev/d' || l_linenumber || ',host=h' || l_suppkey || ',name=/mnt/' || l_partkey || ',type=ext4 free_bytes='
+  || (l_suppkey * 4096) || ',free_inodes=' || l_linenumber || ',total_bytes=' || (l_partkey * 4096) || ',total_inodes=' || (l_orderkey % 5) || ' '
+  || (l_orderkey * 1000000000)
+FROM lineitem WHERE l_linenumber % 4 != 0 AND l_linenumber % 3 != 0 AND l_orderkey % 5 != 0""")
+def host_rows(spark, folder):
+    """Captures of hosts to line protocol, through metric rows and static tags."""
+    rows = hosts.host_rows(
+        I.snapshots(spark, folder), I.mounts(spark, folder), interfaces={"deny": ["lo"]}, disks={"allow": ["sd.*"]}, filesystems={"deny": ["tmpfs", "proc"]}
+    )
+    return line_protocol.to_line_protocol(enrich.finish_rows(rows, {"dc": "x"})).select("line")
+
+
 @query(f"""SELECT host, ts, 'ip' AS name, p AS rx_packets, 6::BIGINT AS rx_dropped, k AS rx_bytes, NULL::BIGINT AS tx_opens, NULL::BIGINT AS timeouts FROM {_ORDERS}
 UNION ALL SELECT host, ts, 'tcp', 4, NULL, NULL, k, 9 FROM {_ORDERS}""")
 def host_protocols(spark, folder):
@@ -595,43 +617,60 @@ def container_interfaces(spark, folder):
     return C.container_interfaces(_facts(spark, folder)[0]).select("host", "id", "name", "rx_bytes", "tx_bytes")
 
 
+@query(f"""
+WITH c AS (SELECT *, 'app=app' || p_size || ',dc=x,docker_id=' || substr(id, 1, 12) || ',docker_name=/part' || p_partkey || ',host=' || host AS t,
+  ',team=t' || p_size AS e, ' 1000000000' AS z FROM {_PARTS})
+SELECT 'docker_filesystem,' || t || e || ' total_bytes=' || p_partkey || ',used_bytes=' || CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 0 END || z AS line FROM c
+UNION ALL SELECT 'docker_cpu,' || t || ',name=cpu' || i || e || ' usage=' || CASE i WHEN 0 THEN p_partkey ELSE p_size END || z FROM c, (SELECT unnest([0, 1]) AS i)
+UNION ALL SELECT 'docker_cpu,' || t || e || ' limit_ps=' || CASE WHEN p_partkey % 3 = 0 AND p_partkey > 0 THEN p_partkey * 1000
+  WHEN p_partkey % 3 = 0 THEN 2000000000 ELSE CAST(round_even(1000000000.0::DOUBLE * p_size * 1000 / 300000, 0) AS BIGINT) END || z FROM c
+UNION ALL SELECT 'docker_interface,' || t || ',name=eth0' || e || ' rx_bytes=' || p_partkey || ',rx_dropped=3,rx_errors=2,rx_packets=1,tx_bytes=' || p_size
+  || ',tx_dropped=7,tx_errors=6,tx_packets=5' || z FROM c
+UNION ALL SELECT 'docker_memory,' || t || e || ' limit_bytes=' || CASE WHEN p_partkey % 4 = 0 OR p_partkey = 0 THEN m.total ELSE p_partkey END
+  || ',used_bytes=' || p_partkey || z
+FROM c JOIN (SELECT 'h' || (p_partkey % 10) AS host, count(*) * 1000 AS total FROM part GROUP BY ALL) m ON c.host = m.host""")
+def container_rows(spark, folder):
+    """Captures of containers to line protocol, through metric rows and static tags."""
+    rows = C.container_rows(*_facts(spark, folder))
+    return line_protocol.to_line_protocol(enrich.finish_rows(rows, {"dc": "x"})).select("line")
+
+
 # Streams ---------------------------------------------------------------------------------------
 
 
 def _run_stream(spark: SparkSession, folder: str, kind: str, family: windows.Family) -> DataFrame:
-    """The events table as a stream, read to its end; results of the windows closed by then."""
-    schema = I.table(spark, folder, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{folder}/events[.]parquet")
-    stream = raw.withColumns({"recv_ts": utc(F.col("ts")), "seq": F.col("event_id")}).drop("ts")
+    """The events table as a stream of two halves and an end marker, with a restart before each; results of all its windows."""
     work = shared_folder(spark)
-    samples = parse_statsd(I.statsd_lines(stream, kind))
-    windows.start_windows(samples, family, 3600.0, f"{work}/checkpoint", windows.parquet_sink(f"{work}/out")).awaitTermination()
+    events = I.events(spark, folder)
+    at = epoch(F.col("recv_ts"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    early = F.coalesce(at < F.lit((first + last) / 2), F.lit(False))
+    for part in (events.where(early), events.where(~early), windows.end_marker(events, last)):
+        part.write.mode("append").parquet(f"{work}/events")
+        samples = parse_statsd(I.statsd_lines(spark.readStream.schema(events.schema).parquet(f"{work}/events"), kind))
+        windows.start_windows(samples, family, 3600.0, f"{work}/checkpoint", windows.parquet_sink(f"{work}/out")).awaitTermination()
     return spark.read.parquet(f"{work}/out")
 
 
-def _closed(sql: str) -> str:
-    return f"SELECT * FROM ({sql}) WHERE win_start + 86400 <= (SELECT epoch(max(ts)) - 3600 FROM events)"
-
-
-@query(_closed(_COUNTERS))
+@query(_COUNTERS)
 def stream_counters(spark, folder):
     return _counter_columns(_run_stream(spark, folder, "c", windows.counters(DAY)))
 
 
-@query(_closed(_GAUGES))
+@query(_GAUGES)
 def stream_gauges(spark, folder):
     return _run_stream(spark, folder, "g", windows.gauges(DAY)).select(_tag("name"), _tag("user"), _start(), _r("value"))
 
 
-@query(_closed(_SETS))
+@query(_SETS)
 def stream_sets(spark, folder):
     return _run_stream(spark, folder, "s", windows.sets(DAY)).select(_tag("name"), _tag("user"), _start(), "count")
 
 
-@query(_closed(
+@query(
     _TIMERS.replace("SELECT event_type, value", "SELECT event_type || ',u' || user_id AS event_type, value")
     .replace("event_type AS name, win_start", "split_part(event_type, ',', 1) AS name, split_part(event_type, ',', 2) AS user, win_start")
-))
+)
 def stream_timers(spark, folder):
     out = _run_stream(spark, folder, "ms", windows.timers([50, 90, 99.5, 100], DAY))
     return out.select(
@@ -639,7 +678,7 @@ def stream_timers(spark, folder):
     )
 
 
-@query(_closed(_HISTOGRAMS))
+@query(_HISTOGRAMS)
 def stream_histograms(spark, folder):
     bins = binned_by(
         BinSpec([("all", None)], {"name": "click"}), BinSpec([("", None)], {"name": "error"}), BinSpec([("low", 10.0), ("mid", 50.0)])

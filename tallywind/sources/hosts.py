@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywind.functions.text import strip
 
 
+def tokens(line: Column) -> Column:
+    """The words of a line."""
+    return F.split(strip(line), r"\s+")
+
+
 def snapshot_lines(snapshots: DataFrame, *paths: str) -> DataFrame:
     """``host, ts, path, pos, tokens`` of the non-blank lines; ``paths`` limits the files read."""
     chosen = snapshots.where(F.col("path").isin(*paths)) if paths else snapshots

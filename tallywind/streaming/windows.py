@@ -62,9 +62,9 @@ def start_windows(
     :func:`parquet_sink` does.
     """
     timed = samples.withWatermark("recv_ts", micros(delay))
-    # Reading the time column keeps the filter on ``kind`` above the watermark, so that samples of
+    # Reading the time column keeps the filters on kinds and bins above the watermark, so that samples of
     # every kind move the clock and a quiet family still closes its windows.
-    timed = timed.withColumn("kind", F.when(F.col("recv_ts").isNotNull(), F.col("kind")))
+    timed = timed.withColumns({c: F.when(F.col("recv_ts").isNotNull(), F.col(c)) for c in ("kind", "tags", "value")})
     partials = family.partial(timed)
 
     def finish(batch: DataFrame, batch_id: int) -> None:
@@ -86,3 +86,11 @@ def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
         results.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+def end_marker(rows: DataFrame, end: float, after: float = 10 * 365 * 86400.0) -> DataFrame:
+    """One of ``rows`` with an arrival time far beyond ``end`` (epoch seconds).
+
+    As a source's last input it moves the watermark past all open windows, so that they are flushed. Its own window stays open.
+    """
+    return rows.limit(1).withColumn("recv_ts", F.timestamp_micros(F.lit(round((end + after) * 1000000))))

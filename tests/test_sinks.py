@@ -91,22 +91,19 @@ def test_routes(spark):
 
 
 def test_exposition_ttl(spark):
+    # Series of one bucket age on their own: a row renews only the fields and tags that it has.
     rows = [
-        (1, "val1", {"x": 1, "y": 2}, None, {"a": "b"}), (1, "val2", {"x": 1, "y": 2, "z": 3}, None, {}),
-        (2, "val1", {"x": 5, "z": 7}, None, {"a": "b"}), (1, "val3", {"a": 1}, None, {}),
+        (10, "disk", {"free": 70, "used": 30}, None, {"path": "/"}), (10, "disk", {"free": 5}, None, {"path": "/tmp"}),
+        (16, "disk", {"used": 31, "inodes": 9}, None, {"path": "/"}), (13, "up", {"seconds": 400}, None, {}),
     ]
     df = metric_rows(spark, rows)
-
-    def at_time(now):
-        return {r["line"] for r in exposition.to_exposition(df, F.lit(float(now)), 2.0).collect()}
-
-    full = {
-        'val1{a="b",value="x"} 5', 'val1{a="b",value="y"} 2', 'val1{a="b",value="z"} 7', 'val2{value="x"} 1',
-        'val2{value="y"} 2', 'val2{value="z"} 3', 'val3{value="a"} 1',
+    last_seen = {
+        'disk{path="/",value="free"} 70': 10, 'disk{path="/",value="used"} 31': 16, 'disk{path="/",value="inodes"} 9': 16,
+        'disk{path="/tmp",value="free"} 5': 10, 'up{value="seconds"} 400': 13,
     }
-    assert at_time(3) == full
-    assert at_time(4) == {'val1{a="b",value="x"} 5', 'val1{a="b",value="z"} 7'}
-    assert at_time(5) == set()
+    for now in (16, 17, 18, 20, 23, 24):
+        got = {r["line"] for r in exposition.to_exposition(df, F.lit(float(now)), 7.0).collect()}
+        assert got == {line for line, seen in last_seen.items() if now - seen <= 7}, now
 
 
 def test_exposition_text(spark, tmp_path):
@@ -124,18 +121,18 @@ def test_exposition_text(spark, tmp_path):
 
 
 def test_line_protocol(spark):
-    rows = [
-        (1, "val1", {"y": 2, "x": 1.5}, 1.0, {}),
-        (1, "val1", {"y": 2, "x": 1}, 1.0, {"path": "/foo/bar", "hello": "world", "foo": "world"}),
-        (1, "v", {"s": 'say "hi"', "b": True, "n": None}, None, {"e": "", "k": "a b,c=d", "z": None}),
-        (1, "none", {"n": None}, 1.0, {}),
-        (1, "t", {"x": 1}, 1700000000.123, {}),
+    # Per row: time, fields, tags, and the line.
+    cases = [
+        (0.5, {"used": 31, "free": 0.25}, {}, "disk free=0.25,used=31 500000000"),
+        (2.0, {"n": -1}, {"zone": "eu", "path": "/var/log", "Host": "h1"}, "disk,Host=h1,path=/var/log,zone=eu n=-1 2000000000"),
+        (None, {"ok": False, "why": 'a "full" disk', "gone": None}, {"empty": "", "mark": "x=1, y", "lost": None}, None),
+        (3.0, {"gone": None}, {"zone": "eu"}, ""),
+        (1650000000.625, {"n": 1}, {}, "disk n=1 1650000000625000000"),
     ]
+    rows = [(1, "disk", fields, ts, tags) for ts, fields, tags, _ in cases]
     got = [r["line"] for r in line_protocol.to_line_protocol(metric_rows(spark, rows)).orderBy("seq").collect()]
-    assert got == [
-        "val1 x=1.5,y=2 1000000000", "val1,foo=world,hello=world,path=/foo/bar x=1,y=2 1000000000",
-        r'v,k=a\ b\,c\=d b=True,s="say \"hi\""', "t x=1 " + str(int(1700000000.123 * 1000000000)),
-    ]
+    quoted = r'disk,mark=x\=1\,\ y ok=False,why="a \"full\" disk"'  # no time; blanks, commas and equals signs of tags are escaped
+    assert got == [quoted if line is None else line for *_, line in cases if line != ""]
 
 
 def expected_doc(recv, bucket, values, ts, tags, static):
