@@ -77,15 +77,19 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, n: int = 13, broadcas
     probed = scan.select("key_a", "key_b", "doc_id", "n_words", "words", F.explode_outer("probes").alias("probe")).select(
         "key_a", "key_b", "doc_id", "n_words", "words", "probe.length", "probe.at", "probe.hash"
     )
+    # What the windows around a run can hold. Cut out after the lookup if that needs no shuffle; else before it, so that
+    # no task passes on whole texts for each of their probes.
+    spanned = ["key_a", "key_b", "doc_id", "n_words", "length", "at", "step"]
+    base = F.expr("greatest(1, at - step + 1)")
+    around = F.slice("words", base, F.col("length") + F.col("step") - 1).alias("around")
+    probed = probed.withColumn("step", _run(F.col("length"))[1])
+    if not small:
+        probed = probed.select(*spanned, "hash", around)
     near = probed.join(
         held(runs), (F.col("hash") == F.col("run_hash")) & (F.col("length") == F.col("run_length")), "left"
     ).filter("length = 0 OR run_hash IS NOT NULL")
     # Each run that hits lies in at most `step` windows; these are compared in full.
-    near = near.select(
-        "key_a", "key_b", "doc_id", "n_words", "length", "at",
-        F.expr("slice(words, greatest(1, at - length), 3 * length + 1)").alias("around"),
-        F.expr("greatest(1, at - length)").alias("base"),
-    ).withColumn("step", _run(F.col("length"))[1])
+    near = near.select(*spanned, around if small else "around", base.alias("base"))
     tried = near.select(
         "key_a", "key_b", "doc_id", "n_words", "length",
         F.explode_outer(
