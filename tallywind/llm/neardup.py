@@ -200,7 +200,7 @@ def link_buckets(near: DataFrame, signed: DataFrame, texts: DataFrame, size: int
     return dealt.join(whole, "row").groupBy("bucket", "first", "second").applyInArrow(linked, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """`node, component` (the smallest node reachable) for all nodes of the undirected `a, b` that aren't it themselves.
 
     Alternates large and small stars: each node's larger neighbours, then its smaller ones, move to its smallest
@@ -216,9 +216,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         return tuple(frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first())
 
     seen = mark(stars)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = stars.select(F.col("node").alias("u"), F.col("component").alias("v"))
         both = both.unionAll(stars.select(F.col("component").alias("u"), F.col("node").alias("v")))
         large = moved(both).filter("v > u").select(F.col("v").alias("node"), F.col("m").alias("component"))
