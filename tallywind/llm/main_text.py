@@ -31,7 +31,7 @@ OTHER_ROLES = frozenset("navigation banner contentinfo complementary search aler
 OTHER_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices
     popup modal overlay newsletter subscribe subscription signup sidebar sidebars aside menu nav navbar navigation breadcrumb breadcrumbs header
-    masthead footer comment comments commentlist disqus replies respond related recommended share sharing social toolbar pagination pager login
+    masthead footer alert alerts discussion trackbacks comment comments commentlist disqus replies respond related recommended share sharing social toolbar pagination pager login
     search widget widgets""".split()
 )
 CONTAINERS = frozenset("body div section td center".split())
@@ -120,7 +120,8 @@ class Lines(HTMLParser):
 def _marked(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if name in ("class", "id"):
-            if not OTHER_WORDS.isdisjoint(re.split(r"[\s_-]+", (value or "").lower())):
+            # Words lie between blanks, marks and changes of case, as in "siteFooter".
+            if not OTHER_WORDS.isdisjoint(w.lower() for w in re.split(r"[\s_-]+|(?<=[a-z0-9])(?=[A-Z])", value or "")):
                 return True
         elif name == "role":
             if (value or "").strip().lower() in OTHER_ROLES:

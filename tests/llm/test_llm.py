@@ -250,7 +250,7 @@ def test_main_text(spark):
     page = (
         "<html><head><title>T</title><script>var a='</p>';</script></head><body class=has-sidebar><nav><a href=x>Home</a></nav><div class='ad'>" + long
         + "</div><article><header>By me</header><h1>Head</h1><p><b>" + long + "<br><p>In\n  <i>line</i>d.<form>Send</form><aside>see also</aside></p>"
-        "<div class='comments'>" + long * 3 + "</div></article><div id=cookie-notice>" + long + "</div><footer>&copy; me"
+        "<div class='comments'>" + long * 3 + "</div></article><div id=cookie-notice>" + long + "</div><div class='wide pageFooter'>" + long + "</div><footer>&copy; me"
     )
     plain = "<div id=menu><a>x</a><a>y</a></div><div><p>" + long * 2 + "<p>" + long + "</div><![CDATA[x]]><table><tr><td>1<td>2</table>"
     text = "Some running text that goes on for a good while, & more of it."
