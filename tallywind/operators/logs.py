@@ -19,13 +19,19 @@ def _event_fields(df: DataFrame) -> list[str]:
     return [f for f in [*FIELDS.values(), "level", "facility"] if f in df.columns]
 
 
-def decode_json_message(df: DataFrame) -> DataFrame:
+def _named(df: DataFrame, names: dict[str, str | None] | None) -> dict[str, str]:
+    """Event fields and what they are called in results; those renamed to None aren't there."""
+    called = {f: (names or {}).get(f, f) for f in _event_fields(df)}
+    return {f: name for f, name in called.items() if name is not None}
+
+
+def decode_json_message(df: DataFrame, names: dict[str, str | None] | None = None) -> DataFrame:
     """Adds ``is_json`` and ``extra``: members of a JSON message that the event does not have.
 
-    The message itself goes. Anything but one flat object leaves the event as it was.
+    The message itself goes. Anything but one flat object leaves the event as it was. ``names``: see :func:`log_rows`.
     """
-    names = [f for f in _event_fields(df) if f != "message"]
-    present = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in names]))
+    called = {f: name for f, name in _named(df, names).items() if f != "message"}
+    present = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(name)) for f, name in called.items()]))
     text = lstrip(F.col("message"))
     marked = df.withColumns({"is_json": is_flat_object(text), "present": present})
     added = F.map_filter(flat_values(text), lambda k, v: ~F.array_contains("present", k))
@@ -46,22 +52,25 @@ def with_level_words(df: DataFrame) -> DataFrame:
     return df.withColumn("level", level_name(F.col("level")))
 
 
-def _entry(field: str, kind: str) -> Column:
+def _entry(field: str, kind: str, name: str) -> Column:
     value = F.col(field)
     if field in _NUMERIC and kind == "string":
         number = F.struct(F.lit("int").alias("t"), value.alias("v"))
         typed = F.when(value.rlike("^(0|-?[1-9][0-9]*)$"), number).otherwise(typed_value(value, kind))
     else:
         typed = typed_value(value, kind)
-    return F.struct(F.lit(field).alias("key"), typed.alias("value"))
+    return F.struct(F.lit(name).alias("key"), typed.alias("value"))
 
 
-def log_rows(df: DataFrame, bucket: str = "logs", level: str = "INFO") -> DataFrame:
-    """Output step: threshold again, words for levels, then metric rows in ``bucket``."""
+def log_rows(df: DataFrame, bucket: str = "logs", level: str = "INFO", names: dict[str, str | None] | None = None) -> DataFrame:
+    """Output step: threshold again, words for levels, then metric rows in ``bucket``.
+
+    ``names`` maps event fields, as ``level`` and ``facility``, to other names, or to None to leave them out.
+    """
     events = with_level_words(at_level(df, level))
     kinds = dict(events.dtypes)
     own = F.filter(
-        F.array(*[_entry(f, kinds[f]) for f in _event_fields(events)]), lambda e: e["value"]["t"] != "null"
+        F.array(*[_entry(f, kinds[f], name) for f, name in _named(events, names).items()]), lambda e: e["value"]["t"] != "null"
     )
     values = F.map_from_entries(own)
     if "extra" in events.columns:

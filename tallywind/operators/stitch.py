@@ -193,17 +193,19 @@ def _sliced(lines: DataFrame, run: int | None, width: int, all_columns: Column)
 
 def stitch(
     events: DataFrame, key: list[str] | None = None, grammars: Iterable[Grammar] = GRAMMARS,
-    trace_level: int | None = None, slice_width: int = 1 << 26, max_lines: int | None = None,
+    trace_level: int | None = None, slice_width: int = 1 << 26, max_lines: int | None = None, bypass: str | None = None,
 ) -> DataFrame:
     """Events with ``message, ts DOUBLE, seq`` to one event per trace, with the first line's fields.
 
     ``trace_level`` replaces the level of stitched traces. Traces are whole; with ``max_lines``, one that grows beyond it
-    keeps the newer half and goes on.
+    keeps the newer half and goes on. Events whose boolean column ``bypass`` is true go through as they are, as if they
+    were in no stream.
     """
     grammars = tuple(grammars)
     key = [c for c in (key or STREAM_KEY) if c in events.columns]
     fields = events.columns
-    stream = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    aside = F.lit(False) if bypass is None else F.coalesce(F.col(bypass), F.lit(False))
+    stream = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key], *([aside.cast("string")] if bypass else []))
     starts = [p for g in grammars for p, _ in g.starts]
     strong = [p for g in grammars for s in g.states.values() for p, _ in s.moves]
     lines = events.withColumn("stream", stream).withColumns(
@@ -212,10 +214,11 @@ def stitch(
     run = quiet_run(grammars)
     # All branches read the same exchange as long as they need the same columns. This always-true
     # test keeps column pruning from giving one of them an exchange, and a scan, of its own.
-    all_columns = F.hash("stream", *fields) >= -(2**31)
+    maps = {f.name for f in events.schema if f.dataType.typeName() == "map"}  # these have no hash
+    all_columns = F.hash("stream", *[F.map_entries(c) if c in maps else c for c in fields]) >= -(2**31)
     marked = _sliced(lines, run, slice_width, all_columns)
     marked = marked.withColumn("island", F.coalesce("island", F.lit(-1)))
-    busy = F.coalesce(F.col("started") >= F.col("island"), F.lit(False))
+    busy = F.coalesce(F.col("started") >= F.col("island"), F.lit(False)) & ~aside
     alone = marked.where(~busy & all_columns).select(*fields)
     schema = events.select(*fields).schema
     level = trace_level if "level" in fields else None

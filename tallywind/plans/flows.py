@@ -21,6 +21,7 @@ from tallywind.sinks.bulk import to_bulk
 from tallywind.sinks.exposition import to_exposition
 from tallywind.sources.journal import map_journal_fields, threshold
 from tallywind.sources.json_events import parse_json_events
+from tallywind.streaming.stateful import stitch_stream
 
 # Value fields per family, in metric rows.
 FIELDS = {
@@ -111,16 +112,24 @@ def json_bulk(
 
 def journal_rows(
     raw: DataFrame, level: str = "INFO", trace_level: str | None = None, decode_json: bool = False,
-    bucket: str = "logs", static_tags: dict[str, str] | None = None, grammars=GRAMMARS,
+    bucket: str = "logs", static_tags: dict[str, str] | None = None, grammars=GRAMMARS, names: dict[str, str | None] | None = None,
+    delay: float = 0.0,
 ) -> DataFrame:
-    """Journal rows to finished log rows; JSON messages bypass the trace automaton."""
+    """Journal rows to finished log rows, on batches and streams; JSON messages bypass the trace automaton.
+
+    ``names`` renames fields of the result, as ``{"level": "severity", "facility": None}``; None leaves one out. On a stream, lines
+    arrive ``delay`` seconds late at most.
+    """
     events = map_journal_fields(raw, level)
     number = None if trace_level is None else threshold(trace_level)
     if decode_json:
-        decoded = logs.decode_json_message(events)
-        done = decoded.where("is_json").drop("is_json")
-        text = decoded.where("NOT is_json").drop("is_json", "extra")
-        events = done.unionByName(stitch(text, grammars=grammars, trace_level=number), allowMissingColumns=True)
+        events = logs.decode_json_message(events, names)
+    if not raw.isStreaming:
+        events = stitch(events, grammars=grammars, trace_level=number, bypass="is_json" if decode_json else None)
+    elif decode_json:
+        text = events.where("NOT is_json").drop("is_json", "extra")
+        joined = stitch_stream(text, grammars=grammars, trace_level=number, delay=delay)
+        events = events.where("is_json").unionByName(joined, allowMissingColumns=True)
     else:
-        events = stitch(events, grammars=grammars, trace_level=number)
-    return finish_rows(logs.log_rows(events, bucket, level), static_tags)
+        events = stitch_stream(events, grammars=grammars, trace_level=number, delay=delay)
+    return finish_rows(logs.log_rows(events.drop("is_json"), bucket, level, names), static_tags)

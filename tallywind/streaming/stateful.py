@@ -67,10 +67,13 @@ def latest_lines(lines: DataFrame, ttl: float, delay: float = 0.0) -> DataFrame:
 
 
 class OpenTrace(StatefulProcessor):
-    """One automaton per stream; an open trace is let go when its stream is silent for a second."""
+    """One automaton per stream; an open trace is let go when its stream is silent for a second.
 
-    def __init__(self, grammars, idle_ms: int = 1000):
-        self.grammars, self.idle_ms = grammars, idle_ms
+    With ``arrival``, the clock is the watermark of arrival times, else the machine's.
+    """
+
+    def __init__(self, grammars, idle_ms: int = 1000, arrival: bool = False):
+        self.grammars, self.idle_ms, self.arrival = grammars, idle_ms, arrival
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -102,7 +105,8 @@ class OpenTrace(StatefulProcessor):
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         if machine.lines:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+            now = int(batch["recv"].max() * 1000) if self.arrival else timerValues.getCurrentProcessingTimeInMs()
+            self.handle.registerTimer(now + self.idle_ms + 1)
         if done:
             yield self._frame(done)
 
@@ -117,17 +121,30 @@ class OpenTrace(StatefulProcessor):
         pass
 
 
-def stitch_stream(events: DataFrame, key: list[str] | None = None, grammars=GRAMMARS) -> DataFrame:
-    """Streaming counterpart of ``stitch``: same columns, each trace as one event."""
+#: Times keep their microseconds in a line's state.
+_JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def stitch_stream(
+    events: DataFrame, key: list[str] | None = None, grammars=GRAMMARS, trace_level: int | None = None, delay: float = 0.0
+) -> DataFrame:
+    """Streaming counterpart of ``stitch``: same columns, each trace as one event; ``trace_level`` replaces a trace's level.
+
+    Events with ``recv_ts`` run on arrival time, ``delay`` seconds late at most: replays give the same traces, and an end
+    marker far ahead lets the open ones go. Others run on the machine's clock.
+    """
     key = [c for c in (key or STREAM_KEY) if c in events.columns]
+    arrival = "recv_ts" in events.columns
+    timed = events.withWatermark("recv_ts", f"{round(delay * 1000)} milliseconds") if arrival else events
     stream = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
-    rows = events.select(
-        stream.alias("stream"), "seq", "ts", "message",
-        F.to_json(F.struct(*[c for c in events.columns if c != "message"])).alias("event"),
-    )
+    clock = ["recv_ts", epoch(F.col("recv_ts")).alias("recv")] if arrival else []
+    rows = timed.select(stream.alias("stream"), "seq", "ts", "message", F.to_json(F.struct(*events.columns), _JSON_TIMES).alias("event"), *clock)
     out = rows.groupBy("stream").transformWithStateInPandas(
-        OpenTrace(tuple(grammars)), outputStructType="event string, message string", outputMode="Append",
-        timeMode="ProcessingTime",
+        OpenTrace(tuple(grammars), arrival=arrival), outputStructType="event string, message string", outputMode="Append",
+        timeMode="EventTime" if arrival else "ProcessingTime",
     )
-    rest = events.drop("message").schema
-    return out.select(F.from_json("event", rest).alias("e"), "message").select("e.*", "message").select(*events.columns)
+    out = out.select(F.from_json("event", events.schema, _JSON_TIMES).alias("e"), "message")
+    columns = {c: F.col("e").getField(c) for c in events.columns} | {"message": F.col("message")}
+    if trace_level is not None and "level" in columns:
+        columns["level"] = F.when(F.col("message") != F.col("e.message"), F.lit(trace_level)).otherwise(F.col("e.level"))
+    return out.select(*[value.alias(c) for c, value in columns.items()])

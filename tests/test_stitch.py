@@ -68,6 +68,17 @@ def test_interleaved_streams_and_level(spark):
     assert out["a"]["level"] == 3 and out["a"]["seq"] == 0
 
 
+@pytest.mark.parametrize("slice_width", [3, 1 << 26])
+def test_bypass(spark, slice_width):
+    rows = [(2 * i, "p", i * 0.1, m, 6) for i, m in enumerate([*PY, "plain", *NODE])]
+    aside = [(2 * i + 1, "p", 500.0, None if i % 2 else PY[0], 6) for i in range(len(rows))]
+    df = frame(spark, rows + aside).withColumn("aside", F.col("seq") % 2 == 1).withColumn("extra", F.create_map(F.lit("k"), F.lit("v")))
+    out = stitch(df, slice_width=slice_width, bypass="aside").collect()
+    assert sorted((r["pid"], r["seq"], r["message"]) for r in out if not r["aside"]) == sequential(rows)
+    assert sorted((r["seq"], r["message"] or "") for r in out if r["aside"]) == [(r[0], r[3] or "") for r in aside]
+    assert all(r["extra"] == {"k": "v"} for r in out)
+
+
 def test_false_starts():
     assert [m for _, _, m in feed_all(["Traceback (most recent call last):", "nothing", "x"])] == [
         "Traceback (most recent call last):", "nothing", "x"]

@@ -118,6 +118,17 @@ def test_stitch_stream(spark):
     assert sorted((r["pid"], r["seq"], r["message"]) for r in spark.table("stitched").collect()) == want
 
 
+def test_stitch_stream_on_arrival_time(spark):
+    rows = [(i, "p", i * 0.1, m, 6, at(i * 0.1 + 0.000001)) for i, m in enumerate(["x", *PY, "plain", *JAVA])]
+    end = spark.createDataFrame([(99, "end", 1e6, "end", 6, at(1e6))], "seq bigint, pid string, ts double, message string, level int, recv_ts timestamp")
+    df = spark.createDataFrame(rows, end.schema)
+    stream = as_stream(spark, [df.where("seq < 4"), df.where("seq >= 4"), end])
+    out = collect_stream(stateful.stitch_stream(stream, trace_level=3), "stitched_by_arrival").where("pid = 'p'").collect()
+    assert sorted((r["pid"], r["seq"], r["message"]) for r in out) == sequential([r[:5] for r in rows])
+    assert {r["level"] for r in out if "\n" in r["message"]} == {3} and {r["level"] for r in out if "\n" not in r["message"]} == {6}
+    assert {r["recv_ts"].microsecond % 10 for r in out} == {1}
+
+
 def test_fanout(spark):
     df = spark.createDataFrame([("s1", 1), ("s2", 2)], "source string, v int")
     got = {"d1": [], "d2": []}
