@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import at, lines
-from tallywind.operators import logs
+from tallywind.operators import logs, report
 from tallywind.operators.enrich import _READ
+from tallywind.plans import flows
 from tallywind.sources import journal
 from tallywind.sources.json_events import is_flat_object, parse_json_events
 
@@ -109,6 +110,25 @@ def test_json_messages(spark):
     assert out[4] == {"level": "info", "b": None}
 
 
+def test_names_of_fields(spark):
+    rows = [("hello", "3", "4"), ('{"level": 1, "severity": 2, "facility": "x"}', "6", None)]
+    raw = spark.createDataFrame(rows, "MESSAGE string, PRIORITY string, SYSLOG_FACILITY string")
+    for name in set(journal.FIELDS) | {"_SOURCE_REALTIME_TIMESTAMP", "__REALTIME_TIMESTAMP"}:
+        raw = raw if name in raw.columns else raw.withColumn(name, F.lit(None).cast("string"))
+    raw = raw.withColumn("seq", F.monotonically_increasing_id()).withColumn("recv_ts", F.lit(at(5.0)))
+    got = flows.journal_rows(raw, decode_json=True, names={"level": "severity", "facility": None}).collect()
+    values = sorted(({k: v["v"] for k, v in r["values"].items()} for r in got), key=len)
+    assert values == [{"message": "hello", "severity": "error"}, {"level": "1", "facility": "x", "severity": "info"}]
+
+
+def test_counter_rows(spark):
+    df = spark.createDataFrame([(at(1.0), "a", True), (at(2.0), "a", None), (at(11.0), None, False)], "recv_ts timestamp, host string, bad boolean")
+    rows = report.counter_rows(df, 10.0, tags={"host": F.col("host")}, rejected=F.col("bad")).collect()
+    got = sorted((r["ts"], r["tags"], {k: v["v"] for k, v in r["values"].items()}) for r in rows)
+    assert got == [(10.0, {"host": "a"}, {"received": "2", "rejected": "1"}), (20.0, {}, {"received": "1", "rejected": "0"})]
+    assert report.counter_rows(df.limit(0), 10.0).count() == 0
+
+
 def test_since(spark):
     df = spark.createDataFrame([(at(t),) for t in (900.0, 940.0, 1000.0, 1001.0)], "ts timestamp")
     now = F.lit(at(1000.0))
