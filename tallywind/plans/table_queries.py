@@ -16,7 +16,7 @@ from tallywind.operators import aggregate as A
 from tallywind.operators import containers as C
 from tallywind.operators import enrich, hosts, limits, logs, report
 from tallywind.operators.bins import BinSpec, binned_by, binned_by_function
-from tallywind.operators.stitch import stitch
+from tallywind.operators.stitch import GRAMMARS, Grammar, State, stitch
 from tallywind.operators.statsd import classify_statsd, parse_statsd
 from tallywind.plans import flows
 from tallywind.plans import inputs as I
@@ -27,7 +27,7 @@ from tallywind.sources import journal as J
 from tallywind.sources.containers import container_facts
 from tallywind.sources.json_events import parse_json_events
 from tallywind.sources.packets import inflate_packets, read_lines
-from tallywind.streaming import windows
+from tallywind.streaming import fanout, stateful, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -215,6 +215,19 @@ def line_outcomes(spark, folder):
     return report.line_report(classify_statsd(_odd_lines(spark, folder)))
 
 
+@query(f"""
+SELECT 'pipeline,dc=x,host=' || h || ' received=' || count(*) || ',rejected=' || count(*) FILTER (event_id % 10 NOT IN (0, 1, 9)) || ',sets='
+  || count(*) FILTER (event_id % 10 = 9) || ' ' || {_DAY} + 86400 || '000000000' AS line
+FROM (SELECT *, 'h' || event_id % 3 AS h FROM events) GROUP BY h, {_DAY}""")
+def pipeline_counters(spark, folder):
+    """What became of each host's lines in a day, as line protocol."""
+    lines = classify_statsd(_odd_lines(spark, folder))
+    rejected = F.col("reject_reason").isNotNull()
+    host = F.concat(F.lit("h"), F.col("seq") % 3)
+    rows = report.counter_rows(lines, DAY, tags={"host": host}, rejected=rejected, sets=~rejected & (F.col("kind") == "set"))
+    return line_protocol.to_line_protocol(enrich.finish_rows(rows, {"dc": "x"})).select("line")
+
+
 @query("""
 WITH e AS (SELECT *, round(epoch(ts) + (event_id % 5 - 2) * 400, 3) AS cust FROM events)
 SELECT event_id AS seq, cust AS cust_ts FROM e WHERE abs(epoch(ts) - cust) <= 600""")
@@ -326,8 +339,38 @@ def stitched_large_streams(spark, folder):
     return stitch(_stitch_input(spark, folder), slice_width=50).select("pid", "seq", "message")
 
 
-@query(f"""{_STITCH.replace("place != 4", "place NOT IN (3, 4)")}
-UNION ALL SELECT CAST(event_id // 7 % 50 AS VARCHAR), event_id, NULL FROM events WHERE event_id % 7 = 3""")
+_GRAMMARS = """
+WITH j AS (SELECT event_id, event_id % 7 AS place, event_id // 7 AS block, event_id // 7 % 3 AS k FROM events),
+m AS (SELECT *, CASE WHEN place > 4 THEN 'info ' || event_id WHEN k = 0 THEN CASE place WHEN 0 THEN 'Exception in thread "w": e' || event_id
+    WHEN 3 THEN chr(9) || '... 2 more' WHEN 4 THEN 'done' ELSE chr(9) || 'at app.Job.run(Job.java:7)' END
+  WHEN k = 1 THEN CASE place WHEN 0 THEN '/srv/job.js:12' WHEN 1 THEN '  run(x)' WHEN 2 THEN '  ^' WHEN 3 THEN 'TypeError: e' || event_id
+    ELSE '    at run (/srv/job.js:12)' END
+  ELSE CASE place WHEN 0 THEN 'BEGIN e' || event_id WHEN 3 THEN 'END' WHEN 4 THEN 'done' ELSE 'STEP' END END AS message FROM j)
+SELECT CAST(block % 50 AS VARCHAR) AS pid, min(event_id) AS seq, string_agg(message, chr(10) ORDER BY event_id) AS message
+FROM m GROUP BY block, CASE WHEN place <= CASE k WHEN 1 THEN 4 ELSE 3 END THEN 0 ELSE place END"""
+
+
+@query(_GRAMMARS)
+def stitched_grammars(spark, folder):
+    """Traces of two more languages and of an own grammar."""
+    own = Grammar([("BEGIN ", "open")], {"open": State([("STEP", "open"), ("END", "closed")]), "closed": State([])})
+    n, place, kind = F.col("seq"), F.col("seq") % 7, F.floor(F.col("seq") / 7) % 3
+    traces = [
+        [F.concat(F.lit('Exception in thread "w": e'), n), "\tat app.Job.run(Job.java:7)", "\tat app.Job.run(Job.java:7)", "\t... 2 more", "done"],
+        ["/srv/job.js:12", "  run(x)", "  ^", F.concat(F.lit("TypeError: e"), n), "    at run (/srv/job.js:12)"],
+        [F.concat(F.lit("BEGIN e"), n), "STEP", "STEP", "END", "done"],
+    ]
+    texts = F.array(*[F.array(*[x if isinstance(x, Column) else F.lit(x) for x in lines]) for lines in traces])
+    message = F.coalesce(F.get(F.get(texts, kind.cast("int")), place.cast("int")), F.concat(F.lit("info "), n))
+    raw = I.journal(I.events(spark, folder)).withColumns({"PRIORITY": F.lit("6"), "MESSAGE": message})
+    return stitch(J.map_journal_fields(raw), grammars=(*GRAMMARS, own)).select("pid", "seq", "message")
+
+
+_JOURNAL_LOGS = f"""{_STITCH.replace("place != 4", "place NOT IN (3, 4)")}
+UNION ALL SELECT CAST(event_id // 7 % 50 AS VARCHAR), event_id, NULL FROM events WHERE event_id % 7 = 3"""
+
+
+@query(_JOURNAL_LOGS)
 def journal_logs(spark, folder):
     """Journal to finished log rows, JSON messages decoded."""
     raw = I.journal(I.events(spark, folder)).withColumn("PRIORITY", F.lit("6"))
@@ -460,7 +503,20 @@ def bulk_documents(spark, folder):
     return bulk.dedupe_bulk(docs).select("index", "doc", "id")
 
 
-@query()
+_DOC_TEXTS = r"""
+WITH d AS (SELECT source, lang, n_chars, CAST(CASE doc_id WHEN 0 THEN 1704067200000 ELSE doc_id * 1000 END AS VARCHAR) AS millis,
+  array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE WHEN c IN ('"', '\') THEN '\' || c
+    WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN c = chr(8) THEN '\b' WHEN c = chr(12) THEN '\f'
+    WHEN ord(c) BETWEEN 32 AND 126 THEN c WHEN ord(c) < 65536 THEN '\u' || lpad(lower(hex(ord(c))), 4, '0')
+    ELSE '\u' || lower(hex(55296 + (ord(c) - 65536) // 1024)) || '\u' || lower(hex(56320 + (ord(c) - 65536) % 1024)) END), '') AS t FROM documents),
+h AS (SELECT source AS index, '{"bucket":"' || source || '","lang":"' || lang || '","n":' || n_chars || ',"text":"' || t || '","timestamp":' || millis || '}' AS doc FROM d),
+s AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(doc)) AS x FROM h),
+i AS (SELECT index, doc, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-'
+  || translate(substr(x, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS id FROM s)
+SELECT *, '{"index":{"_index":"' || index || '","_id":"' || id || '"}}' AS action FROM i"""
+
+
+@query(_DOC_TEXTS)
 def bulk_texts(spark, folder):
     """Whole documents in four languages as bulk documents with ASCII JSON and content ids."""
     df = I.table(spark, folder, "documents")
@@ -684,3 +740,67 @@ def stream_histograms(spark, folder):
         BinSpec([("all", None)], {"name": "click"}), BinSpec([("", None)], {"name": "error"}), BinSpec([("low", 10.0), ("mid", 50.0)])
     )
     return _histogram_columns(_run_stream(spark, folder, "h", windows.histograms(bins, DAY)))
+
+
+def _in_parts(spark: SparkSession, work: str, parts: list[DataFrame], start: Callable[[DataFrame], object]) -> None:
+    """Each of ``parts`` arrives as new files of one stream; the query is started anew for each and runs until it has read them."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{work}/in")
+        start(spark.readStream.schema(part.schema).parquet(f"{work}/in")).awaitTermination()
+
+
+def _halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows up to the middle arrival number, and the others."""
+    (last,) = df.agg(F.max("seq")).first()
+    early = F.col("seq") <= F.lit((last or 0) // 2)
+    return df.where(early), df.where(~early)
+
+
+@query(f"{_EXPOSED} WHERE epoch((SELECT max(ts) FROM events)) - epoch(ts) <= 172800")
+def stream_latest(spark, folder):
+    """Newest lines with a time to live: what is left on the page after all changes that the stream sent."""
+    work = shared_folder(spark)
+
+    def start(events: DataFrame):
+        changes = stateful.latest_lines(exposition.exposition_lines(I.metric_events(events)), 2 * DAY)
+        writer = changes.writeStream.option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True)
+        return writer.foreachBatch(windows.parquet_sink(f"{work}/out")).start()
+
+    _in_parts(spark, work, list(_halves(I.events(spark, folder))), start)
+    order = F.struct("batch", (F.col("event") == "drop"))
+    page = spark.read.parquet(f"{work}/out").groupBy("series").agg(F.max_by(F.struct("line", "event"), order).alias("last"))
+    return page.where("last.event = 'set'").select("series", "last.line")
+
+
+@query(f"""SELECT *, CASE WHEN message LIKE 'Trace%' THEN 'error' ELSE 'info' END AS level
+FROM ({_JOURNAL_LOGS})""")
+def stream_journal(spark, folder):
+    """Journal to log rows on a stream whose first half ends within traces; an end marker lets the open ones go."""
+    work = shared_folder(spark)
+    raw = I.journal(I.events(spark, folder)).withColumn("PRIORITY", F.lit("6"))
+    raw = raw.withColumn("recv_ts", F.timestamp_micros(F.col("seq") * 100000 + 1000000))
+    early, late = _halves(raw)
+    end = windows.end_marker(raw, 0.0, after=1e8).withColumns({"seq": F.lit(-1).cast("bigint"), "MESSAGE": F.lit("end"), "_PID": F.lit("end")})
+
+    def start(lines: DataFrame):
+        rows = flows.journal_rows(lines, decode_json=True, trace_level="ERROR")
+        writer = rows.writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/checkpoint")
+        return writer.trigger(availableNow=True).start()
+
+    _in_parts(spark, work, [early, late, end], start)
+    field = lambda name: F.try_element_at("values", F.lit(name))["v"].alias(name)
+    return spark.read.parquet(f"{work}/out").where("seq >= 0").select(field("pid"), "seq", field("message"), field("level"))
+
+
+@query(SQL["routed"])
+def stream_routed(spark, folder):
+    """The events as a stream into two destinations."""
+    work = shared_folder(spark)
+    sinks = {name: windows.parquet_sink(f"{work}/out/destination={name}") for name in ("d1", "d2")}
+
+    def start(events: DataFrame):
+        rows = events.withColumn("source", F.col("event_type"))
+        return fanout.start_fanout(rows, enrich.routes({"click": ["d2"], "view": None}, list(sinks)), sinks, f"{work}/checkpoint")
+
+    _in_parts(spark, work, list(_halves(I.events(spark, folder))), start)
+    return spark.read.parquet(f"{work}/out").groupBy("destination", "source").agg(F.count("*").alias("rows"))
