@@ -8,6 +8,7 @@ Equal lengths form a bucket; sequences are numbered bucket by bucket.
 from __future__ import annotations
 
 import base64
+import json
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -23,13 +24,24 @@ from tallywind.llm.tables import land, small
 BATCH_TOKENS = 2_000_000
 
 
-def byte_bpe(path: str, pattern: str) -> Callable[[str], list[int]]:
-    """An encoder from a rank file of a byte-level BPE; special tokens in a text are ordinary text."""
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON, which its rank file doesn't list."""
+    with open(path, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
+def byte_bpe(path: str, pattern: str, special: dict[str, int] | None = None) -> Callable[[str], list[int]]:
+    """An encoder from a rank file of a byte-level BPE; literals of `special` in a text are those ids, others ordinary text."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
+
+    def encode(text: str) -> list[int]:
+        return encoding.encode(text, allowed_special="all")
+
+    return encode
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
@@ -38,7 +50,7 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << k for k in reversed(range(longest.bit_length() - 1)) if rest >> k & 1]
 
 
-def cut(documents: DataFrame, vocabulary: str, pattern: str, longest: int = 1024, end: int | None = 0) -> DataFrame:
+def cut(documents: DataFrame, vocabulary: str, pattern: str, longest: int = 1024, end: int | None = 0, special: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: `doc_id, start, length, tokens, doc_tokens, part, place`, not yet numbered.
 
     `tokens` holds little-endian unsigned 32-bit ids. `end` is the id after each document, None for none. Null text
@@ -49,7 +61,7 @@ def cut(documents: DataFrame, vocabulary: str, pattern: str, longest: int = 1024
     fields = [(name, pa.binary() if kind == "binary" else pa.int64()) for name, kind in (x.split() for x in schema.split(", "))]
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, places = byte_bpe(vocabulary, pattern), TaskContext.get().partitionId(), Counter()
+        encode, part, places = byte_bpe(vocabulary, pattern, special), TaskContext.get().partitionId(), Counter()
         rows, held = [], 0
 
         def batch() -> pa.RecordBatch:
@@ -76,14 +88,14 @@ def cut(documents: DataFrame, vocabulary: str, pattern: str, longest: int = 1024
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, schema)
 
 
-def pack(documents: DataFrame, vocabulary: str, pattern: str, longest: int = 1024, end: int | None = 0) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str, pattern: str, longest: int = 1024, end: int | None = 0, special: dict[str, int] | None = None) -> DataFrame:
     """`doc_id, start, length, tokens, doc_tokens, bucket, sequence_id, offset` for each piece of `documents`.
 
     `bucket` is the length, `sequence_id` runs without gaps from 0 through the buckets in order of length, `offset` is 0.
     Pieces are landed once, then numbered by counts per task and length, so nothing but counts is shuffled. Repeated
-    rows and ids, and null ids, are cut like others; an empty table gives no rows.
+    rows and ids, and null ids, are cut like others; an empty table gives no rows. `special`: see `byte_bpe`.
     """
-    pieces = land(cut(documents, vocabulary, pattern, longest, end))
+    pieces = land(cut(documents, vocabulary, pattern, longest, end, special))
     counts = pieces.groupBy("length", "part").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     # One row per length: at most log2(longest) + 1.
