@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,8 @@ from tallywind.llm.tables import land, small
 
 #: Tokens after which a batch of pieces is passed on.
 BATCH_TOKENS = 2_000_000
+#: White space of the pattern's `\s` in runs too long for the stack of tiktoken's regex, which ends at some 10^6 characters.
+LONG_BLANK = re.compile(r"[\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]{50000,}")
 
 
 def added_tokens(path: str) -> dict[str, int]:
@@ -31,15 +34,29 @@ def added_tokens(path: str) -> dict[str, int]:
 
 
 def byte_bpe(path: str, pattern: str, special: dict[str, int] | None = None) -> Callable[[str], list[int]]:
-    """An encoder from a rank file of a byte-level BPE; literals of `special` in a text are those ids, others ordinary text."""
+    """An encoder from a rank file of a byte-level BPE; literals of `special` in a text are those ids, others ordinary text.
+
+    `pattern` must take a run of white space as GPT-2's does: all of it at the end of a text or before a special token, else
+    all but the last character.
+    """
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special or {})
 
+    literals = re.compile("|".join(map(re.escape, sorted(special or {}, key=len, reverse=True))) or r"(?!)")
+
     def encode(text: str) -> list[int]:
-        return encoding.encode(text, allowed_special="all")
+        ids, at = [], 0
+        for run in LONG_BLANK.finditer(text):
+            # One token piece, which the regex would find but for its stack.
+            last = run.end() == len(text) or literals.match(text, run.end())
+            stop = run.end() if last else run.end() - 1
+            ids += encoding.encode(text[at : run.start()], allowed_special="all")
+            ids += encoding._encode_single_piece(text[run.start() : stop])
+            at = stop
+        return ids + encoding.encode(text[at:], allowed_special="all")
 
     return encode
 

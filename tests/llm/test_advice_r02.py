@@ -35,3 +35,12 @@ def test_packing_knows_the_added_token(spark, tmp_path):
     docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.doc_tokens for r in queries.op3_packing(spark, str(tmp_path)).collect()}
     assert got == {d: len(reference.encode(t, add_special_tokens=False).ids) + 1 for d, t in enumerate(texts)}
+
+
+def test_packing_of_long_white_space(spark):
+    n = 1_200_000
+    texts = ["a" + " " * n + "b" + "\n" * n, "　" * n + " <|endoftext|>" + " " * n + "<|endoftext|>x", "x" + "\x85 " * (n // 2) + "'s", "x" + " \n" * (n // 2) + "\n1", "short"]
+    reference = contract_tokenizer()
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs(spark, texts).repartition(1), "").collect()
+    for d, t in enumerate(texts):
+        assert ids_of(rows, d) == reference.encode(t, add_special_tokens=False).ids + [0], d
