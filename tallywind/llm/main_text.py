@@ -4,15 +4,18 @@ The standard library's streaming parser turns a page into lines: stretches of te
 its number of characters and of tags. The ratio of both is high in running text and low in menus. Ratios are smoothed over
 neighbouring lines with a Gaussian and split into two clusters; the containers that hold lines of the upper cluster are
 the content. Inside a content container everything stays, short lines too, but for the zones that markup names as something
-else (menus, adverts, comments, ...), whose ratio counts as 0.
+else (menus, adverts, comments, ...), whose ratio counts as 0. An article is one container. Where none is content, containers
+are merged: all that lie in one block of the body, and blocks between chosen ones or with a heading, but for lists of links.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,32 +37,63 @@ OTHER_WORDS = frozenset(
     masthead footer alert alerts discussion trackbacks comment comments commentlist disqus replies respond related recommended share sharing social toolbar pagination pager login
     search widget widgets""".split()
 )
+#: Before one of the words, these describe the layout, as "has-sidebar" does.
+LAYOUT_WORDS = frozenset("has no with without".split())
+#: On a heading, these name its place.
+HEADING_WORDS = frozenset("header masthead banner".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Marks of a zone: by words of classes or ids, which an article inside may overrule, or by element, role or attribute.
+BY_WORDS, BY_MARKUP = 1, 2
 CONTAINERS = frozenset("body div section td center".split())
 WHOLE = frozenset("article main".split())
 
 
+class Line(NamedTuple):
+    """`links`: characters inside links; `mark`: 0 for none."""
+
+    text: str
+    tags: int
+    container: int
+    mark: int
+    links: int
+    heading: bool
+
+
+class Open(NamedTuple):
+    """An open element: what holds for text inside it."""
+
+    tag: str = ""
+    container: int = 0
+    mark: int = 0
+    inside: bool = False  # an article
+    link: bool = False
+    heading: bool = False
+
+
 class Lines(HTMLParser):
-    """Collects `[text, tags, container, marked as other]` of a page's lines in order."""
+    """Collects a page's lines in order."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags = 0
-        self.n_containers = 0
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, container, other, inside an article
+        self.tags = self.links = 0
+        self.heading = False
+        self.parents = [0]  # of containers; 0 is the page
+        self.bodies, self.articles, self.overruled = {0}, set(), set()
+        self.open: list[Open] = []
 
-    def _state(self) -> tuple[str, int, bool, bool]:
-        return self.open[-1] if self.open else ("", 0, False, False)
+    def _state(self) -> Open:
+        return self.open[-1] if self.open else Open()
 
     def _end_line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                _, container, other, _ = self._state()
-                self.lines.append((text, self.tags, container, other))
+                now = self._state()
+                self.lines.append(Line(text, self.tags, now.container, now.mark, self.links, self.heading))
                 self.tags = 0
-            self.text = []
+            self.text, self.links, self.heading = [], 0, False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -73,19 +107,31 @@ class Lines(HTMLParser):
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             self._close_implied(tag)
-        _, container, other, inside = self._state()
+        _, container, mark, inside, link, heading = self._state()
         whole = tag in WHOLE
-        if not other:
-            other = tag in OTHER_TAGS or (attrs and not whole and tag not in ("html", "body") and _marked(attrs))
+        overrules = whole and not inside and mark == BY_WORDS and not _mark(tag, attrs)
+        if overrules:
+            mark = 0
+        elif not mark:
+            if tag in OTHER_TAGS:
+                mark = BY_MARKUP
+            elif attrs and not whole and tag not in ("html", "body"):
+                mark = _mark(tag, attrs)
         if not inside and (whole or tag in CONTAINERS):
-            self.n_containers += 1
-            container = self.n_containers
-        self.open.append((tag, container, bool(other), inside or whole))
+            self.parents.append(container)
+            container = len(self.parents) - 1
+            if tag == "body":
+                self.bodies.add(container)
+            if whole:
+                self.articles.add(container)
+            if overrules:
+                self.overruled.add(container)
+        self.open.append(Open(tag, container, mark, inside or whole, link or tag == "a", heading or tag in HEADINGS))
 
     def _close_implied(self, tag: str) -> None:
         """A new paragraph, item or cell ends an open one of its kind, unless another block lies between."""
         for k in range(len(self.open) - 1, -1, -1):
-            now = self.open[k][0]
+            now = self.open[k].tag
             if now == tag:
                 del self.open[k:]
                 return
@@ -102,33 +148,42 @@ class Lines(HTMLParser):
             self._end_line()
         self.tags += 1
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k].tag == tag:
                 del self.open[k:]
                 return
-            if self.open[k][0] in WHOLE and tag not in ("body", "html", "article", "main"):
+            if self.open[k].tag in WHOLE and tag not in ("body", "html", "article", "main"):
                 return  # a stray end tag doesn't close the article around it
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        now = self._state()
+        if now.link:
+            self.links += len(" ".join(data.split()))
+        if now.heading and not data.isspace():
+            self.heading = True
 
-    def end(self) -> list[tuple[str, int, int, bool]]:
+    def end(self) -> list[Line]:
         self.close()
         self._end_line()
         return self.lines
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    mark = 0
     for name, value in attrs:
         if name in ("class", "id"):
-            # Words lie between blanks, marks and changes of case, as in "siteFooter".
-            if not OTHER_WORDS.isdisjoint(w.lower() for w in re.split(r"[\s_-]+|(?<=[a-z0-9])(?=[A-Z])", value or "")):
-                return True
+            for whole in (value or "").split():
+                # Words lie between marks and changes of case, as in "siteFooter".
+                words = [w.lower() for w in re.split(r"[_-]+|(?<=[a-z0-9])(?=[A-Z])", whole)]
+                for before, word in zip(["", *words], words):
+                    if word in OTHER_WORDS and before not in LAYOUT_WORDS and not (tag in HEADINGS and word in HEADING_WORDS):
+                        mark = mark or BY_WORDS
         elif name == "role":
             if (value or "").strip().lower() in OTHER_ROLES:
-                return True
+                mark = BY_MARKUP
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            mark = BY_MARKUP
+    return mark
 
 
 def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -164,14 +219,44 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     # Marked sections aren't HTML; like browsers, read them as comments up to the next ">".
     parser.feed(html.replace("<![", "<!-[") if "<![" in html else html)
     lines = parser.end()
-    ratios = [0.0 if other else len(text) / max(1, tags) for text, tags, _, other in lines]
+    if parser.overruled:
+        # An article in a zone marked by words counts if it is the bulk of the page, not if it is a teaser beside the text.
+        held = sum(len(x.text) for x in lines if not x.mark and x.container in parser.overruled)
+        rest = sum(len(x.text) - x.links for x in lines if not x.mark and x.container not in parser.overruled)
+        if held < rest:
+            lines = [x._replace(mark=x.mark or BY_WORDS) if x.container in parser.overruled else x for x in lines]
+    ratios = [0.0 if x.mark else len(x.text) / max(1, x.tags) for x in lines]
     if not any(ratios):
         return ""
     smoothed = smooth(ratios, sigma)
     free = [s for s, r in zip(smoothed, ratios) if r > 0]
     border = min(threshold(smoothed), max(free))
-    content = {line[2] for line, s, r in zip(lines, smoothed, ratios) if r > 0 and s >= border}
-    return " ".join(text for text, _, container, other in lines if container in content and not other)
+    content = {x.container for x, s, r in zip(lines, smoothed, ratios) if r > 0 and s >= border}
+    if not content & parser.articles:
+        content = merged(parser, [x for x in lines if not x.mark], content)
+    return " ".join(x.text for x in lines if x.container in content and not x.mark)
+
+
+def merged(parser: Lines, lines: list[Line], content: set[int]) -> set[int]:
+    """`content` and the containers of unmarked `lines` that belong to it: those below the same child of the body, and
+    children of the body between two such or with a heading. Containers whose lines, headings aside, are mostly links stay out.
+    """
+    def block(container: int) -> int:
+        while container not in parser.bodies and parser.parents[container] not in parser.bodies:
+            container = parser.parents[container]
+        return container
+
+    blocks = [block(x.container) for x in lines]
+    chosen = {block(c) for c in content}
+    places = [k for k, b in enumerate(blocks) if b in chosen]
+    chosen.update(blocks[places[0] : places[-1] + 1])
+    chosen.update(b for b, x in zip(blocks, lines) if x.heading and b not in parser.bodies)
+    chars, links = Counter(), Counter()
+    for x in lines:
+        if not x.heading:
+            chars[x.container] += len(x.text)
+            links[x.container] += x.links
+    return content | {x.container for x, b in zip(lines, blocks) if b in chosen and 2 * links[x.container] <= chars[x.container]}
 
 
 def extract(pages: DataFrame, sigma: float = 1.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from tallywind.llm import packing, queries
+from tallywind.llm import main_text, packing, queries
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -44,3 +44,27 @@ def test_packing_of_long_white_space(spark):
     rows = corpus_pipeline.STAGES[-1][1](spark, docs(spark, texts).repartition(1), "").collect()
     for d, t in enumerate(texts):
         assert ids_of(rows, d) == reference.encode(t, add_special_tokens=False).ids + [0], d
+
+
+LONG = "Some running text that goes on for a good while, and then more of it. " * 6
+
+
+def test_main_text_of_div_only_pages():
+    menu = "<div><ul><li><a href=a>Home page</a><li><a href=b>All about us</a></ul></div>"
+    parts = f"<div><p>{LONG}</p></div><div><h2>Section</h2><p>Short para.</p></div>"
+    expected = f"{LONG}Section Short para."
+    assert main_text.main_text(f"<body><div class=post-body>{parts}</div></body>") == expected
+    assert main_text.main_text(f"<body>{parts}</body>") == expected
+    assert main_text.main_text(f"<body><div id=page><div><div>{parts}</div></div>{menu}<div class=footer>Me</div></div>") == expected
+    assert main_text.main_text(f"<body><div><p>{LONG}</p></div><div>Between.</div><div><p>{LONG}</p></div>") == f"{LONG}Between. {LONG.strip()}"
+    assert main_text.main_text(f"<section>{parts}</section><section>{menu}</section>") == expected
+
+
+def test_main_text_of_marked_wrappers():
+    article = f"<article><h1 class=page-header>Title</h1><p>{LONG}</p><div class=comments><p>{LONG}</p></div></article>"
+    for wrapper in ("has-sidebar", "wrap sidebar-left", "withSidebar"):
+        assert main_text.main_text(f"<body><nav><a>x</a></nav><div class='{wrapper}'>{article}</div>") == f"Title {LONG.strip()}", wrapper
+    assert main_text.main_text(f"<div class=no-sidebar><div><p>{LONG}</p></div></div>") == LONG.strip()
+    teaser = "<div class=related><article><p>Read this teaser, too.</p></article></div>"
+    assert main_text.main_text(f"<body><div><p>{LONG}</p></div>{teaser}") == LONG.strip()
+    assert main_text.main_text(f"<aside><article><p>{LONG}</p></article></aside>") == ""
