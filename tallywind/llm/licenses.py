@@ -1,11 +1,12 @@
 """License scans by sentence rules.
 
-Known licence sentences, normalised, have identifiers. A text's sentences are looked up among them by a broadcast hash join, and
+Known licence sentences, normalised, have identifiers. A text's sentences, on one line or wrapped over several, are looked up among them by a broadcast hash join, and
 the sequence of identifiers is matched against ordered rules: a rule names a licence by the sentences that follow each other.
 """
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,50 @@ SENTENCES = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"
         " in the documentation and/or other materials provided with the distribution."
     ),
+    "bsd-names": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from"
+        " this software without specific prior written permission."
+    ),
+    "bsd-author": (
+        "The name of the author may not be used to endorse or promote products derived from this software without specific prior written"
+        " permission."
+    ),
+    "isc-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"
+        " that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "isc-grant-2": (
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided"
+        " that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    # Without "This program is free software", which is a part of gpl-grant: no part has two identifiers.
+    "gpl2-grant": (
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software"
+        " Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "gpl2-only-grant": (
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free"
+        " Software Foundation."
+    ),
+    "lgpl21-grant": (
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software"
+        " Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "lgpl3-grant": (
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software"
+        " Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "agpl3-grant": (
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software"
+        " Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "cc-by-sa-notice": "Licensed under CC BY-SA 4.0.",
+    "cc-by-sa-notice-2": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-dedication": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to"
+        " the public domain worldwide."
+    ),
 }
 
 
@@ -67,12 +112,21 @@ RULES = (
     Rule("GPL-3.0-only", ("gpl3-notice",)), Rule("GPL-3.0-or-later", ("gpl-grant", "gpl-warranty")),
     Rule("CC-BY-NC-4.0", ("cc-by-nc-notice",)), Rule("CC-BY-4.0", ("cc-by-notice",)),
     Rule("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    Rule("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
+    Rule("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-author")),
+    Rule("ISC", ("isc-grant",)), Rule("ISC", ("isc-grant-2",)), Rule("MPL-2.0", ("mpl2-notice",)),
+    Rule("GPL-2.0-or-later", ("gpl2-grant",)), Rule("GPL-2.0-only", ("gpl2-only-grant",)),
+    Rule("LGPL-2.1-or-later", ("lgpl21-grant",)), Rule("LGPL-3.0-or-later", ("lgpl3-grant",)), Rule("AGPL-3.0-or-later", ("agpl3-grant",)),
+    Rule("CC-BY-SA-4.0", ("cc-by-sa-notice",)), Rule("CC-BY-SA-4.0", ("cc-by-sa-notice-2",)), Rule("CC0-1.0", ("cc0-dedication",)),
 )
 
 #: A sentence ends at the end of a line, or with a mark before a blank.
 ENDS = r"[.!?;:][\x20\x09\x0D]+|\x0A"
 
 
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
 def normalized(text):
     return F.trim(F.regexp_replace(lower_ascii(text), NOT_ALNUM, " "))
 
@@ -94,10 +148,33 @@ def _rule_ids(rule: Rule, sentences: dict[str, str]) -> list[str]:
     return ids
 
 
+def _wrapped(sentences: dict[str, str]):
+    """`place, last, sentence` of known sentences that are wrapped over several of `pieces`; comment marks are no words and don't matter."""
+    import re
+
+    parts = {re.sub(NOT_ALNUM, " ", p.translate(_LOWER)).strip() for text in sentences.values() for p in re.split(ENDS, text)} - {""}
+    words = [p.split(" ") for p in sorted(parts) if " " in p]
+    if not words:
+        return F.expr("cast(array() AS array<struct<place:int, last:int, sentence:string>>)")
+    known, most = ", ".join(f"'{' '.join(w)}'" for w in words), max(map(len, words))
+    # The first of the pieces is one word, or begins with two; few pieces do.
+    first = f"^({'|'.join(sorted({' '.join(w[:2]) for w in words}))})( |$)|^({'|'.join(sorted({w[0] for w in words}))})$"
+    return F.expr(
+        f"""flatten(transform(
+            filter(CASE WHEN size(pieces) > 1 THEN sequence(1, size(pieces) - 1) ELSE cast(array() AS array<int>) END, i -> pieces[i - 1] RLIKE '{first}'),
+            i -> flatten(transform(
+                filter(array({known}), k -> startswith(concat(array_join(slice(pieces, i, {most}), ' '), ' '), concat(k, ' '))),
+                k -> transform(
+                    filter(sequence(2, greatest(2, least({most}, size(pieces) - i + 1))), n -> array_join(slice(pieces, i, n), ' ') = k),
+                    n -> struct(i AS place, i + n - 1 AS last, k AS sentence))))))"""
+    )
+
+
 def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sentences: dict[str, str] | None = None, gap: int = 2, unwrap: bool = False) -> DataFrame:
     """`doc_id, copies, n_sentences, found, licenses` for each distinct `(doc_id, text)`; `copies` counts its rows.
 
-    `found` lists `place, sentence_id` of known sentences in order; `licenses` the distinct licences, sorted, of rules whose sentences
+    `found` lists `place, sentence_id, last` of known sentences in order, those inside of longer ones left out; a sentence that is wrapped over
+    lines lies on the places up to `last`. Of rules that begin alike, the longest one that fits counts. `licenses` the distinct licences, sorted, of rules whose sentences
     follow each other in `found` with at most `gap` other sentences between two. `unwrap` reads single line ends as
     blanks, for hard-wrapped files. Null, empty and blank texts have no sentences. Nothing but hits is shuffled.
     """
@@ -106,24 +183,38 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sentences: dict[
     text = F.regexp_replace("text", r"(?<!\x0A)\x0A(?!\x0A)", " ") if unwrap else F.col("text")
     pieces = F.filter(F.transform(F.split(text, ENDS), normalized), lambda s: s != "")
     rows = documents.select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", F.coalesce(pieces, F.expr("cast(array() AS array<string>)")).alias("pieces"))
-    rows = rows.withColumn("n_sentences", F.size("pieces")).withColumn("probes", F.concat(F.array(F.lit("")), "pieces"))
+    rows = rows.withColumn("n_sentences", F.size("pieces")).withColumn(
+        "probes",
+        F.concat(
+            F.expr("array(struct(0 AS place, 0 AS last, '' AS sentence))"),
+            F.transform("pieces", lambda p, i: F.struct((i + 1).alias("place"), (i + 1).alias("last"), p.alias("sentence"))),
+            _wrapped(sentences),
+        ),
+    )
     # Place 0 stands for the document itself. The outer form: see `decontaminate.find_spans`.
-    probed = rows.select("key_a", "key_b", "doc_id", "n_sentences", F.posexplode_outer("probes").alias("place", "sentence"))
+    probed = rows.select("key_a", "key_b", "doc_id", "n_sentences", F.explode_outer("probes").alias("probe")).select("*", "probe.*")
     hits = probed.join(F.broadcast(known), F.col("sentence") == F.col("known"), "left").filter("place = 0 OR sentence_id IS NOT NULL")
     grouped = hits.groupBy("key_a", "key_b").agg(
         F.first("doc_id").alias("doc_id"), F.sum(F.when(F.col("place") == 0, 1)).alias("copies"),
         F.first("n_sentences").cast("long").alias("n_sentences"),
-        F.array_sort(F.collect_set(F.when(F.col("place") > 0, F.struct("place", "sentence_id")))).alias("found"),
+        F.array_sort(F.collect_set(F.when(F.col("place") > 0, F.struct("place", "sentence_id", "last")))).alias("found"),
     )
-    matches = []
-    for rule in rules:
-        ids = _rule_ids(rule, sentences)
-        steps = " AND ".join(
-            [f"found[j + {k}].sentence_id = '{name}'" for k, name in enumerate(ids)]
-            + [f"found[j + {k}].place - found[j + {k - 1}].place <= {gap + 1}" for k in range(1, len(ids))]
+    inside = "f -> NOT exists(found, g -> g.place <= f.place AND f.last <= g.last AND g.last - g.place > f.last - f.place)"
+    grouped = grouped.withColumn("found", F.expr(f"CASE WHEN exists(found, f -> f.last > f.place) THEN filter(found, {inside}) ELSE found END"))
+
+    def steps(ids: list[str]) -> str:
+        return " AND ".join(
+            [f"get(found, j + {k}).sentence_id = '{name}'" for k, name in enumerate(ids)]
+            + [f"get(found, j + {k}).place - get(found, j + {k - 1}).last <= {gap + 1}" for k in range(1, len(ids))]
+        )
+
+    matches, lists = [], [_rule_ids(rule, sentences) for rule in rules]
+    for rule, ids in zip(rules, lists):
+        fits = f"({steps(ids)})" + "".join(
+            f" AND NOT coalesce({steps(other)}, false)" for other in lists if len(other) > len(ids) and other[: len(ids)] == ids
         )
         matches.append(
-            f"CASE WHEN size(found) >= {len(ids)} AND exists(sequence(0, greatest(0, size(found) - {len(ids)})), j -> {steps})"
+            f"CASE WHEN size(found) >= {len(ids)} AND exists(sequence(0, greatest(0, size(found) - {len(ids)})), j -> {fits})"
             f" THEN '{rule.license}' END"
         )
     licenses = F.array_sort(F.array_distinct(F.array_compact(F.array(*map(F.expr, matches)))))

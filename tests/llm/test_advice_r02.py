@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from tallywind.llm import main_text, packing, queries
+from tallywind.llm import licenses, main_text, packing, queries
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -68,3 +68,30 @@ def test_main_text_of_marked_wrappers():
     teaser = "<div class=related><article><p>Read this teaser, too.</p></article></div>"
     assert main_text.main_text(f"<body><div><p>{LONG}</p></div>{teaser}") == LONG.strip()
     assert main_text.main_text(f"<aside><article><p>{LONG}</p></article></aside>") == ""
+
+
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    s = licenses.SENTENCES
+    bsd = ["bsd-grant", "bsd-source", "bsd-binary"]
+    whole = {
+        "MIT": f"MIT License\nCopyright (c) 2020 Me\n{s['mit-grant']}\n\n{s['mit-condition']}",
+        "GPL-3.0-or-later": f"{s['gpl-grant']}\n\n{s['gpl-warranty']}",
+        "GPL-2.0-or-later": f"This program is free software; {s['gpl2-grant']}\n\n{s['gpl-warranty']}",
+        "LGPL-2.1-or-later": f"This library is free software; {s['lgpl21-grant']}",
+        "AGPL-3.0-or-later": f"This program is free software: {s['agpl3-grant']}\n\n{s['gpl-warranty']}",
+        "BSD-2-Clause": "\n".join(s[k] for k in bsd) + "\n\nTHIS SOFTWARE IS PROVIDED",
+        "BSD-3-Clause": "\n\n".join(f"{i}. {s[k]}" for i, k in enumerate([*bsd, "bsd-names"])),
+        "ISC": s["isc-grant"], "MPL-2.0": s["mpl2-notice"], "CC0-1.0": s["cc0-dedication"],
+        "Apache-2.0": f"{s['apache-grant']}\n{s['apache-condition']}",
+    }
+    texts, expected = [], []
+    for name, text in whole.items():
+        for width, mark, end in ((200, "", "\n"), (70, "", "\n"), (42, "# ", "\n"), (25, " * ", "\r\n"), (60, ";; ", "\n"), (8, "// ", "\n")):
+            lines = [x for line in text.split("\n") for x in textwrap.wrap(line, width, break_long_words=False) or [""]]
+            texts.append("int x" + end + end.join(mark + x for x in lines) + end + "int y")
+            expected.append([name])
+    texts += ["this\n" * 2000, "permission is\n" * 2000 + "hereby", s["mit-condition"].replace(" ", "\n") + "\n" + s["mit-grant"].replace(" ", "\n")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs(spark, texts)).collect()}
+    assert [got[d] for d in range(len(texts))] == [*expected, [], [], []]
