@@ -6,29 +6,64 @@ the loss mask covers what the speaker says. System messages are context in all r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns a rendering holds at most; longer dialogues are rendered in consecutive parts.
+from tallywind.llm.tables import land, small
+
+#: Messages a part holds besides its context; longer dialogues are rendered in consecutive parts.
 PART_TURNS = 512
 
 
+def _placed(messages: DataFrame, part_turns: int) -> DataFrame:
+    """`messages` with their `part`: their position in the ordered dialogue div `part_turns`.
+
+    Rows are sorted and landed in ranges; positions are running counts over the ranges, so no dialogue lies in one task.
+    """
+    order = ["conv_id", "turn", "role", "text"]
+    ranges = land(messages.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("n")))
+    counts = ranges.groupBy("conv_id", "range").agg(F.min("n").alias("first"), F.count("*").alias("n_rows"))
+    # One row per range of a dialogue.
+    past = F.coalesce(F.sum("n_rows").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select(F.col("conv_id").alias("base_id"), F.col("range").alias("base_range"), (past - F.col("first")).alias("base"))
+    placed = ranges.join(small(bases), F.col("conv_id").eqNullSafe(F.col("base_id")) & (F.col("range") == F.col("base_range")))
+    return placed.select(*order, F.floor((F.col("base") + F.col("n")) / part_turns).cast("bigint").alias("part"))
+
+
+def _long_views(messages: DataFrame, part_turns: int, system: str) -> DataFrame:
+    """`conv_id, part, messages, speaker` of dialogues of any length."""
+    placed = land(_placed(messages, part_turns))
+    message = F.struct("turn", "role", "text")
+    parts = placed.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(message)).alias("own"))
+    # One row per part, one per participant.
+    numbers = placed.select(F.col("conv_id").alias("id"), F.col("part").alias("later")).distinct()
+    speakers = placed.filter(F.col("role") != system).select(F.col("conv_id").alias("id"), F.col("role").alias("speaker")).distinct()
+    said = placed.filter(F.col("role") == system).join(small(numbers), F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("part") < F.col("later")))
+    context = said.groupBy("id", "later").agg(F.array_sort(F.collect_list(message)).alias("context"))
+    parts = parts.join(context, F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("part") == F.col("later")), "left").drop("id", "later")
+    messages = F.when(F.col("context").isNull(), F.col("own")).otherwise(F.concat("context", "own"))
+    parts = parts.select("conv_id", "part", messages.alias("messages"))
+    return parts.join(small(speakers), F.col("conv_id").eqNullSafe(F.col("id"))).select("conv_id", "part", "messages", "speaker")
+
+
 def rotate(conversations: DataFrame, part_turns: int = PART_TURNS, system: str = "system") -> DataFrame:
-    """`conv_id, part, speaker, n_turns, n_own, text, masks` for every participant of every part of a dialogue.
+    """`conv_id, part, speaker, n_turns, n_own, text, masks` for every participant and every part of a dialogue.
 
-    `conversations` has `conv_id, turn, role, text`. A part holds the turns with the same `turn div part_turns`, so no group
-    grows without bound. Messages go by turn, then role, then text; repeated rows count once. A null conversation is
-    one of its own, null turns come first in a part of their own, a null role is the participant "", null text is empty.
-    A part with system messages only, and an empty table, give no rows. `masks` are `start, end` of the speaker's
+    `conversations` has `conv_id, turn, role, text`. Messages go by turn, then role, then text; repeated rows count once.
+    A part holds the next `part_turns` messages, after the system messages of the parts before as its context; every
+    participant of the dialogue has a view of every part. `n_turns` counts all messages of the rendering. A null conversation is
+    one of its own, null turns come first, a null role is the participant "", null text is empty.
+    A dialogue with system messages only, and an empty table, give no rows. `masks` are `start, end` of the speaker's
     texts with their end marks, in code points of `text`, end exclusive.
     """
-    messages = conversations.select(
-        "conv_id", F.floor(F.col("turn") / part_turns).cast("bigint").alias("part"), "turn",
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).distinct()
-    parts = messages.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # One row per `part_turns` rows at most.
+    long = small(rows.groupBy("conv_id").count().filter(F.col("count") > part_turns).select(F.col("conv_id").alias("long_id")))
+    is_long = F.col("conv_id").eqNullSafe(F.col("long_id"))
+    short = rows.join(long, is_long, "left_anti").distinct().groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
     speakers = F.array_distinct(F.filter(F.transform("messages", lambda m: m["role"]), lambda r: r != system))
-    views = parts.withColumn("speaker", F.explode(speakers))
+    views = short.select("conv_id", F.lit(0).cast("bigint").alias("part"), "messages", F.explode(speakers).alias("speaker"))
+    views = views.unionByName(_long_views(rows.join(long, is_long, "left_semi").distinct(), part_turns, system))
     views = views.withColumn(
         "pieces",
         F.expr(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from tallywind.llm import licenses, main_text, packing, queries
+from tallywind.llm import chat, licenses, main_text, packing, queries
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -95,3 +95,33 @@ def test_wrapped_licenses(spark):
     texts += ["this\n" * 2000, "permission is\n" * 2000 + "hereby", s["mit-condition"].replace(" ", "\n") + "\n" + s["mit-grant"].replace(" ", "\n")]
     got = {r.doc_id: r.licenses for r in licenses.scan(docs(spark, texts)).collect()}
     assert [got[d] for d in range(len(texts))] == [*expected, [], [], []]
+
+
+def chat_by_force(rows, part_turns):
+    dialogues, views = {}, {}
+    for conv, turn, role, text in set(rows):
+        dialogues.setdefault(conv, set()).add((turn is not None, turn or 0, role or "", text or ""))
+    for conv, messages in dialogues.items():
+        messages = sorted(messages)
+        for speaker in {m[2] for m in messages} - {"system"}:
+            for at in range(0, len(messages), part_turns):
+                text, n_own, masks = "", 0, []
+                shown = [m for m in messages[:at] if m[2] == "system"] + messages[at : at + part_turns]
+                for _, _, role, said in shown:
+                    text += "<|assistant|>\n" if role == speaker else "<|system|>\n" if role == "system" else f'<|user name="{role}"|>\n'
+                    if role == speaker:
+                        masks.append((len(text), len(text) + len(said) + len("<|end|>\n")))
+                    text += said + "<|end|>\n"
+                views[conv, at // part_turns, speaker] = (text, len(shown), len(masks), masks)
+    return views
+
+
+def test_chat_of_long_dialogues(spark):
+    rows = [(1, i, ["ann", "bob"][i % 2], f"é{i}") for i in range(1, 1300)] + [(1, 0, "system", "be kind"), (1, 600, "system", "be brief"), (1, 3, "cid", "hm")]
+    rows += [(2, None, "ann", f"x{i}") for i in range(700)] + [(None, 7, ["ann", None][i % 2], f"y{i}") for i in range(1100)] + [(3, 9000, "system", "s"), (3, 9001, "ann", "t")]
+    rows += [(4, i, "system", "s") for i in range(600)] + [(5, 1, "ann", "same")] * 600
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    for part_turns in (chat.PART_TURNS, 100):
+        got = {(r.conv_id, r.part, r.speaker): (r.text, r.n_turns, r.n_own, [tuple(m) for m in r.masks]) for r in chat.rotate(frame, part_turns).collect()}
+        assert got == chat_by_force(rows, part_turns)
+        assert max(n for _, n, _, _ in got.values()) <= part_turns + 2
