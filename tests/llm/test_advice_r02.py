@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallywind.llm import chat, licenses, main_text, packing, queries
+from tallywind.llm import chat, licenses, main_text, packing, queries, secrets
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -125,3 +126,10 @@ def test_chat_of_long_dialogues(spark):
         got = {(r.conv_id, r.part, r.speaker): (r.text, r.n_turns, r.n_own, [tuple(m) for m in r.masks]) for r in chat.rotate(frame, part_turns).collect()}
         assert got == chat_by_force(rows, part_turns)
         assert max(n for _, n, _, _ in got.values()) <= part_turns + 2
+
+
+def test_secrets_of_one_owner_stay_live(spark):
+    frame = docs(spark, ["password: Abcdefgh12345678"] * 40).withColumn("source", F.lit(None).cast("string"))
+    found = secrets.verdicts(secrets.candidates(frame, ["doc_id"])).select("n_owners", "n_repositories", "live").distinct().collect()
+    assert [tuple(r) for r in found] == [(1, 40, True)]
+    assert {r.text for r in secrets.redact(frame).collect()} == {"[SECRET]"}
