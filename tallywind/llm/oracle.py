@@ -118,3 +118,21 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com
   WHEN upper < 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+
+SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n_all, CAST(sum(len(w)) AS BIGINT) AS l_all FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_all) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t),
+m AS (SELECT r, doc_id, 50 + (50 * len(w) * n_all) // l_all AS m FROM d, s WHERE len(w) > 0),
+scores AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(weights.w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN weights USING (t) JOIN m USING (r) GROUP BY item_id, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 50
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywind.llm import chat, decontaminate, hosts, licenses, main_text, neardup, oracle, packing, quality, secrets, sharding
+from tallywind.llm import ball_tree, chat, decontaminate, hosts, licenses, main_text, neardup, oracle, packing, quality, secrets, sharding
 from tallywind.llm.tables import land, table
 
 #: The rules of the contract, longest first only by their effect.
@@ -101,6 +101,10 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.extract(table(spark, folder, "pages"))
 
 
+def op11_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ball_tree.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), best=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licenses": op2_licenses,
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_hosts": op9_hosts,
     "op10_main_text": op10_main_text,
+    "op11_search": op11_search,
 }
 
 #: The others need a tokenizer, EM, sketches, Spark's hash or an HTML parser; tests compare them with brute force.
@@ -120,4 +125,5 @@ SQL: dict[str, str] = {
     "op2_licenses": oracle.licenses_sql(),
     "op8_chat": oracle.CHAT,
     "op9_hosts": oracle.HOSTS,
+    "op11_search": oracle.SEARCH,
 }
