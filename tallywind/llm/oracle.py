@@ -136,3 +136,24 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
 WHERE rank <= 50
 """
+
+
+#: Two hexadecimal digits stand for each byte; windows are cut from blocks of 500, as substr walks a text from its start.
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT r, doc_id, 500 * k AS at, substr(h, 1000 * k + 1, 1098) AS b FROM d, unnest(range(0, (len(h) + 901) // 1000)) AS u(k)),
+w AS MATERIALIZED (SELECT r, doc_id, at + p AS p, substr(b, 2 * p + 1, 100) AS s FROM blocks, unnest(range(0, len(b) // 2 - 49)) AS u(p)),
+owners AS (SELECT s, min(doc_id) AS owner FROM w GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT r, p FROM w JOIN owners USING (s) WHERE doc_id > owner),
+islands AS (
+  SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS island
+  FROM (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hits)),
+spans AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM islands GROUP BY r, island),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y, b FROM spans),
+kept AS (
+  SELECT r, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS head, max(b) AS last, sum(b - y) AS gone, count(*) AS n
+  FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywind.llm import ball_tree, chat, decontaminate, hosts, licenses, main_text, neardup, oracle, packing, quality, secrets, sharding
+from tallywind.llm import ball_tree, chat, decontaminate, hosts, licenses, main_text, neardup, oracle, packing, quality, secrets, sharding, suffix_dedup
 from tallywind.llm.tables import land, table
 
 #: The rules of the contract, longest first only by their effect.
@@ -105,6 +105,14 @@ def op11_search(spark: SparkSession, folder: str) -> DataFrame:
     return ball_tree.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), best=50)
 
 
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licenses": op2_licenses,
@@ -117,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hosts": op9_hosts,
     "op10_main_text": op10_main_text,
     "op11_search": op11_search,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 #: The others need a tokenizer, EM, sketches, Spark's hash or an HTML parser; tests compare them with brute force.
@@ -126,4 +135,5 @@ SQL: dict[str, str] = {
     "op8_chat": oracle.CHAT,
     "op9_hosts": oracle.HOSTS,
     "op11_search": oracle.SEARCH,
+    "op13_suffix_dedup": oracle.REPEATS,
 }
