@@ -141,8 +141,8 @@ WHERE rank <= 50
 #: Two hexadecimal digits stand for each byte; windows are cut from blocks of 500, as substr walks a text from its start.
 REPEATS = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-blocks AS (SELECT r, doc_id, 500 * k AS at, substr(h, 1000 * k + 1, 1098) AS b FROM d, unnest(range(0, (len(h) + 901) // 1000)) AS u(k)),
-w AS MATERIALIZED (SELECT r, doc_id, at + p AS p, substr(b, 2 * p + 1, 100) AS s FROM blocks, unnest(range(0, len(b) // 2 - 49)) AS u(p)),
+blocks AS (SELECT r, doc_id, 500 * k AS base, substr(h, 1000 * k + 1, 1098) AS b FROM d, unnest(range(0, (len(h) + 901) // 1000)) AS u(k)),
+w AS MATERIALIZED (SELECT r, doc_id, base + p AS p, substr(b, 2 * p + 1, 100) AS s FROM blocks, unnest(range(0, len(b) // 2 - 49)) AS u(p)),
 owners AS (SELECT s, min(doc_id) AS owner FROM w GROUP BY s HAVING count(*) > 1),
 hits AS (SELECT r, p FROM w JOIN owners USING (s) WHERE doc_id > owner),
 islands AS (
