@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywind.llm import ball_tree, chat, decontaminate, hosts, licenses, main_text, neardup, oracle, packing, quality, secrets, sharding, suffix_dedup
+from tallywind.llm import ball_tree, chat, collocations, decontaminate, hosts, licenses, main_text, neardup, oracle, packing, quality, secrets, sharding, suffix_dedup
 from tallywind.llm.tables import land, table
 
 #: The rules of the contract, longest first only by their effect.
@@ -105,6 +105,11 @@ def op11_search(spark: SparkSession, folder: str) -> DataFrame:
     return ball_tree.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), best=50)
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations.mine(table(spark, folder, "documents"))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
     return rows.select(
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hosts": op9_hosts,
     "op10_main_text": op10_main_text,
     "op11_search": op11_search,
+    "op12_collocations": op12_collocations,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
@@ -135,5 +141,6 @@ SQL: dict[str, str] = {
     "op8_chat": oracle.CHAT,
     "op9_hosts": oracle.HOSTS,
     "op11_search": oracle.SEARCH,
+    "op12_collocations": oracle.COLLOCATIONS,
     "op13_suffix_dedup": oracle.REPEATS,
 }
