@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tallywind.functions.maps import put_default
 from tallywind.functions.text import float_text
 from tallywind.functions.time import emit_ts, micros
+from tallywind.operators.ranges import RANGE_ROWS, range_ends, range_of
 from tallywind.operators.prefix_stats import SLICES, norm_thresholds, prefix_stats
 
 GROUP = ["win", "series"]
@@ -64,10 +65,6 @@ def agg_counters(samples: DataFrame, interval: float, add_timestamps: bool = Tru
 # Gauges --------------------------------------------------------------------------------------
 
 
-#: Arrival numbers per slice of a gauge series.
-GAUGE_SLICE = 1 << 24
-
-
 def _gauge_rows(samples: DataFrame, interval: float) -> DataFrame:
     return samples.where("kind = 'gauge'").select(
         tumbling(interval), "series", "seq", "value", "cust_ts", F.col("raw").rlike("^[+-]").alias("delta")
@@ -80,25 +77,29 @@ def gauge_partials(samples: DataFrame, interval: float) -> DataFrame:
     return rows.groupBy(*GROUP, "seq").agg(F.collect_list(F.struct("value", "delta", "cust_ts")).alias("samples"))
 
 
-def finish_gauges(rows: DataFrame, add_timestamps: bool = True, slice_width: int = GAUGE_SLICE) -> DataFrame:
-    """Each series is worked off in slices of ``slice_width`` arrival numbers, then slices are put together.
+def finish_gauges(
+    rows: DataFrame, add_timestamps: bool = True, range_rows: int = RANGE_ROWS, ends: list[int] | None = None
+) -> DataFrame:
+    """Each series is worked off in ranges of about ``range_rows`` samples of all series, then ranges are put together.
 
-    A slice comes down to its last plain value and the sum of the deltas after it. Of plain values with one
-    arrival number the largest counts, and deltas with that number come after it.
+    A range comes down to its last plain value and the sum of the deltas after it. Of plain values with one
+    arrival number the largest counts, and deltas with that number come after it. ``ends`` cuts the ranges elsewhere.
     """
     if "samples" in rows.columns:
         rows = rows.select(*GROUP, "seq", F.inline("samples"))
-    sliced = rows.withColumn("slice", F.floor(F.col("seq") / slice_width).cast("bigint"))
+    ends = range_ends(rows, "seq", range_rows) if ends is None else ends
+    cut = rows.withColumn("range", range_of(F.col("seq"), ends))
     plain = F.when(~F.col("delta"), F.struct("seq", "value"))
-    local = sliced.withColumn("base", F.max(plain).over(W.partitionBy(*GROUP, "slice")))
+    local = cut.withColumn("base", F.max(plain).over(W.partitionBy(*GROUP, "range")))
     later = F.col("delta") & (F.col("base").isNull() | (F.col("seq") >= F.col("base.seq")))
-    parts = local.groupBy(*GROUP, "slice").agg(
+    parts = local.groupBy(*GROUP, "range").agg(
         F.max("base.seq").alias("base_seq"), F.max("base.value").alias("base_value"),
         F.sum(F.when(later, F.col("value"))).alias("deltas"), *_last(),
     )
-    newest = F.when(F.col("base_seq").isNotNull(), F.struct("slice", "base_value"))
+    # One row per range: 4,096 to a series at most.
+    newest = F.when(F.col("base_seq").isNotNull(), F.struct("range", "base_value"))
     parts = parts.withColumn("top", F.max(newest).over(W.partitionBy(*GROUP)))
-    counted = F.col("top").isNull() | (F.col("slice") >= F.col("top.slice"))
+    counted = F.col("top").isNull() | (F.col("range") >= F.col("top.range"))
     joined = parts.groupBy(*GROUP).agg(
         F.max("top.base_value").alias("base"), F.sum(F.when(counted, F.col("deltas"))).alias("deltas"), *_last()
     )
@@ -107,10 +108,15 @@ def finish_gauges(rows: DataFrame, add_timestamps: bool = True, slice_width: int
 
 
 def agg_gauges(
-    samples: DataFrame, interval: float, add_timestamps: bool = True, slice_width: int = GAUGE_SLICE
+    samples: DataFrame, interval: float, add_timestamps: bool = True, range_rows: int = RANGE_ROWS, ends: list[int] | None = None
 ) -> DataFrame:
-    """Last plain value of the window plus the ``+n`` / ``-n`` deltas that arrived after it."""
-    return finish_gauges(_gauge_rows(samples, interval), add_timestamps, slice_width)
+    """Last plain value of the window plus the ``+n`` / ``-n`` deltas that arrived after it.
+
+    Unless ``ends`` are given, ranges of arrival numbers are looked up in ``samples`` when this is called.
+    """
+    if ends is None:
+        ends = range_ends(samples.where("kind = 'gauge'"), "seq", range_rows)
+    return finish_gauges(_gauge_rows(samples, interval), add_timestamps, ends=ends)
 
 
 # Sets ----------------------------------------------------------------------------------------

@@ -124,12 +124,9 @@ def journal_rows(
     number = None if trace_level is None else threshold(trace_level)
     if decode_json:
         events = logs.decode_json_message(events, names)
-    if not raw.isStreaming:
-        events = stitch(events, grammars=grammars, trace_level=number, bypass="is_json" if decode_json else None)
-    elif decode_json:
-        text = events.where("NOT is_json").drop("is_json", "extra")
-        joined = stitch_stream(text, grammars=grammars, trace_level=number, delay=delay)
-        events = events.where("is_json").unionByName(joined, allowMissingColumns=True)
+    bypass = "is_json" if decode_json else None
+    if raw.isStreaming:
+        events = stitch_stream(events, grammars=grammars, trace_level=number, delay=delay, bypass=bypass)
     else:
-        events = stitch_stream(events, grammars=grammars, trace_level=number, delay=delay)
+        events = stitch(events, grammars=grammars, trace_level=number, bypass=bypass)
     return finish_rows(logs.log_rows(events.drop("is_json"), bucket, level, names), static_tags)

@@ -335,8 +335,8 @@ def stitched_traces(spark, folder):
 
 @query(_STITCH)
 def stitched_large_streams(spark, folder):
-    """The same in slices of 50 arrival numbers."""
-    return stitch(_stitch_input(spark, folder), slice_width=50).select("pid", "seq", "message")
+    """The same in pieces of about 50 lines."""
+    return stitch(_stitch_input(spark, folder), range_rows=50).select("pid", "seq", "message")
 
 
 _GRAMMARS = """

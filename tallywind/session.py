@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,3 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared/{uuid.uuid4().hex}"
+
+
+def land(frame: DataFrame) -> DataFrame:
+    """The rows of ``frame``, written now as Parquet to the shared folder and read back: later jobs read the same rows."""
+    path = shared_folder(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

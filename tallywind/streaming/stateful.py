@@ -66,10 +66,17 @@ def latest_lines(lines: DataFrame, ttl: float, delay: float = 0.0) -> DataFrame:
     )
 
 
+#: Arrival numbers of one block of held lines, and the most events of one batch that goes out.
+BLOCK, OUT = 1024, 1000
+
+
 class OpenTrace(StatefulProcessor):
     """One automaton per stream; an open trace is let go when its stream is silent for a second.
 
-    With ``arrival``, the clock is the watermark of arrival times, else the machine's.
+    Lines are held in blocks of arrival numbers and worked off in order, block by block: with ``arrival`` when the watermark of
+    arrival times has passed them, so that lines which arrive late or in another batch still find their place; else, by the
+    machine's clock, at the end of each micro-batch. Neither a micro-batch nor a backlog is ever in memory as a whole. Rows that are
+    ``aside`` pass at once.
     """
 
     def __init__(self, grammars, idle_ms: int = 1000, arrival: bool = False):
@@ -77,45 +84,80 @@ class OpenTrace(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "grammar int, state string, lines string")
+        self.open = handle.getValueState("open", "grammar int, state string, lines string, recv double")
+        self.blocks = handle.getMapState("blocks", "block bigint", "lines string")
 
-    def _load(self) -> Stitcher:
+    @staticmethod
+    def _frame(done: list) -> pd.DataFrame:
+        return pd.DataFrame(done, columns=["event", "message"])
+
+    def _hold(self, batch: pd.DataFrame) -> None:
+        for block, own in batch.groupby(batch["seq"] // BLOCK):
+            known = self.blocks.getValue((int(block),)) if self.blocks.containsKey((int(block),)) else None
+            lines = json.loads(known[0]) if known else []
+            lines += [[int(a), float(b), None if pd.isna(c) else float(c), d, e] for a, b, c, d, e in zip(own["seq"], own["recv"], own["ts"], own["message"], own["event"])]
+            self.blocks.updateValue((int(block),), (json.dumps(lines),))
+
+    def _work(self, due: float | None, clock: float) -> Iterator[pd.DataFrame]:
+        """Feeds held lines in order up to the first one after ``due`` (ms; None: all), and sets the timer for what is left."""
         saved = self.open.get()
-        if saved is None:
-            return Stitcher(self.grammars)
-        return Stitcher(self.grammars, saved[0], saved[1], [tuple(x) for x in json.loads(saved[2])])
-
-    def _save(self, machine: Stitcher) -> None:
-        if machine.lines:
-            self.open.update((machine.grammar, machine.state, json.dumps(machine.lines)))
+        machine, recv = Stitcher(self.grammars), 0.0
+        if saved is not None:
+            machine, recv = Stitcher(self.grammars, saved[0], saved[1], [tuple(x) for x in json.loads(saved[2])]), saved[3]
+        done, wait = [], None
+        for block in sorted(key[0] for key in self.blocks.keys()):
+            lines = sorted(json.loads(self.blocks.getValue((block,))[0]), key=lambda line: line[0])
+            for i, (_, at, ts, message, event) in enumerate(lines):
+                if due is not None and at * 1000 > due:
+                    wait = max(line[1] for line in lines[i:]) * 1000
+                    self.blocks.updateValue((block,), (json.dumps(lines[i:]),))
+                    break
+                done += machine.feed((ts, message, event))
+                recv = max(recv, at)
+                if len(done) >= OUT:
+                    yield self._frame(done)
+                    done = []
+            if wait is not None:
+                break
+            self.blocks.removeKey((block,))
+        silent = (recv * 1000 if self.arrival else clock) + self.idle_ms
+        if machine.size and due is not None and due > silent:
+            done += machine.close()
+        if machine.size:
+            self.open.update((machine.grammar, machine.state, json.dumps(machine.lines), recv))
+            wait = silent if wait is None else min(wait, silent)
         else:
             self.open.clear()
-
-    @staticmethod
-    def _frame(done) -> pd.DataFrame:
-        return pd.DataFrame([(payload, message) for payload, message in done], columns=["event", "message"])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        machine, done = self._load(), []
-        # Arrival order within the micro-batch of one stream.
-        batch = pd.concat(list(rows)).sort_values("seq")
-        for ts, message, event in zip(batch["ts"], batch["message"], batch["event"]):
-            done += machine.feed((float(ts), message, event))
-        self._save(machine)
-        for timer in self.handle.listTimers():
+        for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if machine.lines:
-            now = int(batch["recv"].max() * 1000) if self.arrival else timerValues.getCurrentProcessingTimeInMs()
-            self.handle.registerTimer(now + self.idle_ms + 1)
+        if wait is not None:
+            self.handle.registerTimer(int(wait) + 1)
         if done:
             yield self._frame(done)
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = None
+        for batch in rows:
+            beside = batch[batch["aside"]]
+            if len(beside):
+                yield self._frame([(event, message) for event, message in zip(beside["event"], beside["message"])])
+            batch = batch[~batch["aside"]]
+            if len(batch):
+                self._hold(batch)
+                newest = max(newest or 0.0, float(batch["recv"].max()))
+        if newest is None:
+            return
+        if not self.arrival:
+            yield from self._work(None, timerValues.getCurrentProcessingTimeInMs())
+        elif not list(self.handle.listTimers()):
+            self.handle.registerTimer(int(newest * 1000) + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        machine = self._load()
-        done = list(machine.close())
-        self.open.clear()
-        if done:
-            yield self._frame(done)
+        if self.arrival:
+            yield from self._work(max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), 0.0)
+        else:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            yield from self._work(float(now) + self.idle_ms, now - 1)
 
     def close(self) -> None:
         pass
@@ -126,19 +168,23 @@ _JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def stitch_stream(
-    events: DataFrame, key: list[str] | None = None, grammars=GRAMMARS, trace_level: int | None = None, delay: float = 0.0
+    events: DataFrame, key: list[str] | None = None, grammars=GRAMMARS, trace_level: int | None = None, delay: float = 0.0,
+    bypass: str | None = None,
 ) -> DataFrame:
     """Streaming counterpart of ``stitch``: same columns, each trace as one event; ``trace_level`` replaces a trace's level.
 
-    Events with ``recv_ts`` run on arrival time, ``delay`` seconds late at most: replays give the same traces, and an end
-    marker far ahead lets the open ones go. Others run on the machine's clock.
+    Events with ``recv_ts`` run on arrival time, ``delay`` seconds late at most: they come out when the watermark has passed them,
+    replays give the same traces, and an end marker far ahead lets the open ones go. Others run on the machine's clock. Events
+    whose boolean column ``bypass`` is true pass as they are, in the same scan.
     """
     key = [c for c in (key or STREAM_KEY) if c in events.columns]
     arrival = "recv_ts" in events.columns
     timed = events.withWatermark("recv_ts", f"{round(delay * 1000)} milliseconds") if arrival else events
     stream = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
-    clock = ["recv_ts", epoch(F.col("recv_ts")).alias("recv")] if arrival else []
-    rows = timed.select(stream.alias("stream"), "seq", "ts", "message", F.to_json(F.struct(*events.columns), _JSON_TIMES).alias("event"), *clock)
+    clock = ["recv_ts", epoch(F.col("recv_ts")).alias("recv")] if arrival else [F.lit(0.0).alias("recv")]
+    aside = F.lit(False) if bypass is None else F.coalesce(F.col(bypass), F.lit(False))
+    event = F.to_json(F.struct(*events.columns), _JSON_TIMES).alias("event")
+    rows = timed.select(stream.alias("stream"), "seq", "ts", "message", aside.alias("aside"), event, *clock)
     out = rows.groupBy("stream").transformWithStateInPandas(
         OpenTrace(tuple(grammars), arrival=arrival), outputStructType="event string, message string", outputMode="Append",
         timeMode="EventTime" if arrival else "ProcessingTime",

@@ -108,7 +108,7 @@ def test_chunks(spark):
     df = spark.range(1000).select(F.col("id").alias("seq"), (F.col("id") % 10 == 0).alias("f"), F.concat(F.lit("l"), "id").alias("line"))
     want = {f: [f"l{i}" for i in range(1000) if (i % 10 == 0) == f] for f in (True, False)}
     for width in (1, 13, 300, 1 << 17):
-        rows = limits.pack_chunks(df, ["f"], 7, slice_width=width).orderBy("f", "chunk").collect()
+        rows = limits.pack_chunks(df, ["f"], 7, range_rows=width).orderBy("f", "chunk").collect()
         assert [r["rows"] for r in rows if r["f"]] == [7] * 14 + [2] and [r["chunk"] for r in rows if not r["f"]] == list(range(129))
         for f in (True, False):
             assert "\n".join(r["payload"] for r in rows if r["f"] == f).split("\n") == want[f]

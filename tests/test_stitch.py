@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallywind.operators.stitch import GRAMMARS, Grammar, State, Stitcher, quiet_run, stitch
+from tallywind.operators.stitch import GRAMMARS, Grammar, State, Stitcher, stitch
 
 # A queue worker that fails while it handles a timeout; a web server with a suppressed error and a cause; a script that stops.
 PY = ["Traceback (most recent call last):"]
@@ -68,12 +68,12 @@ def test_interleaved_streams_and_level(spark):
     assert out["a"]["level"] == 3 and out["a"]["seq"] == 0
 
 
-@pytest.mark.parametrize("slice_width", [3, 1 << 26])
-def test_bypass(spark, slice_width):
+@pytest.mark.parametrize("range_rows", [3, 1 << 20])
+def test_bypass(spark, range_rows):
     rows = [(2 * i, "p", i * 0.1, m, 6) for i, m in enumerate([*PY, "plain", *NODE])]
     aside = [(2 * i + 1, "p", 500.0, None if i % 2 else PY[0], 6) for i in range(len(rows))]
     df = frame(spark, rows + aside).withColumn("aside", F.col("seq") % 2 == 1).withColumn("extra", F.create_map(F.lit("k"), F.lit("v")))
-    out = stitch(df, slice_width=slice_width, bypass="aside").collect()
+    out = stitch(df, range_rows=range_rows, bypass="aside").collect()
     assert sorted((r["pid"], r["seq"], r["message"]) for r in out if not r["aside"]) == sequential(rows)
     assert sorted((r["seq"], r["message"] or "") for r in out if r["aside"]) == [(r[0], r[3] or "") for r in aside]
     assert all(r["extra"] == {"k": "v"} for r in out)
@@ -103,8 +103,8 @@ def test_long_trace_keeps_newest(spark):
 POOL = PY + JAVA + NODE + ["plain", "plain text", "2024 numbers", "Name: value", "  indented", "", "    four", "\t^", "a.b.C: y", "/x:1"]
 
 
-@pytest.mark.parametrize("slice_width", [1 << 26, 40])
-def test_islands_and_slices_equal_one_automaton(spark, slice_width):
+@pytest.mark.parametrize("range_rows", [1 << 20, 40, 2])
+def test_islands_and_slices_equal_one_automaton(spark, range_rows):
     rng = random.Random(11)
     rows, seq = [], 0
     clock = {"hot": 0.0, "b": 0.0, "c": 0.0}
@@ -116,10 +116,4 @@ def test_islands_and_slices_equal_one_automaton(spark, slice_width):
                 clock[pid] += rng.choice([0.0, 0.1, 0.9, 1.0, 1.0 if rng.random() < 0.9 else 3.0]) if rng.random() < 0.99 else -0.5
                 rows.append((seq, pid, round(clock[pid], 3), m, 6))
                 seq += rng.randint(1, 3)
-    assert run(spark, rows, slice_width=slice_width) == sequential(rows)
-
-
-def test_quiet_run():
-    assert quiet_run(GRAMMARS) == 2
-    endless = Grammar([("start", "s")], {"s": State([], weak=[("", "s")])})
-    assert quiet_run([endless]) is None
+    assert run(spark, rows, range_rows=range_rows) == sequential(rows)
