@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
+import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallywind.functions.maps import tag_text
 from tallywind.functions.time import epoch, utc
@@ -26,8 +24,8 @@ from tallywind.sinks import bulk, exposition, line_protocol
 from tallywind.sources import journal as J
 from tallywind.sources.containers import container_facts
 from tallywind.sources.json_events import parse_json_events
-from tallywind.sources.packets import inflate_packets, read_lines
-from tallywind.streaming import fanout, stateful, windows
+from tallywind.sources.packets import kafka_packets, read_lines
+from tallywind.streaming import fanout, progress, stateful, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,6 +107,26 @@ def sets(spark, folder):
     return A.agg_sets(_samples(spark, folder, "s"), DAY).select(_tag("name"), _tag("user"), _start(), "count")
 
 
+@query(_SETS)
+def sketched_sets(spark, folder):
+    """Sets as sketches, which hold the few values of these sets as they are."""
+    return A.agg_sets(_samples(spark, folder, "s"), DAY, approx=True).select(_tag("name"), _tag("user"), _start(), "count")
+
+
+@query(f"""
+WITH e AS (SELECT event_type AS name, {_DAY} AS win_start, count(*) AS count, max(event_id) AS last FROM events GROUP BY ALL)
+SELECT name, win_start, CAST(count AS DOUBLE) AS count,
+  CASE WHEN last % 3 = 0 THEN round(epoch(ts), 3) - 60 ELSE CAST(win_start + 86400 AS DOUBLE) END AS ts
+FROM e JOIN events ON event_id = last""")
+def counters_with_times(spark, folder):
+    """Every third sample has a time of its own: it labels the window if that sample is the last one, and is forgotten with the next."""
+    df = I.events(spark, folder)
+    own = (F.round(epoch(F.col("recv_ts")), 3) - 60).cast("decimal(18,3)").cast("string")
+    tag = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("|#timestamp="), own)).otherwise(F.lit(""))
+    samples = parse_statsd(I.as_lines(df, F.concat("event_type", F.lit(":1|c"), tag)))
+    return A.agg_counters(samples, DAY).select(_tag("name"), _start(), "count", F.round("ts", 3).alias("ts"))
+
+
 _TIMERS = f"""
 WITH e AS (SELECT event_type, value, {_DAY} AS win_start FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_type, win_start ORDER BY value) AS rn,
@@ -239,23 +257,47 @@ def custom_times(spark, folder):
     return parse_statsd(lines).select("seq", "cust_ts")
 
 
-@F.pandas_udf(T.BinaryType())
-def _deflate(data: pd.Series) -> pd.Series:
-    return data.map(zlib.compress)
-
-
 @query("""
 SELECT event_id AS packet_id, i AS pos, CASE i WHEN 0 THEN event_type || ':' || user_id || '|c' ELSE 'second:1|c' END AS line
 FROM events, (SELECT unnest([0, 2]) AS i) WHERE event_id % 4 != 3""")
 def packet_lines(spark, folder):
-    """Packets of three lines, half of them compressed; every fourth is no UTF-8."""
-    df = I.events(spark, folder)
+    """Packets of three lines; every fourth is no UTF-8."""
+    return read_lines(_packets(spark, folder, (F.col("event_id") % 4) == 3)).select("packet_id", "pos", "line")
+
+
+def _packets(spark, folder, odd: Column) -> DataFrame:
+    """A packet per event, with two lines that aren't blank; ``odd`` ones are no UTF-8."""
     text = F.concat(F.lit(" "), "event_type", F.lit(":"), "user_id", F.lit("|c\r\n \nsecond:1|c\n"))
-    data = F.when(F.col("event_id") % 4 == 3, F.unhex(F.lit("61FFFE"))).otherwise(F.encode(text, "UTF-8"))
-    packets = df.select(F.col("event_id").alias("packet_id"), "recv_ts", data.alias("data"))
-    odd = packets.where("packet_id % 2 = 1").withColumn("data", _deflate("data"))
-    mixed = packets.where("packet_id % 2 = 0").unionByName(odd)
-    return read_lines(inflate_packets(mixed)).select("packet_id", "pos", "line")
+    data = F.when(odd, F.unhex(F.lit("61FFFE"))).otherwise(F.encode(text, "UTF-8"))
+    return I.events(spark, folder).select(F.col("event_id").alias("packet_id"), "recv_ts", data.alias("data"))
+
+
+_PACKET_CHUNKS = f"""
+WITH l AS (SELECT {_DAY} AS day, event_id, i, CASE i WHEN 0 THEN event_type || ':' || user_id || '|c' ELSE 'second:1|c' END AS line
+  FROM events, (SELECT unnest([0, 2]) AS i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY event_id, i) AS rn FROM l)
+SELECT day, (rn - 1) // 50 AS chunk, count(*) AS rows, string_agg(line, chr(10) ORDER BY rn) AS payload FROM r GROUP BY ALL"""
+
+
+def _day_chunks(lines: DataFrame, **options) -> DataFrame:
+    lines = lines.withColumn("day", F.unix_seconds(F.date_trunc("day", "recv_ts")))
+    return limits.pack_chunks(lines, ["day"], 50, **options).select("day", "chunk", "rows", "payload")
+
+
+@query(_PACKET_CHUNKS)
+def packet_chunks(spark, folder):
+    """Chunks of the lines of packets, whose arrival numbers lie 2^20 apart, in ranges of about 1,000 lines."""
+    return _day_chunks(read_lines(_packets(spark, folder, F.lit(False))), range_rows=1000)
+
+
+@query(_PACKET_CHUNKS)
+def kafka_chunks(spark, folder):
+    """The same from records of four partitions with offsets of their own, in ranges of about 5,000 lines."""
+    records = _packets(spark, folder, F.lit(False)).select(
+        F.pmod("packet_id", F.lit(4)).cast("int").alias("partition"), F.floor(F.col("packet_id") / 4).alias("offset"),
+        F.col("recv_ts").alias("timestamp"), F.col("data").alias("value"),
+    )
+    return _day_chunks(read_lines(kafka_packets(records, 4)), range_rows=5000)
 
 
 # Events and logs -------------------------------------------------------------------------------
@@ -301,6 +343,17 @@ def journal_fields(spark, folder):
     return df.select("seq", "message", "pid", "level", "facility", "ts")
 
 
+@query(SQL["journal_fields"])
+def journal_exports(spark, folder):
+    """The same from exported files of one JSON object per line, in which missing fields are left out."""
+    work = shared_folder(spark)
+    raw = I.journal(I.events(spark, folder))
+    raw.withColumn("CURSOR", F.col("seq")).withColumn("__SEQNUM", F.col("seq").cast("string")).drop("recv_ts").write.json(work)
+    schema = f"{J.JOURNAL_SCHEMA}, seq bigint"
+    df = logs.with_level_words(J.map_journal_fields(J.read_journal(spark, work, schema=schema).withColumn("recv_ts", F.current_timestamp())))
+    return df.select("seq", "message", "pid", "level", "facility", "ts")
+
+
 @query(f"""{_JOURNAL}
 SELECT event_id AS seq, place = 3 AS is_json, CASE WHEN place = 3 THEN '_PID=1,code=' || event_id END AS extra FROM k""")
 def json_messages(spark, folder):
@@ -723,6 +776,11 @@ def stream_sets(spark, folder):
     return _run_stream(spark, folder, "s", windows.sets(DAY)).select(_tag("name"), _tag("user"), _start(), "count")
 
 
+@query(_SETS)
+def stream_sketched_sets(spark, folder):
+    return _run_stream(spark, folder, "s", windows.sets(DAY, approx=True)).select(_tag("name"), _tag("user"), _start(), "count")
+
+
 @query(
     _TIMERS.replace("SELECT event_type, value", "SELECT event_type || ',u' || user_id AS event_type, value")
     .replace("event_type AS name, win_start", "split_part(event_type, ',', 1) AS name, split_part(event_type, ',', 2) AS user, win_start")
@@ -804,3 +862,42 @@ def stream_routed(spark, folder):
 
     _in_parts(spark, work, list(_halves(I.events(spark, folder))), start)
     return spark.read.parquet(f"{work}/out").groupBy("destination", "source").agg(F.count("*").alias("rows"))
+
+
+@query(_DOCS)
+def stream_bulk(spark, folder):
+    """Events as bulk documents on a stream; the first half is delivered again together with the second, and stored once."""
+    work = shared_folder(spark)
+    early, late = _halves(I.events(spark, folder))
+
+    def start(events: DataFrame):
+        docs = bulk.dedupe_bulk(bulk.to_bulk(I.metric_events(events), bulk.daily_index("m"), keep=["recv_ts"]), 60 * DAY)
+        writer = docs.writeStream.option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True)
+        return writer.foreachBatch(windows.parquet_sink(f"{work}/out")).start()
+
+    _in_parts(spark, work, [early, early.unionByName(late)], start)
+    return spark.read.parquet(f"{work}/out").select("index", "doc", "id")
+
+
+@query("""
+WITH e AS (SELECT *, (event_id > (SELECT max(event_id) FROM events) // 2)::INT AS late, event_id % 10 AS n FROM events)
+SELECT CAST(late AS VARCHAR) AS batch, count(*) AS rows, count(*) FILTER (n NOT IN (0, 1, 9)) AS dropped,
+  count(*) FILTER (n IN (0, 1, 9)) AS sent, count(*) FILTER (n = 9) AS sets
+FROM e GROUP BY late""")
+def stream_counts(spark, folder):
+    """What became of the lines of each micro-batch, as metric rows from the progress of the query."""
+    work, reports = shared_folder(spark), []
+
+    def start(lines: DataFrame):
+        rejected = F.col("reject_reason").isNotNull()
+        seen, _ = report.observed(classify_statsd(lines), "lines", dropped=rejected, sent=~rejected, sets=~rejected & (F.col("kind") == "set"))
+        writer = seen.where(~rejected).select("seq").writeStream.format("parquet").option("path", f"{work}/out")
+        query = writer.queryName("lines").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        reports.extend(filter(None, (progress.batch_counts(json.loads(p.json), "lines") for p in query.recentProgress)))
+        return query
+
+    _in_parts(spark, work, list(_halves(_odd_lines(spark, folder))), start)
+    rows = progress.count_rows(spark, reports)
+    field = lambda name: F.try_element_at("values", F.lit(name))["v"].cast("bigint").alias(name)
+    return rows.select(F.col("tags")["batch"].alias("batch"), *[field(n) for n in ("rows", "dropped", "sent", "sets")])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallywind.functions.maps import literal_map, series
 from tallywind.functions.text import json_string, name_uuid
-from tallywind.functions.time import epoch
+from tallywind.functions.time import epoch, micros
 
 
 def json_value(typed: Column) -> Column:
@@ -57,10 +57,11 @@ def to_bulk(
     timestamp_field: str | None = "timestamp",
     add_type: bool = False,
     type_name: str | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """``index, id, doc, action``. Values win over tags, tags over static tags; the time is in ms.
 
-    Rows need ``recv_ts`` where ``ts`` may be missing.
+    Rows need ``recv_ts`` where ``ts`` may be missing. ``keep`` names columns of ``rows`` to hand on.
     """
     arrival = [epoch(F.col("recv_ts"))] if "recv_ts" in rows.columns else []
     rows = rows.withColumn("ts", F.coalesce(F.nullif("ts", F.lit(0.0)), *arrival))
@@ -93,12 +94,20 @@ def to_bulk(
         F.lit(',"_id":"'), F.col("id"), F.lit('"}}'),
     )
     out = rows.withColumn("doc", doc).withColumn("id", name_uuid(F.col("doc")))
-    return out.withColumn("action", action).select("index", "id", "doc", "action")
+    return out.withColumn("action", action).select("index", "id", "doc", "action", *(keep or []))
 
 
-def dedupe_bulk(docs: DataFrame) -> DataFrame:
-    """Repeated deliveries of a document fold into one."""
-    return docs.dropDuplicates(["index", "id"])
+def dedupe_bulk(docs: DataFrame, delay: float | None = None) -> DataFrame:
+    """Repeated deliveries of a document fold into one.
+
+    On a stream ``docs`` have their arrival time in ``recv_ts`` (see ``keep`` of :func:`to_bulk`), and a document that comes again up
+    to ``delay`` seconds after it first came is dropped, in whatever batch; only ids are held, and for so long.
+    """
+    if not docs.isStreaming:
+        return docs.dropDuplicates(["index", "id"])
+    if delay is None:
+        raise ValueError("a stream needs a delay")
+    return docs.withWatermark("recv_ts", micros(delay)).dropDuplicatesWithinWatermark(["index", "id"])
 
 
 def write_bulk(docs: DataFrame, path: str, compression: str | None = None) -> None:

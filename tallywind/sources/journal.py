@@ -35,10 +35,10 @@ JOURNAL_SCHEMA = ", ".join(
 )
 
 
-def read_journal(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def read_journal(spark: SparkSession, path: str, stream: bool = False, schema: str = JOURNAL_SCHEMA) -> DataFrame:
     """JSON exports of the journal (one object per line), explicit schema."""
     reader = spark.readStream if stream else spark.read
-    return reader.schema(JOURNAL_SCHEMA).json(path)
+    return reader.schema(schema).json(path)
 
 
 def since(df: DataFrame, now: Column, seconds: float, column: str = "ts") -> DataFrame:

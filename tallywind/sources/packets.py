@@ -2,47 +2,29 @@
 
 from __future__ import annotations
 
-import gzip
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallywind.functions.text import LINE_BREAK, strip
 
 LINE_BITS = 20  # room for 2^20 lines per packet, and 2^43 packets, in one BIGINT arrival number
 
 
-@F.pandas_udf(T.BinaryType())
-def _inflate(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def one(payload):
-        if payload is None:
-            return None
-        for unpack in (zlib.decompress, gzip.decompress):
-            try:
-                return unpack(payload)
-            except (zlib.error, OSError, EOFError):
-                continue
-        return payload
-
-    for batch in payloads:
-        yield batch.map(one)
-
-
-def inflate_packets(packets: DataFrame, enabled: bool = True) -> DataFrame:
-    """Undo zlib or gzip on ``data``; payloads that are neither pass through."""
-    return packets.withColumn("data", _inflate("data")) if enabled else packets
+def arrival_number(packet: Column, line: Column, line_bits: int = LINE_BITS) -> Column:
+    """One BIGINT for packet and line. Numbers that don't fit fail the query, so that no two lines ever share one."""
+    fits = (line < 1 << line_bits) & (packet >= 0) & (packet < 1 << 63 - line_bits)
+    number = F.shiftleft(packet, line_bits) + line
+    return F.when(fits, number).otherwise(
+        F.raise_error(F.concat(F.lit("no arrival number for line "), line.cast("string"), F.lit(" of packet "), packet.cast("string"))).cast("bigint")
+    )
 
 
-def read_lines(packets: DataFrame) -> DataFrame:
+def read_lines(packets: DataFrame, line_bits: int = LINE_BITS) -> DataFrame:
     """Split packets ``(packet_id, recv_ts, data)`` in stripped, non-blank lines.
 
     A payload that is not UTF-8 is dropped whole. ``seq`` numbers the lines in arrival order, given
-    that packet ids grow with arrival; it stays one BIGINT so that "latest" aggregates on it keep
-    a fixed-width buffer and run as hash aggregates.
+    that packet ids grow with arrival and no two packets share one; it stays one BIGINT so that "latest" aggregates on it keep
+    a fixed-width buffer and run as hash aggregates. A packet of more than ``2 ** line_bits`` lines fails the query.
     """
     text = F.col("data").cast("string")
     lines = (
@@ -50,9 +32,7 @@ def read_lines(packets: DataFrame) -> DataFrame:
         .select("packet_id", "recv_ts", F.posexplode(F.split(text, LINE_BREAK)).alias("pos", "raw"))
         .select("packet_id", "pos", "recv_ts", strip(F.col("raw")).alias("line"))
     )
-    return lines.where("line != ''").withColumn(
-        "seq", F.shiftleft(F.col("packet_id").cast("bigint"), LINE_BITS) + F.col("pos")
-    )
+    return lines.where("line != ''").withColumn("seq", arrival_number(F.col("packet_id").cast("bigint"), F.col("pos"), line_bits))
 
 
 def read_packet_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -61,12 +41,22 @@ def read_packet_files(spark: SparkSession, path: str, stream: bool = False) -> D
     return reader.schema("packet_id bigint, recv_ts timestamp, data binary").parquet(path)
 
 
-def read_packets_kafka(spark: SparkSession, options: dict[str, str], stream: bool = True) -> DataFrame:
-    """Kafka records as packets. Offsets grow within a partition, and all lines of a series reach
-    one partition when producers key by series, so ``offset`` orders what has to be ordered.
-    Needs the Spark Kafka connector on the class path.
+def kafka_packets(records: DataFrame, partitions: int) -> DataFrame:
+    """Kafka records (``partition, offset, timestamp, value``) as packets.
+
+    Offsets only grow, and are only unique, within a partition. ``packet_id`` is ``offset * partitions + partition``: unique over all
+    ``partitions`` of the topic (which must not grow while numbers are compared), in order within each of them, and among
+    partitions in order of their offsets. A partition number beyond that fails the query.
     """
-    reader = (spark.readStream if stream else spark.read).format("kafka").options(**options)
-    return reader.load().select(
-        F.col("offset").alias("packet_id"), F.col("timestamp").alias("recv_ts"), F.col("value").alias("data")
+    known = F.when(F.col("partition") < partitions, F.col("partition")).otherwise(
+        F.raise_error(F.concat(F.lit("unexpected partition "), F.col("partition").cast("string"))).cast("int")
+    )
+    return records.select(
+        (F.col("offset") * partitions + known).alias("packet_id"), F.col("timestamp").alias("recv_ts"), F.col("value").alias("data")
     )
+
+
+def read_packets_kafka(spark: SparkSession, options: dict[str, str], partitions: int, stream: bool = True) -> DataFrame:
+    """A Kafka topic as packets, see :func:`kafka_packets`. Needs the Spark Kafka connector on the class path."""
+    reader = (spark.readStream if stream else spark.read).format("kafka").options(**options)
+    return kafka_packets(reader.load(), partitions)

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallywind.functions.time import epoch
+from tallywind.operators.aggregate import gauge_rows
 from tallywind.operators.stitch import GRAMMARS, STREAM_KEY, Stitcher
 
+#: Arrival numbers of one block of held lines, and the most events of one batch that goes out.
+BLOCK, OUT = 1024, 1000
 LATEST_SCHEMA = "series string, line string, event string"
 
 
@@ -66,8 +69,96 @@ def latest_lines(lines: DataFrame, ttl: float, delay: float = 0.0) -> DataFrame:
     )
 
 
-#: Arrival numbers of one block of held lines, and the most events of one batch that goes out.
-BLOCK, OUT = 1024, 1000
+class GaugeFold(StatefulProcessor):
+    """One part of a window of a gauge series, folded in order of arrival to its last plain value and the deltas after it.
+
+    Samples wait until the watermark has passed them, so that late ones still find their place; what lies before it is one row
+    of state. The fold comes out when the window closes.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fold = handle.getValueState("fold", "base_seq bigint, base_value double, deltas double, seq bigint, cust_ts double")
+        self.blocks = handle.getMapState("blocks", "block bigint", "samples string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = 0.0
+        for batch in rows:
+            newest = max(newest, float(batch["recv"].max()))
+            for block, own in batch.groupby(batch["seq"] // BLOCK):
+                known = self.blocks.getValue((int(block),)) if self.blocks.containsKey((int(block),)) else None
+                samples = json.loads(known[0]) if known else []
+                samples += [
+                    [int(a), bool(b), float(c), float(d), None if pd.isna(e) else float(e)]
+                    for a, b, c, d, e in zip(own["seq"], own["delta"], own["value"], own["recv"], own["cust_ts"])
+                ]
+                self.blocks.updateValue((int(block),), (json.dumps(samples),))
+        timers = set(self.handle.listTimers())
+        closes = int(key[2] * 1000)
+        for timer in {closes, min(closes, int(newest * 1000) + 1)} - timers:
+            if timer == closes or not timers - {closes}:
+                self.handle.registerTimer(timer)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        closed = expiredTimerInfo.getExpiryTimeInMs() >= int(key[2] * 1000)
+        base_seq, base_value, deltas, last, cust_ts = self.fold.get() or (None, None, None, None, None)
+        wait = None
+        for block in sorted(k[0] for k in self.blocks.keys()):
+            samples = sorted(json.loads(self.blocks.getValue((block,))[0]), key=lambda s: s[:3])
+            for i, (seq, delta, value, recv, cust) in enumerate(samples):
+                if not closed and recv * 1000 > now:
+                    wait = max(s[3] for s in samples[i:])
+                    self.blocks.updateValue((block,), (json.dumps(samples[i:]),))
+                    break
+                if delta:
+                    deltas = (deltas or 0.0) + value
+                else:
+                    base_seq, base_value, deltas = seq, value, None
+                last, cust_ts = seq, cust
+            if wait is not None:
+                break
+            self.blocks.removeKey((block,))
+        if closed:
+            self.fold.clear()
+            if last is not None:
+                yield pd.DataFrame([(*key, base_seq, base_value, deltas, last, cust_ts)], columns=_FOLD_COLUMNS).astype(_FOLD_TYPES)
+            return
+        if last is not None:
+            self.fold.update((base_seq, base_value, deltas, last, cust_ts))
+        if wait is not None:
+            self.handle.registerTimer(min(int(key[2] * 1000), int(wait * 1000) + 1))
+
+    def close(self) -> None:
+        pass
+
+
+_FOLD_SCHEMA = "tags string, start double, end double, range bigint, base_seq bigint, base_value double, deltas double, seq bigint, cust_ts double"
+_FOLD_COLUMNS = [field.split()[0] for field in _FOLD_SCHEMA.split(", ")]
+_FOLD_TYPES = {"base_seq": "Int64", "base_value": "Float64", "deltas": "Float64", "seq": "Int64", "cust_ts": "Float64"}
+#: Parts of a window, which fold apart from each other.
+WINDOW_PARTS = 16
+
+
+def gauge_parts(samples: DataFrame, interval: float, parts: int = WINDOW_PARTS) -> DataFrame:
+    """Streaming counterpart of the batch one: ``win, series, range`` and what the range comes down to, once the window closes.
+
+    ``samples`` have a watermark on ``recv_ts``. Ranges are equal parts of the window, given that arrival numbers grow with arrival times.
+    """
+    rows = gauge_rows(samples.withColumn("recv", epoch(F.col("recv_ts"))), interval, "recv_ts", "recv")
+    start, end = epoch(F.col("win.start")), epoch(F.col("win.end"))
+    part = F.floor((F.col("recv") - start) * parts / interval).cast("bigint")
+    keyed = rows.select(
+        F.to_json(F.struct("series")).alias("tags"), start.alias("start"), end.alias("end"), part.alias("range"), "seq", "value", "delta", "cust_ts",
+        "recv", "recv_ts",
+    )
+    out = keyed.groupBy("tags", "start", "end", "range").transformWithStateInPandas(
+        GaugeFold(), outputStructType=_FOLD_SCHEMA, outputMode="Append", timeMode="EventTime"
+    )
+    window = F.struct(*[F.timestamp_micros(F.round(F.col(c) * 1000000).cast("bigint")).alias(c) for c in ("start", "end")])
+    series = F.from_json("tags", "series array<struct<key: string, value: string>>")["series"]
+    return out.select(window.alias("win"), series.alias("series"), "range", "base_seq", "base_value", "deltas", "seq", "cust_ts")
 
 
 class OpenTrace(StatefulProcessor):

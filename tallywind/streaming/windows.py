@@ -1,7 +1,7 @@
 """Windowed aggregates on streams.
 
 The stream side keeps partial aggregates in the state store, keyed by series and, where results
-need it, by value or arrival: a busy series is spread over all state partitions. When the watermark
+need it, by value or a part of the window: a busy series is spread over all state partitions. When the watermark
 closes a window, all of its partial rows come out in one micro-batch, and the same ``finish`` step as in batch turns
 them into results. Windows are cut on arrival time, so the watermark only has to cover delays of
 the transport.
@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallywind.functions.time import micros
 from tallywind.operators import aggregate as A
+from tallywind.streaming import stateful
 
 
 @dataclass(frozen=True)
@@ -33,10 +34,13 @@ def counters(interval: float, add_timestamps: bool = True) -> Family:
 
 
 def gauges(interval: float, add_timestamps: bool = True) -> Family:
-    return Family(lambda s: A.gauge_partials(s, interval), lambda p: A.finish_gauges(p, add_timestamps))
+    return Family(lambda s: stateful.gauge_parts(s, interval), lambda p: A.finish_gauges(p, add_timestamps))
 
 
-def sets(interval: float, add_timestamps: bool = True) -> Family:
+def sets(interval: float, add_timestamps: bool = True, approx: bool = False) -> Family:
+    """``approx`` keeps one sketch per series and window in state instead of one row per value."""
+    if approx:
+        return Family(lambda s: A.sketched_set_partials(s, interval), lambda p: A.finish_sketched_sets(p, add_timestamps))
     return Family(lambda s: A.set_partials(s, interval), lambda p: A.finish_sets(p, add_timestamps))
 
 
