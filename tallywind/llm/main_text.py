@@ -2,17 +2,16 @@
 
 The standard library's streaming parser turns a page into lines: stretches of text between block-level tags, each with
 its number of characters and of tags. The ratio of both is high in running text and low in menus. Ratios are smoothed over
-neighbouring lines with a Gaussian and split into two clusters; the containers that hold lines of the upper cluster are
-the content. Inside a content container everything stays, short lines too, but for the zones that markup names as something
-else (menus, adverts, comments, ...), whose ratio counts as 0. An article is one container. Where none is content, containers
-are merged: all that lie in one block of the body, and blocks between chosen ones or with a heading, but for lists of links.
+neighbouring lines with a Gaussian and split into two clusters; the upper one is the core of the page, and the zones that markup names
+as something else (menus, adverts, comments, ...) have ratio 0. The core tells which region is the content: the articles, if they hold
+half of it or more; else the smallest element around the core that leaves out nothing that reads as text. In the region everything
+stays, short lines too, but for marked zones and, outside articles, for lists of links.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -44,12 +43,22 @@ HEADING_WORDS = frozenset("header masthead banner".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Marks of a zone: by words of classes or ids, which an article inside may overrule, or by element, role or attribute.
 BY_WORDS, BY_MARKUP = 1, 2
-CONTAINERS = frozenset("body div section td center".split())
+CONTAINERS = frozenset("body div section td center ul ol dl".split())
 WHOLE = frozenset("article main".split())
+#: Own classes or ids with these make an article something else.
+ARTICLE_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertising sponsor sponsored promo comment comments reply replies respond related recommended teaser
+    newsletter widget""".split()
+)
+#: Text in these elements reads as text, however short it is; other text does if it ends like a sentence.
+READ = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt figcaption td th".split())
+SENTENCE_END = (".", "!", "?", "\u2026", "\u3002", ":", '"', "\u201d")
+#: An element that holds so much of the core, in hundredths, may be the region.
+BULK = 90
 
 
 class Line(NamedTuple):
-    """`links`: characters inside links; `mark`: 0 for none."""
+    """`links`: characters inside links; `mark`: 0 for none; `reads`: in an element of running text."""
 
     text: str
     tags: int
@@ -57,6 +66,7 @@ class Line(NamedTuple):
     mark: int
     links: int
     heading: bool
+    reads: bool
 
 
 class Open(NamedTuple):
@@ -68,6 +78,7 @@ class Open(NamedTuple):
     inside: bool = False  # an article
     link: bool = False
     heading: bool = False
+    reads: bool = False
 
 
 class Lines(HTMLParser):
@@ -78,10 +89,14 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.text: list[str] = []
         self.tags = self.links = 0
-        self.heading = False
-        self.parents = [0]  # of containers; 0 is the page
-        self.bodies, self.articles, self.overruled = {0}, set(), set()
+        self.heading = self.reads = False
+        self.parents = [0]  # of containers, which come after theirs; 0 is the page
+        self.articles, self.overruled = set(), set()
         self.open: list[Open] = []
+        # Places in `open` by tag, of articles, and of what a new paragraph or item doesn't close.
+        self.places: dict[str, list[int]] = {}
+        self.wholes: list[int] = []
+        self.blocks: list[int] = []
 
     def _state(self) -> Open:
         return self.open[-1] if self.open else Open()
@@ -91,9 +106,9 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.text).split())
             if text:
                 now = self._state()
-                self.lines.append(Line(text, self.tags, now.container, now.mark, self.links, self.heading))
+                self.lines.append(Line(text, self.tags, now.container, now.mark, self.links, self.heading, self.reads))
                 self.tags = 0
-            self.text, self.links, self.heading = [], 0, False
+            self.text, self.links, self.heading, self.reads = [], 0, False, False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -107,7 +122,7 @@ class Lines(HTMLParser):
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             self._close_implied(tag)
-        _, container, mark, inside, link, heading = self._state()
+        _, container, mark, inside, link, heading, reads = self._state()
         whole = tag in WHOLE
         overrules = whole and not inside and mark == BY_WORDS and not _mark(tag, attrs)
         if overrules:
@@ -115,28 +130,36 @@ class Lines(HTMLParser):
         elif not mark:
             if tag in OTHER_TAGS:
                 mark = BY_MARKUP
-            elif attrs and not whole and tag not in ("html", "body"):
-                mark = _mark(tag, attrs)
+            elif attrs and tag not in ("html", "body", "main"):
+                mark = _mark(tag, attrs, ARTICLE_WORDS if whole else OTHER_WORDS)
         if not inside and (whole or tag in CONTAINERS):
             self.parents.append(container)
             container = len(self.parents) - 1
-            if tag == "body":
-                self.bodies.add(container)
             if whole:
                 self.articles.add(container)
             if overrules:
                 self.overruled.add(container)
-        self.open.append(Open(tag, container, mark, inside or whole, link or tag == "a", heading or tag in HEADINGS))
+        self.places.setdefault(tag, []).append(len(self.open))
+        if whole:
+            self.wholes.append(len(self.open))
+        if tag not in INLINE and tag != "p":
+            self.blocks.append(len(self.open))
+        self.open.append(Open(tag, container, mark, inside or whole, link or tag == "a", heading or tag in HEADINGS, reads or tag in READ))
+
+    def _close(self, place: int) -> None:
+        """Closes the open element at `place` and all inside it."""
+        for k in range(len(self.open) - 1, place - 1, -1):
+            self.places[self.open.pop().tag].pop()
+            if self.wholes and self.wholes[-1] == k:
+                self.wholes.pop()
+            if self.blocks and self.blocks[-1] == k:
+                self.blocks.pop()
 
     def _close_implied(self, tag: str) -> None:
         """A new paragraph, item or cell ends an open one of its kind, unless another block lies between."""
-        for k in range(len(self.open) - 1, -1, -1):
-            now = self.open[k].tag
-            if now == tag:
-                del self.open[k:]
-                return
-            if now not in INLINE and now != "p":
-                return
+        places = self.places.get(tag)
+        if places and (not self.blocks or places[-1] >= self.blocks[-1]):
+            self._close(places[-1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -147,20 +170,19 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self._end_line()
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag in WHOLE and tag not in ("body", "html", "article", "main"):
-                return  # a stray end tag doesn't close the article around it
+        places = self.places.get(tag)
+        # A stray end tag doesn't close the article around it.
+        if places and (tag in ("body", "html", "article", "main") or not self.wholes or places[-1] > self.wholes[-1]):
+            self._close(places[-1])
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
         now = self._state()
         if now.link:
             self.links += len(" ".join(data.split()))
-        if now.heading and not data.isspace():
-            self.heading = True
+        if not data.isspace():
+            self.heading = self.heading or now.heading
+            self.reads = self.reads or now.reads
 
     def end(self) -> list[Line]:
         self.close()
@@ -168,7 +190,7 @@ class Lines(HTMLParser):
         return self.lines
 
 
-def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+def _mark(tag: str, attrs: list[tuple[str, str | None]], others: frozenset = OTHER_WORDS) -> int:
     mark = 0
     for name, value in attrs:
         if name in ("class", "id"):
@@ -176,7 +198,7 @@ def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
                 # Words lie between marks and changes of case, as in "siteFooter".
                 words = [w.lower() for w in re.split(r"[_-]+|(?<=[a-z0-9])(?=[A-Z])", whole)]
                 for before, word in zip(["", *words], words):
-                    if word in OTHER_WORDS and before not in LAYOUT_WORDS and not (tag in HEADINGS and word in HEADING_WORDS):
+                    if word in others and before not in LAYOUT_WORDS and not (tag in HEADINGS and word in HEADING_WORDS):
                         mark = mark or BY_WORDS
         elif name == "role":
             if (value or "").strip().lower() in OTHER_ROLES:
@@ -231,36 +253,50 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     smoothed = smooth(ratios, sigma)
     free = [s for s, r in zip(smoothed, ratios) if r > 0]
     border = min(threshold(smoothed), max(free))
-    content = {x.container for x, s, r in zip(lines, smoothed, ratios) if r > 0 and s >= border}
-    if not content & parser.articles:
-        content = merged(parser, [x for x in lines if not x.mark], content)
-    return " ".join(x.text for x in lines if x.container in content and not x.mark)
-
-
-def merged(parser: Lines, lines: list[Line], content: set[int]) -> set[int]:
-    """`content` and the containers of unmarked `lines` that belong to it: those below the same child of the body, and
-    children of the body between two such or with a heading. Containers whose lines, headings aside, are mostly links stay out.
-    """
-    def block(container: int) -> int:
-        while container not in parser.bodies and parser.parents[container] not in parser.bodies:
-            container = parser.parents[container]
-        return container
-
-    blocks = [block(x.container) for x in lines]
-    chosen = {block(c) for c in content}
-    places = [k for k, b in enumerate(blocks) if b in chosen]
-    chosen.update(blocks[places[0] : places[-1] + 1])
-    chosen.update(b for b, x in zip(blocks, lines) if x.heading and b not in parser.bodies)
-    chars, links = Counter(), Counter()
-    for x in lines:
-        if not x.heading:
-            chars[x.container] += len(x.text)
-            links[x.container] += x.links
-    return content | {x.container for x, b in zip(lines, blocks) if b in chosen and 2 * links[x.container] <= chars[x.container]}
+    core = [r > 0 and s >= border for s, r in zip(smoothed, ratios)]
+    inside = region(parser, lines, core)
+    return " ".join(x.text for x in lines if not x.mark and inside[x.container])
+
+
+def region(parser: Lines, lines: list[Line], core: list[bool]) -> list[bool]:
+    """Which containers are content: see the head of this module."""
+    n = len(parser.parents)
+    held, chars, links, reading = [0] * n, [0] * n, [0] * n, [0] * n
+    for x, high in zip(lines, core):
+        if not x.mark:
+            held[x.container] += len(x.text) * high
+            if not x.heading:
+                chars[x.container] += len(x.text)
+                links[x.container] += x.links
+            reading[x.container] += (x.reads or x.text.endswith(SENTENCE_END)) and 2 * x.links <= len(x.text)
+    if 2 * sum(held[c] for c in parser.articles) >= sum(held):
+        # A teaser of links isn't an article of its own.
+        return [c in parser.articles and (held[c] > 0 or 2 * links[c] <= chars[c]) for c in range(n)]
+    # Sums of whole subtrees: a container comes after the one around it.
+    for c in range(n - 1, 0, -1):
+        held[parser.parents[c]] += held[c]
+        reading[parser.parents[c]] += reading[c]
+    bulk = [0] * n  # of each container, the part with the most of the core
+    for c in range(1, n):
+        around = parser.parents[c]
+        if not bulk[around] or held[c] > held[bulk[around]]:
+            bulk[around] = c
+    at = 0
+    while bulk[at] and 100 * held[bulk[at]] >= BULK * held[0] and reading[bulk[at]] == reading[at]:
+        at = bulk[at]
+    inside = [False] * n
+    for c in range(n):
+        inside[c] = c == at or c > 0 and inside[parser.parents[c]]
+    return [i and (c in parser.articles or 2 * links[c] <= chars[c]) for c, i in enumerate(inside)]
 
 
 def extract(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """`page_id, url, text, n_chars` for every row. Null html counts as empty; pages without content have empty text."""
+    """`page_id, url, text, n_chars` for every row. Null html counts as empty; pages without content have empty text.
+
+    Repeated rows and ids, and null ids, are read like others; other columns of any name are left out; an empty table gives no rows. The
+    time for a page is in proportion to its length, whatever is open or unclosed in it, but for the standard library's own
+    cost where tags break off (`<a ` over and over).
+    """
     schema = "page_id bigint, url string, text string, n_chars bigint"
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
