@@ -20,9 +20,9 @@ from tallywind.llm.count_automata import Automaton, count_paths, prefix_weights,
 from tallywind.llm.tables import land
 
 #: Words, and distinct words, after which a shard is closed.
-SHARD_WORDS, SHARD_VOCABULARY = 4_000_000, 1_000_000
+SHARD_WORDS, SHARD_VOCABULARY = 1_000_000, 500_000
 #: Paths of one chunk, between two samples of the order, and of one range.
-CHUNK_PATHS, SAMPLE_PATHS, RANGE_PATHS = 1 << 18, 1 << 15, 2_000_000
+CHUNK_PATHS, SAMPLE_PATHS, RANGE_PATHS = 1 << 17, 1 << 13, 500_000
 _SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 #: A-Z lowered, every separator a full stop, the tab a blank.
 _BYTES = bytes.maketrans((string.ascii_uppercase + _SEPARATORS + "\t").encode(), (string.ascii_lowercase + "." * len(_SEPARATORS) + " ").encode())
@@ -112,14 +112,14 @@ def _unite(pieces: DataFrame, borders: dict[str, list[list[bytes]]], least: int)
     """`lang, phrase, count`: what each range has of phrases of 1 to 3 words; below `least` only where a border may cut a phrase."""
     def unite(group: pa.Table) -> pa.Table:
         lang, number = group.column("lang")[0].as_py(), group.column("range")[0].as_py()
-        paths = union([Automaton.unpack(a).paths() for a in group.column("automaton").to_pylist()])
-        own = borders.get(lang, [])
-        places = {word: k + 1 for k, word in enumerate(paths.words)}
+        paths = union(Automaton.unpack(a.as_py()).paths() for a in group.column("automaton"))
+        near = borders.get(lang, [])[max(0, number - 1) : number + 1]
+        places = {word: k + 1 for k, word in enumerate(paths.words) if any(word in border for border in near)}
         phrases, counts = [], []
         for size in (1, 2, 3):
             columns, sums = prefix_weights(paths, size)
             keep = sums >= least
-            for border in own[max(0, number - 1) : number + 1]:
+            for border in near:
                 cut = np.ones(len(sums), bool)
                 for column, word in zip(columns, border):
                     cut &= column == places.get(word, -1)

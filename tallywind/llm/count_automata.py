@@ -8,6 +8,7 @@ share one state. The weight of a prefix is the sum over the range of paths below
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,16 +141,18 @@ class Automaton:
         return Automaton(words, *arrays, weights)
 
 
-def union(parts: list[Paths]) -> Paths:
-    """All paths, with the sums of their weights; in order of symbols, but `words` in order of appearance."""
+def union(parts: Iterable[Paths]) -> Paths:
+    """All paths, with the sums of their weights; in order of symbols, but `words` in order of appearance. Parts are taken one by one."""
     table: dict[bytes, int] = {}
-    columns = []
+    columns: list[list[np.ndarray]] = [[], [], [], []]
     for part in parts:
-        own = np.array([0] + [table.setdefault(w, len(table) + 1) for w in part.words], np.int64)
-        columns.append([own[part.first], own[part.second], own[part.third], part.weights])
-    first, second, third, weights = (np.concatenate(c) for c in zip(*columns))
+        own = np.array([0] + [table.setdefault(w, len(table) + 1) for w in part.words], np.int32)
+        for known, column in zip(columns, (own[part.first], own[part.second], own[part.third], part.weights)):
+            known.append(column)
+    first, second, third, weights = map(np.concatenate, columns)
+    columns.clear()
     if len(table) < _MASK:
-        order = np.argsort(first << 2 * BITS | second << BITS | third)
+        order = np.argsort(first.astype(np.int64) << 2 * BITS | second.astype(np.int64) << BITS | third)
     else:
         order = np.lexsort((third, second, first))
     first, second, third, weights = first[order], second[order], third[order], weights[order]
