@@ -120,13 +120,17 @@ class BallTree:
                 continue
             first = self._dense(ball, int(away.argmax()), terms)
             second = self._dense(ball, int((squares - 2 * ball.sums(values * first[ball.terms])).argmax()), terms)
-            order = np.argsort(ball.sums(values * (first - second)[ball.terms]), kind="stable")
+            along = ball.sums(values * (first - second)[ball.terms])
+            order = np.argsort(along, kind="stable")
             moved = ball.take(order)
             a, b = self.rows.ends[start], self.rows.ends[stop]
             self.rows.ids[start:stop], self.rows.ends[start : stop + 1] = moved.ids, moved.ends + a
             self.rows.terms[a:b], self.rows.values[a:b] = moved.terms, moved.values
-            half = (start + stop) // 2
-            open_balls += [(start, half, node), (half, stop, node)]
+            # Rows go with the nearer of both; where that leaves one alone with few, halves keep the tree shallow.
+            cut = int(np.searchsorted(along[order], (first @ first - second @ second) / 2))
+            if not (stop - start) // 16 < cut < (stop - start) * 15 // 16:
+                cut = (stop - start) // 2
+            open_balls += [(start, start + cut, node), (start + cut, stop, node)]
         self.centroids = np.vstack(centroids)
 
     @staticmethod
