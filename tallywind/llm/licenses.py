@@ -6,6 +6,7 @@ the sequence of identifiers is matched against ordered rules: a rule names a lic
 
 from __future__ import annotations
 
+import re
 import string
 from dataclasses import dataclass
 
@@ -17,7 +18,6 @@ from tallywind.llm.tables import NOT_ALNUM, lower_ascii, row_key
 #: Sentences of public licences and notices.
 SENTENCES = {
     "mit-notice": "Released under the MIT License.",
-    "mit-notice-2": "Licensed under the MIT License.",
     "mit-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
         " (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,"
@@ -95,8 +95,60 @@ SENTENCES = {
         "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to"
         " the public domain worldwide."
     ),
+    # Heads of whole texts.
+    "apache-date": "Version 2.0, January 2004",
+    "apache-terms": "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "gpl-name": "GNU GENERAL PUBLIC LICENSE",
+    "lgpl-name": "GNU LESSER GENERAL PUBLIC LICENSE",
+    "agpl-name": "GNU AFFERO GENERAL PUBLIC LICENSE",
+    "gpl2-date": "Version 2, June 1991",
+    "gpl3-date": "Version 3, 29 June 2007",
+    "agpl3-date": "Version 3, 19 November 2007",
+    "lgpl21-date": "Version 2.1, February 1999",
+    "mpl2-head": "Mozilla Public License Version 2.0",
+    "epl2-head": "Eclipse Public License - v 2.0",
+    "bsl-head": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "unlicense-grant": "This is free and unencumbered software released into the public domain.",
+    # An identifier line; marks split it from its value.
+    "spdx": "SPDX-License-Identifier",
 }
 
+#: Sentences with names in them, as patterns of normalised sentences, and the sentences above that they stand for.
+OPEN_SENTENCES = {
+    "bsd-names": "neither the names? of .{1,200}? nor the names of (its|their|the|any) contributors may be used to endorse or promote products derived"
+    " from this software without specific prior written permission",
+    "bsd-author": "the names? of .{1,200}? may not be used to endorse or promote products derived from this software without (specific )?prior written permission",
+}
+
+#: Lines or sentences over which one with names in it may be wrapped.
+OPEN_PIECES = 8
+#: SPDX identifiers and what notices call these licences.
+NAMES = {
+    "MIT": ("MIT License", "Expat License"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache License, version 2", "Apache 2.0 License", "Apache-2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Revised BSD License"),
+    "GPL-2.0-only": ("GNU General Public License v2.0", "GNU General Public License, version 2", "GPLv2", "GPL-2.0"),
+    "GPL-3.0-only": ("GNU General Public License v3.0", "GNU General Public License, version 3", "GPLv3", "GPL-3.0"),
+    "LGPL-2.1-only": ("GNU Lesser General Public License v2.1", "GNU Lesser General Public License, version 2.1", "LGPLv2.1"),
+    "LGPL-3.0-only": ("GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3", "LGPLv3"),
+    "AGPL-3.0-only": ("GNU Affero General Public License v3.0", "GNU Affero General Public License, version 3", "AGPLv3"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "MPL-2.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "EPL-2.0"),
+    "ISC": ("ISC License",),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "Unlicense": ("Unlicense",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License",),
+    "CC0-1.0": ("CC0 1.0 Universal",),
+}
+#: Identifiers that only identifier lines use.
+MORE_IDENTIFIERS = ("GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+#: How notices begin, as a pattern of normalised sentences; all beginnings count as one.
+NOTICE = (
+    "^(this (project|software|file|work|program|library|code|package|repository) is )?(licensed|released|distributed|made available|available)"
+    " under (the terms of )?(the |a |an )?"
+)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -107,7 +159,7 @@ class Rule:
 
 
 RULES = (
-    Rule("MIT", ("mit-notice",)), Rule("MIT", ("mit-notice-2",)), Rule("MIT", ("mit-grant", "mit-condition")),
+    Rule("MIT", ("mit-notice",)), Rule("MIT", ("mit-grant", "mit-condition")),
     Rule("Apache-2.0", ("apache-notice",)), Rule("Apache-2.0", ("apache-grant", "apache-condition")),
     Rule("GPL-3.0-only", ("gpl3-notice",)), Rule("GPL-3.0-or-later", ("gpl-grant", "gpl-warranty")),
     Rule("CC-BY-NC-4.0", ("cc-by-nc-notice",)), Rule("CC-BY-4.0", ("cc-by-notice",)),
@@ -120,6 +172,15 @@ RULES = (
     Rule("CC-BY-SA-4.0", ("cc-by-sa-notice",)), Rule("CC-BY-SA-4.0", ("cc-by-sa-notice-2",)), Rule("CC0-1.0", ("cc0-dedication",)),
 )
 
+RULES += (
+    Rule("Apache-2.0", ("apache-date", "apache-terms")), Rule("GPL-2.0-only", ("gpl-name", "gpl2-date")), Rule("GPL-3.0-only", ("gpl-name", "gpl3-date")),
+    Rule("LGPL-2.1-only", ("lgpl-name", "lgpl21-date")), Rule("LGPL-3.0-only", ("lgpl-name", "gpl3-date")), Rule("AGPL-3.0-only", ("agpl-name", "agpl3-date")),
+    Rule("MPL-2.0", ("mpl2-head",)), Rule("EPL-2.0", ("epl2-head",)), Rule("BSL-1.0", ("bsl-head",)), Rule("Unlicense", ("unlicense-grant",)),
+    *[Rule(name, ("spdx", f"id-{name}")) for name in (*NAMES, *MORE_IDENTIFIERS)],
+)
+SENTENCES |= {f"id-{name}": name for name in (*NAMES, *MORE_IDENTIFIERS)}
+
+
 #: A sentence ends at the end of a line, or with a mark before a blank.
 ENDS = r"[.!?;:][\x20\x09\x0D]+|\x0A"
 
@@ -127,6 +188,36 @@ ENDS = r"[.!?;:][\x20\x09\x0D]+|\x0A"
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
+def _plain(text: str) -> str:
+    return re.sub(NOT_ALNUM, " ", text.translate(_LOWER)).strip()
+
+
+def _canonical(sentence: str) -> str:
+    """A normalised sentence in the form in which it is looked up."""
+    return re.sub(NOTICE, "notice ", sentence)
+
+
+def _add_notices() -> None:
+    """Adds the notices of `NAMES`, each a rule of its own, unless a sentence already says the same."""
+    global RULES
+    known = {_canonical(_plain(text)) for text in SENTENCES.values()}
+    for license, names in NAMES.items():
+        for k, name in enumerate(names):
+            text = f"Licensed under the {name}."
+            if _canonical(_plain(text)) not in known:
+                known.add(_canonical(_plain(text)))
+                SENTENCES[f"notice-{license}-{k}"] = text
+                RULES += (Rule(license, (f"notice-{license}-{k}",)),)
+
+
+_add_notices()
+
+
+def canonical(sentence):
+    """The same for a column."""
+    return F.when(sentence.rlike(NOTICE), F.regexp_replace(sentence, NOTICE, "notice ")).otherwise(sentence)
+
+
 def normalized(text):
     return F.trim(F.regexp_replace(lower_ascii(text), NOT_ALNUM, " "))
 
@@ -135,12 +226,10 @@ def sentence_table(spark: SparkSession, sentences: dict[str, str]) -> DataFrame:
     """`sentence_id, known` of a fixed list. A sentence that marks split, as "WARRANTY; without" does, is known by its parts."""
     rows = spark.createDataFrame(list(sentences.items()), "sentence_id string, text string")
     parts = rows.select("sentence_id", F.posexplode(F.filter(F.transform(F.split("text", ENDS), normalized), lambda s: s != "")))
-    return parts.select(F.when(F.col("pos") > 0, F.concat_ws("/", "sentence_id", "pos")).otherwise(F.col("sentence_id")).alias("sentence_id"), F.col("col").alias("known"))
+    return parts.select(F.when(F.col("pos") > 0, F.concat_ws("/", "sentence_id", "pos")).otherwise(F.col("sentence_id")).alias("sentence_id"), canonical(F.col("col")).alias("known"))
 
 
 def _rule_ids(rule: Rule, sentences: dict[str, str]) -> list[str]:
-    import re
-
     ids = []
     for name in rule.sentences:
         parts = [p for p in re.split(ENDS, sentences[name]) if re.search("[0-9A-Za-z\x80-\U0010ffff]", p)]
@@ -149,24 +238,34 @@ def _rule_ids(rule: Rule, sentences: dict[str, str]) -> list[str]:
 
 
 def _wrapped(sentences: dict[str, str]):
-    """`place, last, sentence` of known sentences that are wrapped over several of `pieces`; comment marks are no words and don't matter."""
-    import re
+    """`place, last, sentence` of known sentences that are wrapped over several of `pieces`, and of those with names in them, wrapped or not.
 
-    parts = {re.sub(NOT_ALNUM, " ", p.translate(_LOWER)).strip() for text in sentences.values() for p in re.split(ENDS, text)} - {""}
+    Comment marks are no words and don't matter.
+    """
+    parts = {_plain(p) for text in sentences.values() for p in re.split(ENDS, text)} - {""}
     words = [p.split(" ") for p in sorted(parts) if " " in p]
     if not words:
         return F.expr("cast(array() AS array<struct<place:int, last:int, sentence:string>>)")
     known, most = ", ".join(f"'{' '.join(w)}'" for w in words), max(map(len, words))
     # The first of the pieces is one word, or begins with two; few pieces do.
     first = f"^({'|'.join(sorted({' '.join(w[:2]) for w in words}))})( |$)|^({'|'.join(sorted({w[0] for w in words}))})$"
+    open_sentences = ", ".join(
+        f"struct('^{pattern}$' AS pattern, '{_plain(sentences[name])}' AS sentence)" for name, pattern in OPEN_SENTENCES.items() if name in sentences
+    )
+    named = f"""flatten(transform(
+            filter(CASE WHEN size(pieces) > 0 THEN sequence(1, size(pieces)) ELSE cast(array() AS array<int>) END,
+                i -> startswith(pieces[i - 1], 'neither the name') OR startswith(pieces[i - 1], 'the name')),
+            i -> flatten(transform(array({open_sentences}), o -> transform(
+                slice(filter(sequence(1, least({OPEN_PIECES}, size(pieces) - i + 1)), n -> array_join(slice(pieces, i, n), ' ') RLIKE o.pattern), 1, 1),
+                n -> struct(i AS place, i + n - 1 AS last, o.sentence AS sentence))))))""" if open_sentences else "cast(array() AS array<struct<place:int, last:int, sentence:string>>)"
     return F.expr(
-        f"""flatten(transform(
+        f"""concat({named}, flatten(transform(
             filter(CASE WHEN size(pieces) > 1 THEN sequence(1, size(pieces) - 1) ELSE cast(array() AS array<int>) END, i -> pieces[i - 1] RLIKE '{first}'),
             i -> flatten(transform(
                 filter(array({known}), k -> startswith(concat(array_join(slice(pieces, i, {most}), ' '), ' '), concat(k, ' '))),
                 k -> transform(
                     filter(sequence(2, greatest(2, least({most}, size(pieces) - i + 1))), n -> array_join(slice(pieces, i, n), ' ') = k),
-                    n -> struct(i AS place, i + n - 1 AS last, k AS sentence))))))"""
+                    n -> struct(i AS place, i + n - 1 AS last, k AS sentence)))))))"""
     )
 
 
@@ -193,7 +292,7 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sentences: dict[
     )
     # Place 0 stands for the document itself. The outer form: see `decontaminate.find_spans`.
     probed = rows.select("key_a", "key_b", "doc_id", "n_sentences", F.explode_outer("probes").alias("probe")).select("*", "probe.*")
-    hits = probed.join(F.broadcast(known), F.col("sentence") == F.col("known"), "left").filter("place = 0 OR sentence_id IS NOT NULL")
+    hits = probed.withColumn("sentence", canonical(F.col("sentence"))).join(F.broadcast(known), F.col("sentence") == F.col("known"), "left").filter("place = 0 OR sentence_id IS NOT NULL")
     grouped = hits.groupBy("key_a", "key_b").agg(
         F.first("doc_id").alias("doc_id"), F.sum(F.when(F.col("place") == 0, 1)).alias("copies"),
         F.first("n_sentences").cast("long").alias("n_sentences"),

@@ -37,6 +37,10 @@ def licenses_sql() -> str:
         return rf"trim(regexp_replace({_LOWER.format(x)}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
 
     pieces = "list_filter([{} FOR x IN regexp_split_to_array({}, '[.!?;:][\\x20\\x09\\x0D]+|\\x0A')], lambda x: x <> '')".format(clean("x"), "{}")
+    def canonical(x: str) -> str:
+        named = " ".join(f"WHEN regexp_matches({x}, '^{p}$') THEN {_text(licenses._plain(licenses.SENTENCES[n]))}" for n, p in licenses.OPEN_SENTENCES.items())
+        return f"CASE {named} ELSE regexp_replace({x}, '{licenses.NOTICE}', 'notice ') END"
+
     values = ", ".join(f"({_text(name)}, {_text(text)})" for name, text in licenses.SENTENCES.items())
     cases = []
     for rule in licenses.RULES:
@@ -49,9 +53,9 @@ def licenses_sql() -> str:
     return f"""
 WITH fixed(name, text) AS (VALUES {values}),
 parts AS (SELECT name, {pieces.format('text')} AS p FROM fixed),
-known AS (SELECT CASE WHEN k = 1 THEN name ELSE name || '/' || (k - 1) END AS id, p[k] AS known FROM parts, unnest(range(1, len(p) + 1)) AS u(k)),
+known AS (SELECT CASE WHEN k = 1 THEN name ELSE name || '/' || (k - 1) END AS id, {canonical('p[k]')} AS known FROM parts, unnest(range(1, len(p) + 1)) AS u(k)),
 d AS (SELECT doc_id, {pieces.format("coalesce(text, '')")} AS p FROM documents),
-hits AS (SELECT doc_id, k AS place, id FROM (SELECT doc_id, p[k] AS known, k FROM d, unnest(range(1, len(p) + 1)) AS u(k)) JOIN known USING (known)),
+hits AS (SELECT doc_id, k AS place, id FROM (SELECT doc_id, {canonical('p[k]')} AS known, k FROM d, unnest(range(1, len(p) + 1)) AS u(k)) JOIN known USING (known)),
 found AS (SELECT doc_id, list(id ORDER BY place, id) AS ids, list(place ORDER BY place, id) AS places FROM hits GROUP BY doc_id),
 judged AS (SELECT d.doc_id, cast(len(p) AS BIGINT) AS n_sentences, coalesce(ids, []) AS ids, coalesce(places, []) AS places FROM d LEFT JOIN found USING (doc_id))
 SELECT doc_id, n_sentences, cast(len(ids) AS BIGINT) AS n_known, array_to_string(ids, ',') AS sentence_ids,
@@ -61,19 +65,25 @@ FROM judged
 
 
 CHAT = r"""
-WITH m AS (SELECT DISTINCT conv_id, cast(floor(turn / 512) AS BIGINT) AS part, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-speakers AS (SELECT DISTINCT conv_id, part, role AS speaker FROM m WHERE role <> 'system'),
+WITH m AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1) // 512 AS part FROM m),
+parts AS (SELECT DISTINCT conv_id, part FROM n),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
+held AS (
+  SELECT conv_id, part, 1 AS own_part, turn, role, text FROM n
+  UNION ALL SELECT n.conv_id, parts.part, 0, turn, role, text
+  FROM n JOIN parts ON n.conv_id IS NOT DISTINCT FROM parts.conv_id AND n.part < parts.part WHERE role = 'system'),
 p AS (
-  SELECT conv_id, part, speaker, turn, role, text, role = speaker AS own,
+  SELECT held.*, speaker, role = speaker AS own,
+    row_number() OVER (PARTITION BY held.conv_id, part, speaker ORDER BY own_part, turn NULLS FIRST, role, text) AS place,
     CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
       ELSE '<|user name="' || role || '"|>' || chr(10) END AS head, text || '<|end|>' || chr(10) AS body
-  FROM m JOIN speakers USING (conv_id, part)),
+  FROM held JOIN speakers ON held.conv_id IS NOT DISTINCT FROM speakers.conv_id),
 placed AS (
-  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, role, text
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY place
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM p)
-SELECT conv_id, part, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
-  string_agg(head || body, '' ORDER BY turn, role, text) AS text,
-  string_agg(cast(past + length(head) AS BIGINT) || ':' || cast(past + length(head) + length(body) AS BIGINT), ',' ORDER BY turn, role, text) FILTER (own) AS masks
+SELECT conv_id, part, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || body, '' ORDER BY place) AS text,
+  coalesce(string_agg(cast(past + length(head) AS BIGINT) || ':' || cast(past + length(head) + length(body) AS BIGINT), ',' ORDER BY place) FILTER (own), '') AS masks
 FROM placed GROUP BY conv_id, part, speaker
 """
 
