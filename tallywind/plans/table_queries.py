@@ -158,9 +158,9 @@ def timers(spark, folder):
 
 @query(_TIMERS)
 def timers_large_groups(spark, folder):
-    """The same with the coarsest value slices, four to a doubling."""
+    """The same with finer value slices, 64 to a doubling."""
     samples = parse_statsd(_timer_lines(spark, folder))
-    return _timer_columns(A.agg_timers(samples, [50, 90, 99.5, 100], DAY, slices=2))
+    return _timer_columns(A.agg_timers(samples, [50, 90, 99.5, 100], DAY, slices=6))
 
 
 _HISTOGRAMS = f"""

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from helpers import lines
+from tallywind.operators.ranges import range_ends, range_of
 from tallywind.operators import containers as C
 from tallywind.operators import hosts as H
 from tallywind.operators import limits, report
@@ -114,6 +115,21 @@ def test_chunks(spark):
             assert "\n".join(r["payload"] for r in rows if r["f"] == f).split("\n") == want[f]
 
 
+def test_chunks_of_packet_numbers_and_ties(spark):
+    """Numbers 2^20 apart, and lines that share one: every range bounds its rows, and chunks are the same however they are cut."""
+    rows = [((i // 3) << 20, f"l{i:04d}") for i in range(900)]
+    df = spark.createDataFrame(rows, "seq bigint, line string").withColumn("f", F.lit(1))
+    ends = range_ends(df, "seq", 100)
+    sizes = [r["count"] for r in df.groupBy(range_of(F.col("seq"), ends)).count().collect()]
+    assert len(ends) == 8 and sum(sizes) == 900 and max(sizes) <= 110
+    for width in (10, 100, 10_000):
+        got = limits.pack_chunks(df.repartition(5), ["f"], 50, range_rows=width).orderBy("chunk").collect()
+        assert [r["payload"].split("\n") for r in got] == [[f"l{i:04d}" for i in range(50 * k, 50 * k + 50)] for k in range(18)]
+    assert range_ends(df.limit(0)) == []
+    numbers = spark.createDataFrame([(x,) for x in (-5, 3, 4, 10, 11, None)], "n bigint")
+    assert [r[0] for r in numbers.select(range_of(F.col("n"), [3, 10])).collect()] == [0, 0, 1, 1, 2, 0]
+
+
 def test_reports(spark):
     df = classify_statsd(lines(spark, ["a:1|c", "b:x|c", "sc|x"]))
     assert {r["outcome"]: r["lines"] for r in report.line_report(df).collect()} == {"accepted": 1, "value": 1, "service": 1}

@@ -10,7 +10,10 @@ from test_stitch import JAVA, PY, sequential
 from tallywind.operators import aggregate as A
 from tallywind.operators.bins import BinSpec, binned_by
 from tallywind.operators.statsd import parse_statsd
-from tallywind.streaming import fanout, stateful, windows
+from tallywind.operators import report
+from tallywind.sinks import bulk
+from tallywind.sinks.line_protocol import to_line_protocol
+from tallywind.streaming import fanout, progress, stateful, windows
 
 
 def as_stream(spark, batches):
@@ -138,3 +141,89 @@ def test_fanout(spark):
     assert sorted(got["d1"]) == [1, 2] and got["d2"] == [2]
     with pytest.raises(ValueError):
         fanout.start_fanout(df, {"s1": ["nope"]}, sinks, "x")
+
+
+def test_lines_that_come_late_or_in_other_batches(spark, monkeypatch):
+    """Lines of one stream shuffled over micro-batches come out as from one automaton, with blocks of a few lines in state."""
+    monkeypatch.setattr(stateful, "BLOCK", 4)
+    rows = [(i, "p", i * 0.1, m, 6, at(i * 0.1 + 1)) for i, m in enumerate(["x", *PY, "plain", *JAVA, "y", *PY, "z"])]
+    end = spark.createDataFrame([(999, "end", 1e6, "end", 6, at(1e6))], "seq bigint, pid string, ts double, message string, level int, recv_ts timestamp")
+    near = rows[:]
+    rng = random.Random(4)
+    for i in range(0, len(near) - 5, 5):
+        part = near[i : i + 5]
+        rng.shuffle(part)
+        near[i : i + 5] = part
+    batches = [spark.createDataFrame(near[i : i + 7], end.schema) for i in range(0, len(near), 7)]
+    out = collect_stream(stateful.stitch_stream(as_stream(spark, [*batches, end]), delay=1.0), "stitched_late").where("pid = 'p'").collect()
+    assert sorted((r["pid"], r["seq"], r["message"]) for r in out) == sequential([r[:5] for r in rows])
+
+
+def test_stream_lines_pass_beside_the_automaton(spark):
+    rows = [(i, "p", i * 0.1, m, i % 3 == 1, at(i * 0.1 + 1)) for i, m in enumerate(["x", *PY, "y"])] + [(99, "end", 1e6, "end", False, at(1e6))]
+    df = spark.createDataFrame(rows, "seq bigint, pid string, ts double, message string, aside boolean, recv_ts timestamp")
+    out = collect_stream(stateful.stitch_stream(as_stream(spark, [df.where("seq < 99"), df.where("seq = 99")]), bypass="aside"), "stitched_beside")
+    got = sorted((r["pid"], r["seq"], r["message"]) for r in out.where("pid = 'p'").collect())
+    want = sequential([(*r[:4], 6) for r in rows if not r[4] and r[1] == "p"]) + [(r[1], r[0], r[3]) for r in rows if r[4]]
+    assert got == sorted(want)
+
+
+def test_gauges_that_come_late(spark, monkeypatch):
+    """Within the delay order of arrival in the source counts, not the batch that a sample came in."""
+    monkeypatch.setattr(stateful, "BLOCK", 8)
+    rng = random.Random(6)
+    texts = [f"{rng.choice('ab')}:{rng.choice(['', '+', '-'])}{rng.randint(1, 50)}|g" for _ in range(120)]
+    everything = lines(spark, texts, ts=1000.0, step=0.2)
+    order = list(range(120))
+    for i in range(0, 120, 6):
+        part = order[i : i + 6]
+        rng.shuffle(part)
+        order[i : i + 6] = part
+    rows = {r["seq"]: r for r in everything.collect()}
+    batches = [spark.createDataFrame([rows[k] for k in order[i : i + 25]], everything.schema) for i in range(0, 120, 25)]
+    closing = spark.createDataFrame([(99999, at(5000.0), "z:1|g")], "seq bigint, recv_ts timestamp, line string")
+    got = run_family(spark, parse_statsd(as_stream(spark, [*batches, closing])), windows.gauges(10))
+    assert canonical(got) == canonical(A.agg_gauges(parse_statsd(everything), 10))
+
+
+def test_sketched_sets(spark):
+    texts = [f"users:u{i}|s" for i in range(20000)] + ["few:a|s", "few:b|s", "few:a|s"]
+    samples = parse_statsd(lines(spark, texts))
+    got = {r["tags"]["name"]: r["count"] for r in A.agg_sets(samples, 10, approx=True).collect()}
+    assert got["few"] == 2
+    # Four standard errors of 1.04 / sqrt(2^12).
+    assert abs(got["users"] - 20000) < 4 * 1.04 / 64 * 20000
+    closing = spark.createDataFrame([(99999, at(5000.0), "z:1|s")], "seq bigint, recv_ts timestamp, line string")
+    parts = [lines(spark, texts[:9000]), lines(spark, texts[8000:])]
+    stream = run_family(spark, parse_statsd(as_stream(spark, [*parts, closing])), windows.sets(10, approx=True))
+    found = {r["tags"]["name"]: r["count"] for r in stream.collect()}
+    assert found["few"] == 2 and abs(found["users"] - 20000) < 4 * 1.04 / 64 * 20000
+
+
+def test_bulk_delivered_twice(spark):
+    schema = "index string, id string, doc string, action string, recv_ts timestamp"
+    rows = [("i", str(k), "d", "a", at(100.0 + k)) for k in range(6)]
+    batches = [spark.createDataFrame(rows[:4], schema), spark.createDataFrame(rows[2:] + rows[:1], schema), spark.createDataFrame(rows, schema)]
+    out = collect_stream(bulk.dedupe_bulk(as_stream(spark, batches), 60.0), "bulk_once").collect()
+    assert sorted(r["id"] for r in out) == ["0", "1", "2", "3", "4", "5"]
+    with pytest.raises(ValueError):
+        bulk.dedupe_bulk(as_stream(spark, batches))
+
+
+def test_counts_of_batches_while_they_run(spark):
+    seen = []
+    listener = progress.BatchCounters("rows", lambda *counts: seen.append(counts))
+    spark.streams.addListener(listener)
+    try:
+        batches = [spark.range(10).withColumn("n", F.lit(1)), spark.range(7).withColumn("n", F.lit(2))]
+        counted, _ = report.observed(as_stream(spark, batches), "rows", dropped=F.col("id") < 3, failed=F.lit(False))
+        collect_stream(counted, "counted")
+        deadline = time.time() + 30
+        while len(seen) < 2 and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [(query, batch, counts) for query, batch, _, counts in seen] == [
+        ("counted", 0, {"rows": 10, "dropped": 3, "failed": 0}), ("counted", 1, {"rows": 7, "dropped": 3, "failed": 0})]
+    texts = [r["line"] for r in to_line_protocol(progress.count_rows(spark, seen)).collect()]
+    assert any(t.startswith("pipeline,batch=1,query=counted dropped=3,failed=0,rows=7 ") for t in texts)
