@@ -51,7 +51,7 @@ ARTICLE_WORDS = frozenset(
     newsletter widget""".split()
 )
 #: Text in these elements reads as text, however short it is; other text does if it ends like a sentence.
-READ = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt figcaption td th".split())
+READ = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt figcaption".split())
 SENTENCE_END = (".", "!", "?", "\u2026", "\u3002", ":", '"', "\u201d")
 #: An element that holds so much of the core, in hundredths, may be the region.
 BULK = 90
