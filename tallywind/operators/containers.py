@@ -9,6 +9,7 @@ from tallywind.functions.maps import last_wins, literal_map, put, tag_text
 from tallywind.functions.text import strip
 from tallywind.operators.enrich import union_all
 from tallywind.operators.hosts import interface_rows, snapshot_rows
+from tallywind.session import land
 
 # What container tags may look like.
 META_NAME = r"[a-zA-Z][a-zA-Z0-9_]*"
@@ -96,7 +97,8 @@ def with_tag_text(df: DataFrame) -> DataFrame:
 
 
 def container_rows(facts: DataFrame, host_memory: DataFrame, add_timestamps: bool = True) -> DataFrame:
-    """All metrics of the containers as metric rows, with the containers' tags and that of the host."""
+    """All metrics of the containers as metric rows, with the containers' tags and that of the host. The facts are landed when this is called, so they are joined and parsed once."""
+    facts = land(facts)
     parts = {
         "docker_filesystem": container_fs(facts), "docker_cpu": container_cpu(facts),
         "docker_interface": container_interfaces(facts).drop("name"), "docker_memory": container_memory(facts, host_memory),

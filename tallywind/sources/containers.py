@@ -20,8 +20,10 @@ INSPECT_SCHEMA = (
 
 def container_facts(containers: DataFrame, inspect: DataFrame, cgroup: DataFrame) -> DataFrame:
     """One row per container of which all parts could be read; others are left out wholly."""
-    parsed = inspect.select(*KEY, F.from_json("json", INSPECT_SCHEMA).alias("info")).where("info IS NOT NULL")
+    # Dealt out first and parsed behind a generator, which holds filters back: once per row, and by many tasks even from one small file.
+    parsed = inspect.repartition(*KEY).select(*KEY, F.explode(F.array(F.from_json("json", INSPECT_SCHEMA))).alias("info")).where("info IS NOT NULL")
     complete = cgroup.where(
         F.col("usage_percpu").isNotNull() & F.col("memory_usage").isNotNull() & F.col("net_dev").isNotNull()
     )
-    return containers.join(parsed, KEY).join(complete, KEY)
+    # All three hold a row per container: by file size alone Spark would send whole tables through the driver.
+    return containers.join(parsed.hint("merge"), KEY).join(complete.hint("merge"), KEY)
