@@ -7,14 +7,15 @@ key; the rows of a key come as an iterator of batches, so a busy key takes time
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tallywind.functions.time import epoch
+from tallywind.functions.time import epoch, micros
 from tallywind.operators.aggregate import gauge_rows
 from tallywind.operators.stitch import GRAMMARS, STREAM_KEY, Stitcher
 
@@ -23,142 +24,119 @@ BLOCK, OUT = 1024, 1000
 LATEST_SCHEMA = "series string, line string, event string"
 
 
+#: Buckets of series; those of a bucket share one value of state and one timer.
+BUCKETS = 16384
+
+
 class LatestLine(StatefulProcessor):
-    """Emits ``set`` with the newest line of a series and ``drop`` when it has outlived its time."""
+    """Emits ``set`` with the newest line of a series and ``drop`` when it has outlived its time, for all series of a bucket."""
 
     def __init__(self, ttl: float):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "recv double, seq bigint, line string")
+        self.newest = handle.getValueState("newest", "lines string")
+
+    def _load(self) -> dict:
+        saved = self.newest.get()
+        return {series: (recv, seq, line) for series, recv, seq, line in json.loads(saved[0])} if saved else {}
+
+    def _due(self, recv: float) -> int:
+        return int((recv + self.ttl) * 1000) + 1
+
+    def _save(self, best: dict) -> None:
+        """Keeps ``best``, with a timer for the series that ends first."""
+        if best:
+            self.newest.update((json.dumps([(series, *last) for series, last in best.items()]),))
+        else:
+            self.newest.clear()
+        first = min((self._due(last[0]) for last in best.values()), default=None)
+        timers = list(self.handle.listTimers())
+        for timer in timers:
+            if timer != first:
+                self.handle.deleteTimer(timer)
+        if first is not None and first not in timers:
+            self.handle.registerTimer(first)
+
+    @staticmethod
+    def _changes(best: dict, names: list, event: str) -> pd.DataFrame:
+        return pd.DataFrame([(name, best[name][2], event) for name in names], columns=["series", "line", "event"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = self.newest.get()
-        had = best
+        best = self._load()
+        changed = {}
         for batch in rows:
-            top = batch.sort_values(["recv", "seq"]).iloc[-1]
-            if best is None or (top["recv"], top["seq"]) > (best[0], best[1]):
-                best = (float(top["recv"]), int(top["seq"]), top["line"])
-        if best is not None and best != had:
-            self.newest.update(best)
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int((best[0] + self.ttl) * 1000) + 1)
-            yield pd.DataFrame([(key[0], best[2], "set")], columns=["series", "line", "event"])
+            for series, line, recv, seq in zip(batch["series"], batch["line"], batch["recv"].tolist(), batch["seq"].tolist()):
+                had = best.get(series)
+                if had is None or (recv, seq) > had[:2]:
+                    best[series] = (recv, int(seq), line)
+                    changed[series] = True
+        if changed:
+            self._save(best)
+            yield self._changes(best, list(changed), "set")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        best = self.newest.get()
-        self.newest.clear()
-        if best is not None:
-            yield pd.DataFrame([(key[0], best[2], "drop")], columns=["series", "line", "event"])
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        best = self._load()
+        over = [series for series, last in best.items() if self._due(last[0]) <= now]
+        self._save({series: last for series, last in best.items() if self._due(last[0]) > now})
+        if over:
+            yield self._changes(best, over, "drop")
 
     def close(self) -> None:
         pass
 
 
-def latest_lines(lines: DataFrame, ttl: float, delay: float = 0.0) -> DataFrame:
+def latest_lines(lines: DataFrame, ttl: float, delay: float = 0.0, buckets: int = BUCKETS) -> DataFrame:
     """Changes of the exposition page: ``series, line, event`` from ``series, line, recv_ts, seq``.
 
-    The clock is arrival time, so replays give the same page as the live stream did.
+    The clock is arrival time, so replays give the same page as the live stream did. Series are dealt to ``buckets`` by hash: a call
+    of the processor costs as much as a thousand lines, so there is one for a bucket and not for each series.
     """
     timed = lines.withWatermark("recv_ts", f"{round(delay * 1000)} milliseconds")
-    rows = timed.select("series", "line", "recv_ts", epoch(F.col("recv_ts")).alias("recv"), "seq")
-    return rows.groupBy("series").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("series"), F.lit(buckets)).alias("bucket")
+    rows = timed.select(bucket, "series", "line", "recv_ts", epoch(F.col("recv_ts")).alias("recv"), "seq")
+    return rows.groupBy("bucket").transformWithStateInPandas(
         LatestLine(ttl), outputStructType=LATEST_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
 
 
-class GaugeFold(StatefulProcessor):
-    """One part of a window of a gauge series, folded in order of arrival to its last plain value and the deltas after it.
-
-    Samples wait until the watermark has passed them, so that late ones still find their place; what lies before it is one row
-    of state. The fold comes out when the window closes.
-    """
+#: Parts of a window, which fold apart from each other, and arrival numbers that fold together.
+WINDOW_PARTS, GAUGE_BLOCK = 16, 1 << 16
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.fold = handle.getValueState("fold", "base_seq bigint, base_value double, deltas double, seq bigint, cust_ts double")
-        self.blocks = handle.getMapState("blocks", "block bigint", "samples string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = 0.0
-        for batch in rows:
-            newest = max(newest, float(batch["recv"].max()))
-            for block, own in batch.groupby(batch["seq"] // BLOCK):
-                known = self.blocks.getValue((int(block),)) if self.blocks.containsKey((int(block),)) else None
-                samples = json.loads(known[0]) if known else []
-                samples += [
-                    [int(a), bool(b), float(c), float(d), None if pd.isna(e) else float(e)]
-                    for a, b, c, d, e in zip(own["seq"], own["delta"], own["value"], own["recv"], own["cust_ts"])
-                ]
-                self.blocks.updateValue((int(block),), (json.dumps(samples),))
-        timers = set(self.handle.listTimers())
-        closes = int(key[2] * 1000)
-        for timer in {closes, min(closes, int(newest * 1000) + 1)} - timers:
-            if timer == closes or not timers - {closes}:
-                self.handle.registerTimer(timer)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        closed = expiredTimerInfo.getExpiryTimeInMs() >= int(key[2] * 1000)
-        base_seq, base_value, deltas, last, cust_ts = self.fold.get() or (None, None, None, None, None)
-        wait = None
-        for block in sorted(k[0] for k in self.blocks.keys()):
-            samples = sorted(json.loads(self.blocks.getValue((block,))[0]), key=lambda s: s[:3])
-            for i, (seq, delta, value, recv, cust) in enumerate(samples):
-                if not closed and recv * 1000 > now:
-                    wait = max(s[3] for s in samples[i:])
-                    self.blocks.updateValue((block,), (json.dumps(samples[i:]),))
-                    break
-                if delta:
-                    deltas = (deltas or 0.0) + value
-                else:
-                    base_seq, base_value, deltas = seq, value, None
-                last, cust_ts = seq, cust
-            if wait is not None:
-                break
-            self.blocks.removeKey((block,))
-        if closed:
-            self.fold.clear()
-            if last is not None:
-                yield pd.DataFrame([(*key, base_seq, base_value, deltas, last, cust_ts)], columns=_FOLD_COLUMNS).astype(_FOLD_TYPES)
-            return
-        if last is not None:
-            self.fold.update((base_seq, base_value, deltas, last, cust_ts))
-        if wait is not None:
-            self.handle.registerTimer(min(int(key[2] * 1000), int(wait * 1000) + 1))
-
-    def close(self) -> None:
-        pass
-
-
-_FOLD_SCHEMA = "tags string, start double, end double, range bigint, base_seq bigint, base_value double, deltas double, seq bigint, cust_ts double"
-_FOLD_COLUMNS = [field.split()[0] for field in _FOLD_SCHEMA.split(", ")]
-_FOLD_TYPES = {"base_seq": "Int64", "base_value": "Float64", "deltas": "Float64", "seq": "Int64", "cust_ts": "Float64"}
-#: Parts of a window, which fold apart from each other.
-WINDOW_PARTS = 16
+def _fold(samples: Column) -> Column:
+    """Samples sorted by arrival number, plain ones first: the last plain value, the sum of the deltas after it, and the last sample."""
+    base = F.array_max(F.filter(samples, lambda s: ~s["delta"]))
+    later = F.filter(samples, lambda s: s["delta"] & (base.isNull() | (s["seq"] >= base["seq"])))
+    deltas = F.aggregate(later, F.lit(0.0), lambda total, s: total + s["value"])
+    last = F.get(samples, F.size(samples) - 1)
+    return F.struct(
+        base["seq"].alias("base_seq"), base["value"].alias("base_value"), F.when(F.size(later) > 0, deltas).alias("deltas"),
+        last["seq"].alias("seq"), last["cust_ts"].alias("cust_ts"),
+    )
 
 
-def gauge_parts(samples: DataFrame, interval: float, parts: int = WINDOW_PARTS) -> DataFrame:
+def gauge_parts(samples: DataFrame, interval: float, parts: int = WINDOW_PARTS, block: int = GAUGE_BLOCK) -> DataFrame:
     """Streaming counterpart of the batch one: ``win, series, range`` and what the range comes down to, once the window closes.
 
-    ``samples`` have a watermark on ``recv_ts``. Ranges are equal parts of the window, given that arrival numbers grow with arrival times.
+    ``samples`` have a watermark on ``recv_ts``. Two aggregates, both of built-in expressions: samples of a series wait in blocks of
+    arrival numbers until the watermark has passed their part of the window, so that late ones still find their place; then a block is
+    folded, and only its fold waits for the end of the window. Parts are equal (``parts`` of them, or the next smaller number that cuts
+    the window into whole microseconds); arrival numbers grow with arrival times from part to part.
     """
-    rows = gauge_rows(samples.withColumn("recv", epoch(F.col("recv_ts"))), interval, "recv_ts", "recv")
-    start, end = epoch(F.col("win.start")), epoch(F.col("win.end"))
-    part = F.floor((F.col("recv") - start) * parts / interval).cast("bigint")
-    keyed = rows.select(
-        F.to_json(F.struct("series")).alias("tags"), start.alias("start"), end.alias("end"), part.alias("range"), "seq", "value", "delta", "cust_ts",
-        "recv", "recv_ts",
-    )
-    out = keyed.groupBy("tags", "start", "end", "range").transformWithStateInPandas(
-        GaugeFold(), outputStructType=_FOLD_SCHEMA, outputMode="Append", timeMode="EventTime"
+    rows = gauge_rows(samples, interval, "recv_ts")
+    part = F.window("recv_ts", micros(interval / math.gcd(round(interval * 1000000), parts))).alias("part")
+    one = F.when(F.col("seq").isNotNull(), F.struct("seq", "delta", "value", "cust_ts"))
+    held = rows.groupBy(part, "series", F.floor(F.col("seq") / block).alias("block")).agg(F.collect_list(one).alias("samples"))
+    fold = F.transform(F.array(F.sort_array("samples")), _fold)[0]
+    folded = held.withColumn("at", F.window_time("part")).select(
+        "at", "series", F.struct(F.col("part.start").alias("start"), "block", fold.alias("fold")).alias("one")
     )
-    window = F.struct(*[F.timestamp_micros(F.round(F.col(c) * 1000000).cast("bigint")).alias(c) for c in ("start", "end")])
-    series = F.from_json("tags", "series array<struct<key: string, value: string>>")["series"]
-    return out.select(window.alias("win"), series.alias("series"), "range", "base_seq", "base_value", "deltas", "seq", "cust_ts")
+    whole = folded.groupBy(F.window("at", micros(interval)).alias("win"), "series").agg(F.collect_list("one").alias("folds"))
+    out = whole.select("win", "series", F.posexplode(F.sort_array("folds")).alias("range", "one"))
+    return out.where("one.fold.seq IS NOT NULL").select("win", "series", F.col("range").cast("bigint").alias("range"), "one.fold.*")
 
 
 class OpenTrace(StatefulProcessor):

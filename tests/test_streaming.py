@@ -227,3 +227,19 @@ def test_counts_of_batches_while_they_run(spark):
         ("counted", 0, {"rows": 10, "dropped": 3, "failed": 0}), ("counted", 1, {"rows": 7, "dropped": 3, "failed": 0})]
     texts = [r["line"] for r in to_line_protocol(progress.count_rows(spark, seen)).collect()]
     assert any(t.startswith("pipeline,batch=1,query=counted dropped=3,failed=0,rows=7 ") for t in texts)
+
+
+def test_gauges_on_streams_are_native_and_series_share_a_bucket(spark):
+    """Nothing of a gauge stream runs in Python, parts and blocks of any size give the batch result; many series go through one call."""
+    texts = [f"g{i % 3}:{['', '+', '-'][i % 7 % 3]}{i}|g" for i in range(90)]
+    everything = lines(spark, texts, ts=1000.0, step=0.3).repartition(3)
+    closing = spark.createDataFrame([(99999, at(5000.0), "z:1|g"), (None, at(5000.0), "z:1|g")], "seq bigint, recv_ts timestamp, line string")
+    want = canonical(A.agg_gauges(parse_statsd(everything), 10))
+    for parts, block in ((16, 1 << 16), (3, 4), (1, 1)):
+        family = windows.Family(lambda s: stateful.gauge_parts(s, 10, parts, block), lambda p: A.finish_gauges(p))
+        assert canonical(run_family(spark, parse_statsd(as_stream(spark, [everything, closing])), family)) == want
+    keyed = [(f"s{i}", f"s{i} {i}", at(1.0 + i % 5), i) for i in range(50)]
+    batches = [spark.createDataFrame(r, "series string, line string, recv_ts timestamp, seq bigint") for r in (keyed, [("end", "end", at(4.5 + 5), 99)])]
+    changes = collect_stream(stateful.latest_lines(as_stream(spark, batches), ttl=6.0, buckets=2), "latest_buckets").collect()
+    assert sorted(r["series"] for r in changes if r["event"] == "set") == sorted([k[0] for k in keyed] + ["end"])
+    assert sorted(r["series"] for r in changes if r["event"] == "drop") == sorted(k[0] for k in keyed if k[3] % 5 < 3)
