@@ -1,7 +1,7 @@
 """Host snapshots to metrics: interfaces, memory, processors, activity, disks, protocols, mounts.
 
 Input rows are captured files of many hosts; one file is one row, so nothing larger than a file
-meets in a task except through map-side combined maxima per (host, ts).
+meets in a task; the files of one (host, ts) meet after a shuffle.
 """
 
 from __future__ import annotations
@@ -102,12 +102,17 @@ def host_interfaces(snapshots: DataFrame, allow: list[str] | None = None, deny:
     return rows.where(listed(F.col("name"), allow, deny))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Captures are grouped after they are dealt out: nearly all differ, so partial results of whole input splits would take memory and fold nothing."""
+    return rows.repartition("host", "ts")
+
+
 def host_memory(snapshots: DataFrame) -> DataFrame:
     lines = snapshot_lines(snapshots, "/proc/meminfo")
     rows = lines.where(
         (F.size("tokens") == 3) & (F.lower(_token(2)) == "kb") & _token(0).isin(list(MEMORY_FIELDS))
     )
-    return rows.groupBy("host", "ts").agg(
+    return _dealt(rows.select("host", "ts", F.slice("tokens", 1, 2).alias("tokens"))).groupBy("host", "ts").agg(
         *[F.max(F.when(_token(0) == name, _count(1) * 1024)).alias(f) for name, f in MEMORY_FIELDS.items()]
     )
 
@@ -125,7 +130,7 @@ def host_activity(snapshots: DataFrame) -> DataFrame:
     stat = F.col("path") == "/proc/stat"
     load = (F.col("path") == "/proc/loadavg") & (F.size("tokens") == 5)
     rows = lines.where((stat & _token(0).isin(list(ACTIVITY_FIELDS))) | load)
-    return rows.groupBy("host", "ts").agg(
+    return _dealt(rows.select("host", "ts", "path", "pos", F.slice("tokens", 1, 2).alias("tokens"))).groupBy("host", "ts").agg(
         *[F.max(F.when(stat & (_token(0) == name), _count(1))).alias(f) for name, f in ACTIVITY_FIELDS.items()],
         F.min_by(_token(0).try_cast("double"), F.when(load, F.col("pos"))).alias("load"),
     )
@@ -147,7 +152,7 @@ def host_protocols(snapshots: DataFrame) -> DataFrame:
     The two files of a capture meet once; what follows keeps that partitioning.
     """
     files = snapshots.where(F.col("path").isin("/proc/net/snmp", "/proc/net/netstat"))
-    both = files.groupBy("host", "ts").agg(
+    both = _dealt(files).groupBy("host", "ts").agg(
         F.sort_array(F.collect_list(F.struct((F.col("path") != "/proc/net/snmp").alias("file"), "content"))).alias("files")
     )
     lines = F.flatten(F.transform("files", lambda f: F.transform(F.split(f["content"], "\n"), tokens)))

@@ -142,3 +142,29 @@ def test_reports(spark):
     ]
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, body string")
     assert [r["rejected"] for r in report.bulk_rejects(df).orderBy("id").collect()] == [2, 0, 0]
+
+
+def test_facts_are_not_broadcast(spark):
+    """Tables with a row per container never go through the driver, however small their files look; JSON is parsed once, after the shuffle."""
+    rows = [("h", 1.0, f"c{i}") for i in range(20)]
+    ids = spark.createDataFrame(rows, "host string, ts double, id string")
+    containers = ids.withColumn("names", F.array(F.lit("/n")))
+    inspect = ids.withColumn("json", F.concat(F.lit('{"SizeRootFs":'), F.substring("id", 2, 9), F.lit("}")))
+    cgroup = ids.withColumns({"usage_percpu": F.lit("1"), "memory_usage": F.lit("2"), "net_dev": F.lit(NET)})
+    facts = C.container_tags(container_facts(containers, inspect, cgroup))
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2 and plan.count("from_json(") == 1
+    memory = spark.createDataFrame([("h", 1.0, 9)], "host string, ts double, total_bytes bigint")
+    whole = C.container_rows(facts, memory)
+    assert "SortMergeJoin [host" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert whole.where("bucket = 'docker_memory'").count() == 20
+
+
+def test_captures_are_dealt_out_before_they_are_grouped(spark):
+    snapshots = spark.createDataFrame(
+        [("h", 1.0, p, c) for p, c in (("/proc/meminfo", "MemTotal: 1 kB\n"), ("/proc/stat", "ctxt 5\n"), ("/proc/net/snmp", "Ip: InReceives\nIp: 4\n"))],
+        "host string, ts double, path string, content string")
+    for rows, value in ((H.host_memory(snapshots), "total_bytes"), (H.host_activity(snapshots), "switches"), (H.host_protocols(snapshots), "rx_packets")):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("Aggregate")
+        assert [r[value] for r in rows.collect()] == [{"total_bytes": 1024, "switches": 5, "rx_packets": 4}[value]]
