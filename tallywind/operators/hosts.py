@@ -130,7 +130,7 @@ def host_activity(snapshots: DataFrame) -> DataFrame:
     stat = F.col("path") == "/proc/stat"
     load = (F.col("path") == "/proc/loadavg") & (F.size("tokens") == 5)
     rows = lines.where((stat & _token(0).isin(list(ACTIVITY_FIELDS))) | load)
-    return _dealt(rows.select("host", "ts", "path", "pos", F.slice("tokens", 1, 2).alias("tokens"))).groupBy("host", "ts").agg(
+    return _dealt(rows.select("host", "ts", "path", "pos", "tokens")).groupBy("host", "ts").agg(
         *[F.max(F.when(stat & (_token(0) == name), _count(1))).alias(f) for name, f in ACTIVITY_FIELDS.items()],
         F.min_by(_token(0).try_cast("double"), F.when(load, F.col("pos"))).alias("load"),
     )

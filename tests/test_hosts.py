@@ -162,9 +162,10 @@ def test_facts_are_not_broadcast(spark):
 
 def test_captures_are_dealt_out_before_they_are_grouped(spark):
     snapshots = spark.createDataFrame(
-        [("h", 1.0, p, c) for p, c in (("/proc/meminfo", "MemTotal: 1 kB\n"), ("/proc/stat", "ctxt 5\n"), ("/proc/net/snmp", "Ip: InReceives\nIp: 4\n"))],
+        [("h", 1.0, p, c) for p, c in (("/proc/meminfo", "MemTotal: 1 kB\n"), ("/proc/stat", "ctxt 5\n"), ("/proc/loadavg", "0.5 0.1 0.2 1/9 7\n"), ("/proc/net/snmp", "Ip: InReceives\nIp: 4\n"))],
         "host string, ts double, path string, content string")
     for rows, value in ((H.host_memory(snapshots), "total_bytes"), (H.host_activity(snapshots), "switches"), (H.host_protocols(snapshots), "rx_packets")):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("Aggregate")
         assert [r[value] for r in rows.collect()] == [{"total_bytes": 1024, "switches": 5, "rx_packets": 4}[value]]
+    assert [r["load"] for r in H.host_activity(snapshots).collect()] == [0.5]
