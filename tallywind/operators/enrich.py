@@ -38,9 +38,11 @@ def to_metric_rows(df: DataFrame, bucket: str, fields: list[str], keep_null: boo
     """Flat columns to metric rows; a NULL field is left out unless ``keep_null``."""
     kinds = dict(df.dtypes)
     entries = F.array(*[F.struct(F.lit(f).alias("key"), typed_value(F.col(f), kinds[f]).alias("value")) for f in fields])
-    if not keep_null:
-        entries = F.filter(entries, lambda e: e["value"]["t"] != "null")
     extra = [c for c in ("recv_ts", "seq") if c in df.columns]
+    if not keep_null:
+        # Entries come out of a generator, so that they are made by compiled code and only then filtered.
+        df = df.select("ts", "tags", *extra, F.explode_outer(F.array(entries)).alias("entries"))
+        entries = F.filter("entries", lambda e: e["value"]["t"] != "null")
     return df.select(F.lit(bucket).alias("bucket"), F.map_from_entries(entries).alias("values"), "ts", "tags", *extra)
 
 

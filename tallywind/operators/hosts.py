@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallywind.functions.maps import merge
 from tallywind.operators.enrich import to_metric_rows, union_all
-from tallywind.sources.hosts import snapshot_lines, tokens
+from tallywind.sources.hosts import plain, snapshot_lines, tokens
 
 # Positions and names in the kernel's files.
 INTERFACE_FIELDS = {
@@ -112,9 +112,8 @@ def host_memory(snapshots: DataFrame) -> DataFrame:
     rows = lines.where(
         (F.size("tokens") == 3) & (F.lower(_token(2)) == "kb") & _token(0).isin(list(MEMORY_FIELDS))
     )
-    return _dealt(rows.select("host", "ts", F.slice("tokens", 1, 2).alias("tokens"))).groupBy("host", "ts").agg(
-        *[F.max(F.when(_token(0) == name, _count(1) * 1024)).alias(f) for name, f in MEMORY_FIELDS.items()]
-    )
+    named = _dealt(rows.select("host", "ts", _token(0).alias("name"), (_count(1) * 1024).alias("value")))
+    return named.groupBy("host", "ts").agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(f) for name, f in MEMORY_FIELDS.items()])
 
 
 def host_cpu(snapshots: DataFrame) -> DataFrame:
@@ -130,9 +129,13 @@ def host_activity(snapshots: DataFrame) -> DataFrame:
     stat = F.col("path") == "/proc/stat"
     load = (F.col("path") == "/proc/loadavg") & (F.size("tokens") == 5)
     rows = lines.where((stat & _token(0).isin(list(ACTIVITY_FIELDS))) | load)
-    return _dealt(rows.select("host", "ts", "path", "pos", "tokens")).groupBy("host", "ts").agg(
-        *[F.max(F.when(stat & (_token(0) == name), _count(1))).alias(f) for name, f in ACTIVITY_FIELDS.items()],
-        F.min_by(_token(0).try_cast("double"), F.when(load, F.col("pos"))).alias("load"),
+    named = _dealt(rows.select(
+        "host", "ts", F.when(stat, _token(0)).alias("name"), F.when(stat, _count(1)).alias("value"),
+        F.when(load, _token(0).try_cast("double")).alias("load"), F.when(load, F.col("pos")).alias("pos"),
+    ))
+    return named.groupBy("host", "ts").agg(
+        *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(f) for name, f in ACTIVITY_FIELDS.items()],
+        F.min_by("load", "pos").alias("load"),
     )
 
 
@@ -155,7 +158,7 @@ def host_protocols(snapshots: DataFrame) -> DataFrame:
     both = _dealt(files).groupBy("host", "ts").agg(
         F.sort_array(F.collect_list(F.struct((F.col("path") != "/proc/net/snmp").alias("file"), "content"))).alias("files")
     )
-    lines = F.flatten(F.transform("files", lambda f: F.transform(F.split(f["content"], "\n"), tokens)))
+    lines = F.flatten(F.transform("files", lambda f: F.transform(F.split(plain(f["content"]), "\n"), tokens)))
     known = list(dict.fromkeys(k.split(":")[0] + ":" for k in PROTOCOL_FIELDS))
 
     def found(prefix: str) -> Column:

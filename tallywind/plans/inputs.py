@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywind.functions.time import epoch, utc
-from tallywind.operators.enrich import typed_value
+from tallywind.operators.enrich import typed_value, union_all
 
 DAY = 86400.0
 
@@ -103,8 +103,8 @@ def snapshots(spark: SparkSession, folder: str) -> DataFrame:
         "/proc/net/snmp": text("Ip: Forwarding InReceives InDiscards\nIp: 1 ", p, " 6\nTcp: ActiveOpens InSegs\nTcp: ", k, " 4\n"),
         "/proc/net/netstat": text("IpExt: InOctets OutOctets\nIpExt: ", k, " 2000\nTcpExt: Other TCPTimeouts\nTcpExt: 1 9\n"),
     }
-    each = F.create_map(*[x for path, content in files.items() for x in (F.lit(path), content)])
-    return orders.select("host", "ts", F.explode(each).alias("path", "content"))
+    # One branch for each file: whoever reads some paths only has no others made.
+    return union_all(*[orders.select("host", "ts", F.lit(path).alias("path"), content.alias("content")) for path, content in files.items()])
 
 
 def mounts(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,19 +15,22 @@ def to_line_protocol(rows: DataFrame) -> DataFrame:
         value = e["value"]
         for mark in (",", " ", "="):
             value = F.replace(value, F.lit(mark), F.lit("\\" + mark))
-        return F.concat(F.lit(","), e["key"], F.lit("="), value)
+        return F.when(e["value"] != "", F.concat(F.lit(","), e["key"], F.lit("="), value))
 
     def field(e):
         text = F.concat(F.lit('"'), F.replace(e["value"]["v"], F.lit('"'), F.lit('\\"')), F.lit('"'))
-        return F.concat(e["key"], F.lit("="), F.when(e["value"]["t"] == "str", text).otherwise(e["value"]["v"]))
+        return F.when(e["value"]["t"] != "null", F.concat(e["key"], F.lit("="), F.when(e["value"]["t"] == "str", text).otherwise(e["value"]["v"])))
 
-    tags = F.filter(series(F.col("tags")), lambda e: e["value"].isNotNull() & (e["value"] != ""))
-    fields = F.filter(series(F.col("values")), lambda e: e["value"]["t"] != "null")
-    head = F.concat("bucket", F.coalesce(F.array_join(F.transform(tags, tag), ""), F.lit("")))
+    # Joined texts skip those that are NULL.
+    tags = F.array_join(F.transform(series(F.col("tags")), tag), "")
+    fields = F.array_join(F.transform(series(F.col("values")), field), ",")
+    head = F.concat("bucket", F.coalesce(tags, F.lit("")))
     # The product is taken in floating point, as every producer of this format does.
     nanos = (F.col("ts") * 1000000000).cast("bigint").cast("string")
-    line = F.concat_ws(" ", head, F.array_join(F.transform(fields, field), ","), nanos)
-    return rows.where(F.size(fields) > 0).withColumn("line", line)
+    # The line comes out of an outer generator: a filter on the fields would move down to the source and work them out there once more.
+    some = F.exists(F.map_values("values"), lambda v: v["t"] != "null")
+    made = rows.withColumn("line", F.when(some, F.array(F.concat_ws(" ", head, fields, nanos))))
+    return made.withColumn("line", F.explode_outer("line")).where(F.col("line").isNotNull())
 
 
 def write_line_protocol(rows: DataFrame, path: str, compression: str | None = None) -> None:

@@ -6,9 +6,11 @@ from helpers import lines
 from tallywind.operators.ranges import range_ends, range_of
 from tallywind.operators import containers as C
 from tallywind.operators import hosts as H
-from tallywind.operators import limits, report
+from tallywind.operators import enrich, limits, report
 from tallywind.operators.statsd import classify_statsd
 from tallywind.sources.containers import container_facts
+from tallywind.sinks.line_protocol import to_line_protocol
+from tallywind.sources.hosts import snapshot_lines
 
 NET = """Inter-|   Receive                                                |  Transmit
  face |bytes    packets errs drop fifo frame compressed multicast|bytes    packets errs drop fifo colls carrier compressed
@@ -169,3 +171,36 @@ def test_captures_are_dealt_out_before_they_are_grouped(spark):
         assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("Aggregate")
         assert [r[value] for r in rows.collect()] == [{"total_bytes": 1024, "switches": 5, "rx_packets": 4}[value]]
     assert [r["load"] for r in H.host_activity(snapshots).collect()] == [0.5]
+
+
+def test_lines_are_cut_once(spark):
+    """What follows a capture's words, filters included, uses the cut ones: the plan holds each cut once, not once for every field."""
+    df = snapshots(spark)
+    rows = H.snapshot_rows(H.host_disks(df, allow=["sd.*"]), "system_disk")
+    made = to_line_protocol(enrich.finish_rows(rows, {"dc": "x"})).select("line")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 2
+    assert plan.count("map_from_entries(filter(") == 1
+    assert sorted(r["line"] for r in made.collect())[0] == (
+        "system_disk,dc=x,host=h1,name=sda in_progress=9,io_time=10,read_bytes=1536,read_merged=2,read_ops=1,read_sectors=3,read_time=4,"
+        "weighted_time=11,write_bytes=3584,write_merged=6,write_ops=5,write_sectors=7,write_time=8 10000000000")
+
+
+def test_words_between_any_white_space(spark):
+    content = "\t8\x0b0 \x0csda\r1 \xa0 2\xa0\n \u2003\n\n\x1c9 0  sdb\x1d x\x1f"
+    df = spark.createDataFrame([("h", 1.0, "p", content), ("h", 2.0, "p", None), ("h", 3.0, "p", "")], "host string, ts double, path string, content string")
+    got = [(r["ts"], r["pos"], r["tokens"]) for r in snapshot_lines(df).collect()]
+    assert got == [(1.0, 0, ["8", "0", "sda", "1", "\xa0", "2"]), (1.0, 3, ["9", "0", "sdb\x1d", "x"])]
+    tabbed = spark.createDataFrame([("h", 1.0, "/proc/net/snmp", "Ip:\tInReceives  InDiscards\n\nIp: 4\t5 \n")], "host string, ts double, path string, content string")
+    assert [(r["name"], r["rx_packets"], r["rx_dropped"]) for r in H.host_protocols(tabbed).collect()] == [("ip", 4, 5)]
+
+
+def test_lines_without_fields(spark):
+    """A row whose fields are all NULL, or that has none, gives no line; a field without text gives none of its own."""
+    kind = "bucket string, values map<string,struct<t:string,v:string>>, ts double, tags map<string,string>, line string"
+    rows = [("a", {"x": ("null", None)}, 1.0, {}, "old"), ("b", {}, 1.0, {}, "old"), ("c", None, 1.0, {}, "old"),
+            ("d", {"z": ("str", 'q"'), "a": ("int", "1"), "n": ("null", None)}, 2.0, {"t": "a b", "e": "", "n": None}, "old"),
+            ("e", {"x": ("int", None)}, None, None, "old")]
+    got = to_line_protocol(spark.createDataFrame(rows, kind))
+    assert got.columns == ["bucket", "values", "ts", "tags", "line"]
+    assert sorted(r["line"] for r in got.collect()) == ['d,t=a\\ b a=1,z="q\\"" 2000000000', "e "]
