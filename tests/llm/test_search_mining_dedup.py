@@ -6,9 +6,11 @@ import collections
 import math
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
+import zstandard
 
 from tallywind.llm import ball_tree, collocations, count_automata, suffix_array, suffix_dedup
 
@@ -233,3 +235,30 @@ def test_repeats_empty(spark):
     assert suffix_dedup.remove_repeats(docs).collect() == []
     short = spark.createDataFrame([(1, "x"), (2, None), (3, "x")], docs.schema)
     assert sorted((x.doc_id, x.n_bytes, x.spans) for x in suffix_dedup.remove_repeats(short).collect()) == [(1, 1, []), (2, 0, []), (3, 1, [])]
+
+
+def test_work_in_a_shard_does_not_grow_with_batches(monkeypatch):
+    """Strings of all batches lie side by side: a batch more costs a few calls, not some for each of a shard's cells."""
+    r = random.Random(3)
+    texts = [bytes(r.choices(b"abcd", k=60)) for _ in range(64)]
+
+    def packed(n):
+        return zstandard.compress(bytes([60] * n) + np.full(n, 5).tobytes() + b"".join(texts[:n]))
+
+    cells = np.full(suffix_dedup.CELLS, 64 // suffix_dedup.CELLS, "<i4").tobytes()
+    counts = []
+    for batches in (10, 60):
+        calls = []
+        sys.setprofile(lambda frame, event, what: calls.append(event) if event in ("call", "c_call") else None)
+        try:
+            found = suffix_dedup._find_in_shard([cells] * batches, [packed(64)] * batches, 50)
+        finally:
+            sys.setprofile(None)
+        # Not counted: the table of strings, two calls for each.
+        counts.append(len(calls) - 2 * 64 * batches)
+        assert found == []
+    assert (counts[1] - counts[0]) / 50 <= 2 * suffix_dedup.CELLS
+    later = zstandard.compress(bytes([60] * 64) + np.arange(100, 164).tobytes() + b"".join(texts))
+    (found,) = suffix_dedup._find_in_shard([cells, cells], [packed(64), later], 50)
+    assert found[0] == 1 and np.frombuffer(found[1], "<i4").tolist() == list(range(64))
+    assert np.frombuffer(zstandard.decompress(found[2]), np.int64).tolist() == [5] * (64 * 11)
